@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldline.llm.shared import table
+from foldline.llm.shared import table, work_dir
 
 
 def tokenizer_path() -> str:
@@ -13,11 +13,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.ngram_join import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"), work_dir(spark, "ngrams"), n=4, percent=85)
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.token_store import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), 2, work_dir(spark, "store"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.bpe_transducer import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op10_bpe_codec": op10_bpe_codec}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op8_token_store": op8_token_store, "op10_bpe_codec": op10_bpe_codec}
 ORACLES: dict[str, str] = {}
