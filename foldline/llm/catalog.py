@@ -19,6 +19,24 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"), work_dir(spark, "ngrams"), n=4, percent=85)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), work_dir(spark, "ann"), every=50, k=5)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.token_store import store_and_read
 
@@ -31,5 +49,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op8_token_store": op8_token_store, "op10_bpe_codec": op10_bpe_codec}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_quality, op4_ann_search, op5_language_id, op8_token_store, op10_bpe_codec)}
 ORACLES: dict[str, str] = {}
