@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldline.llm import decontaminate, substring_dedup
 from foldline.llm.shared import table, work_dir
 
 
@@ -19,6 +20,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"), work_dir(spark, "ngrams"), n=4, percent=85)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.quality import score_quality
 
@@ -37,17 +42,27 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), work_dir(spark, "spans"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.token_store import store_and_read
 
     return store_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), 2, work_dir(spark, "store"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.line_dedup import line_classes
+
+    return line_classes(table(spark, sf_dir, "documents"), work_dir(spark, "lines"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.bpe_transducer import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_quality, op4_ann_search, op5_language_id, op8_token_store, op10_bpe_codec)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_quality, op4_ann_search, op5_language_id, op6_substring_dedup, op8_token_store, op9_line_dedup, op10_bpe_codec)}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE}

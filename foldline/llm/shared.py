@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
-    edges: columns a, b (long). Returns node, component (the smallest node that it reaches).
+    edges: columns a, b, of one type that has an order. Returns node, component (the smallest node that it reaches).
     Alternates large-star and small-star steps, each one shuffle on a node id; a node of any
     degree stays cheap, since a step only needs the smallest neighbour, which is an aggregate
     with map-side combining joined back. Every round is written to the shared folder.
@@ -56,7 +56,7 @@ def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo")
         step = cut(small.where("hi <> lo").distinct(), f"{folder}/cc-{k}")
-        now = step.agg(F.count("*"), F.sum(F.col("lo").cast("decimal(38,0)")), F.sum(F.col("hi").cast("decimal(38,0)"))).first()
+        now = step.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
