@@ -1,22 +1,51 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: stages over documents, each written and read again by the next.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. A stage works on all rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldline.llm.bpe_transducer import encode_decode
 from foldline.llm.catalog import tokenizer_path
+from foldline.llm.decontaminate import without_items
+from foldline.llm.language_id import with_language
+from foldline.llm.line_dedup import keep_first_lines
+from foldline.llm.ngram_join import similarity_classes
 from foldline.llm.shared import cut, table, work_dir
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter; lang becomes the predicted language."""
+    return with_language(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines out that an earlier document or line has within two edits."""
+    return keep_first_lines(docs, work_dir(spark, "lines"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word sets of Jaccard similarity 0.8, the smallest doc_id."""
+    classes = similarity_classes(docs, work_dir(spark, "ngrams"), n=5, percent=80)
+    others = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids and decoded text of every document that is left, as hashes."""
-    from foldline.llm.bpe_transducer import encode_decode
-
     return encode_decode(docs, tokenizer_path())
 
 
-STAGES = [("encode", encode)]
-#: SQL has no byte-pair encoder; the stages are tested against brute-force versions instead.
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("encode", encode)]
+#: SQL expresses none of the stages but decontamination; each is tested against a brute-force version instead.
 ORACLE_SQL = None
 
 

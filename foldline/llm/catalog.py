@@ -46,6 +46,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), work_dir(spark, "spans"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.html_wrappers import main_text
+
+    return main_text(table(spark, sf_dir, "pages"), work_dir(spark, "wrappers"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.token_store import store_and_read
 
@@ -64,5 +70,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_quality, op4_ann_search, op5_language_id, op6_substring_dedup, op8_token_store, op9_line_dedup, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_quality, op4_ann_search, op5_language_id, op6_substring_dedup, op7_html_text, op8_token_store, op9_line_dedup, op10_bpe_codec)}
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE}

@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldline.llm.sampling import bounded_sample, held_out
 
@@ -138,25 +139,16 @@ def fit(docs: DataFrame) -> Mixture | None:
     return Mixture(languages, counts)
 
 
-RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
-
-
-def identify(docs: DataFrame) -> DataFrame:
-    """Fits the mixture and predicts each whole text's main language.
-
-    docs: doc_id, text, lang. Returns a row per input row: doc_id, held_out, lang_pred (a learned
-    lang, or "und" if text is null or has no letter, or nothing could be learned), score (the main
-    language's share in the selected mixture, 0 for "und"). Repeated rows give repeated rows;
-    ties go to the language first in order; a null doc_id is not held out.
-    """
-    model = fit(docs)
+def tag(docs: DataFrame, model: Mixture | None) -> DataFrame:
+    """docs, with all its columns, and _lang_pred and _lang_score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bins x languages, whatever the corpus
+    at = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = shared.value
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(2):
+            for text in batch.column(at):
                 text = text.as_py()
                 if mixture is None or not text or not _letter(text):
                     names.append(UNDETERMINED)
@@ -166,6 +158,31 @@ def identify(docs: DataFrame) -> DataFrame:
                 best = int(share.argmax())
                 names.append(mixture.languages[best])
                 scores.append(min(1.0, float(share[best])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "_lang_pred", "_lang_score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    return docs.mapInArrow(predict, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(predict, RESULT)
+def identify(docs: DataFrame) -> DataFrame:
+    """Fits the mixture and predicts each whole text's main language.
+
+    docs: doc_id, text, lang. Returns a row per input row: doc_id, held_out, lang_pred (a learned
+    lang, or "und" if text is null or has no letter, or nothing could be learned), score (the main
+    language's share in the selected mixture, 0 for "und"). Repeated rows give repeated rows;
+    ties go to the language first in order; a null doc_id is not held out.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
+    return tag(rows, fit(docs)).select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def with_language(docs: DataFrame) -> DataFrame:
+    """docs without the rows whose language is undetermined; lang is the predicted one, other columns stay.
+
+    If nothing could be learned (no row has a lang), nothing is rejected and lang stays.
+    """
+    model = fit(docs)
+    if model is None:
+        return docs
+    found = tag(docs, model).where(F.col("_lang_pred") != UNDETERMINED)
+    return found.withColumn("lang", F.col("_lang_pred")).select(*docs.columns)
