@@ -1,6 +1,548 @@
-"""Registry of the structural-alphabet queries and their DuckDB oracles."""
+"""Registry of the structural-alphabet queries and their DuckDB oracles.
+
+A query is a function of (spark, sf_dir); the string given to @oracle is the same result in DuckDB's SQL.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foldline.functions import cigar, geometry, hierarchy, quantize
+from foldline.operators import neighbors, pairs, search, splits, stats, submat
+from foldline.plans import inputs
+from foldline.plans.inputs import ALIGNMENTS, CHAINS, CLASSES, EVENT_PAIRS, SEQUENCES, STATES, table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def oracle(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c) -> F.Column:
+    """Rounded to six places, without a negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+# ---- alignment strings
+
+@oracle(f"WITH {ALIGNMENTS} SELECT alignment_id, k, i, j FROM pairs")
+def cigar_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.expand(inputs.alignments(spark, sf)).select("alignment_id", "k", "i", "j")
+
+
+@oracle(f"WITH {ALIGNMENTS} SELECT alignment_id, CAST(sum(CASE WHEN op = 'P' THEN n ELSE 0 END) AS BIGINT) AS n_pairs, CAST(sum(CASE WHEN op IN ('D','M','P') THEN n ELSE 0 END) AS BIGINT) AS ref_span, CAST(sum(CASE WHEN op IN ('I','M','P') THEN n ELSE 0 END) AS BIGINT) AS query_span FROM ops GROUP BY 1")
+def cigar_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
+    s = cigar.spans("cigar")
+    return inputs.alignments(spark, sf).select("alignment_id", cigar.pair_count("cigar").alias("n_pairs"), s.ref.alias("ref_span"), s.query.alias("query_span"))
+
+
+@oracle(f"""WITH {ALIGNMENTS}, bad AS (SELECT alignment_id, pos,
+  CASE WHEN n = 0 THEN 'zero_length' WHEN i0 + CASE WHEN op IN ('D','M','P') THEN n ELSE 0 END > 14 THEN 'ref_overrun' WHEN j0 + CASE WHEN op IN ('I','M','P') THEN n ELSE 0 END > 14 THEN 'query_overrun' END AS problem FROM placed)
+SELECT a.alignment_id, CASE WHEN NOT regexp_full_match(a.cigar, '(?:[0-9]*[IDMP])+') THEN 'malformed' ELSE (SELECT arg_min(problem, pos) FROM bad b WHERE b.alignment_id = a.alignment_id AND problem IS NOT NULL) END AS problem FROM alignments a""")
+def cigar_validate(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.alignments(spark, sf).select("alignment_id", cigar.problem("cigar", F.lit(14), F.lit(14)).alias("problem"))
+
+
+@oracle(r"""SELECT doc_id, t[1] AS first, t[2] AS second, t[len(t)] AS last FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '^[\s]+|[\s]+$', '', 'g'), '[\s]+') AS t FROM documents) WHERE len(t) >= 3""")
+def pairfile_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    from foldline.sources.readers import line_tokens
+
+    return table(spark, sf, "documents").select("doc_id", line_tokens("text").alias("t")).where(F.size("t") >= 3).select("doc_id", F.element_at("t", 1).alias("first"), F.element_at("t", 2).alias("second"), F.element_at("t", -1).alias("last"))
+
+
+# ---- classes, joins and set operations
+
+@oracle(f"""WITH {CLASSES}, p AS (SELECT *, string_split(class, '.') AS s FROM classes)
+SELECT sid, class, CASE WHEN len(s) >= 2 THEN array_to_string(s[1:2], '.') END AS fold, CASE WHEN len(s) >= 3 THEN array_to_string(s[1:3], '.') END AS superfamily, CASE WHEN len(s) >= 4 THEN class END AS family, regexp_replace(class, '\\.[0-9]+$', '') AS parent FROM p""".replace("\\\\", "\\"))
+def scop_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.classes(spark, sf).select("sid", "class", hierarchy.fold("class").alias("fold"), hierarchy.superfamily("class").alias("superfamily"), hierarchy.family("class").alias("family"), hierarchy.parent("class").alias("parent"))
+
+
+@oracle(f"""WITH {CLASSES}, p AS (SELECT string_split(class, '.') AS s FROM classes)
+SELECT coalesce(CASE WHEN len(s) >= 3 THEN array_to_string(s[1:3], '.') END, 'UNKNOWN') AS level, count(*) AS n FROM p GROUP BY 1""")
+def class_level_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.level_counts(inputs.classes(spark, sf).select(hierarchy.superfamily("class").alias("s")), "s")
+
+
+HIERARCHY = rf"""{CLASSES}, h AS (SELECT sid, class AS fam, regexp_replace(class, '\.[0-9]+$', '') AS sfam FROM classes),
+sizes AS (SELECT *, count(*) OVER (PARTITION BY fam) AS fam_count, count(*) OVER (PARTITION BY sfam) AS sfam_count, count(*) OVER (PARTITION BY fold) AS fold_count FROM (SELECT *, regexp_replace(sfam, '\.[0-9]+$', '') AS fold FROM h))"""
+
+
+@oracle(f"WITH {HIERARCHY} SELECT * FROM sizes")
+def class_hier_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return search.class_sizes(inputs.classes(spark, sf))
+
+
+@oracle(f"""WITH {ALIGNMENTS}, {CLASSES}, p AS (SELECT sid, string_split(class, '.') AS s FROM classes), lv AS (SELECT sid, CASE WHEN len(s) >= 2 THEN array_to_string(s[1:2], '.') END AS fold, CASE WHEN len(s) >= 3 THEN array_to_string(s[1:3], '.') END AS sf FROM p)
+SELECT alignment_id, sid1 AS sid_source, sid2 AS sid_target, i AS idx_source, j AS idx_target,
+ CASE WHEN length(sid1) >= 5 THEN substr(sid1, 2, 4) ELSE sid1 END AS split_group_source, CASE WHEN length(sid2) >= 5 THEN substr(sid2, 2, 4) ELSE sid2 END AS split_group_target,
+ x.fold AS fold_source, y.fold AS fold_target, x.sf AS superfamily_source, y.sf AS superfamily_target, CAST(i AS DOUBLE) AS ca_dist_raw, CAST(j AS DOUBLE) AS ca_dist_superposed
+FROM pairs LEFT JOIN lv x ON sid1 = x.sid LEFT JOIN lv y ON sid2 = y.sid""")
+def pair_metadata_join(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs.expand(inputs.alignments(spark, sf)).withColumns({"ca_dist_raw": F.col("i").cast("double"), "ca_dist": F.col("j").cast("double")})
+    return pairs.pair_metadata(rows, inputs.classes(spark, sf))
+
+
+@oracle(f"WITH {ALIGNMENTS}, {CLASSES} SELECT DISTINCT sid2 AS sid FROM alignments WHERE sid2 NOT IN (SELECT sid FROM classes) ORDER BY sid LIMIT 20")
+def missing_ids_antijoin(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.missing_ids(inputs.alignments(spark, sf).select(F.col("sid2").alias("sid")), inputs.classes(spark, sf))
+
+
+@oracle(f"WITH {ALIGNMENTS} SELECT alignment_id, sid1, sid2 FROM alignments WHERE sid1 IN (SELECT 'd' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND sid2 IN (SELECT 'd' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def double_semijoin_filter(spark: SparkSession, sf: str) -> DataFrame:
+    from foldline.sources.readers import both_listed
+
+    listed = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("d"), F.col("s_suppkey")).alias("sid"))
+    return both_listed(inputs.alignments(spark, sf), listed).select("alignment_id", "sid1", "sid2")
+
+
+@oracle(f"WITH {ALIGNMENTS} SELECT 0 AS dir, alignment_id, k, sid1, sid2, i, j FROM pairs UNION ALL SELECT 1, alignment_id, k, sid2, sid1, j, i FROM pairs")
+def bidirectional_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.mirrored(pairs.expand(inputs.alignments(spark, sf)).select("alignment_id", "k", "sid1", "sid2", "i", "j"), [("sid1", "sid2"), ("i", "j")])
+
+
+@oracle(f"WITH {ALIGNMENTS} SELECT sid1 AS sid FROM alignments UNION SELECT sid2 FROM alignments")
+def referenced_ids(spark: SparkSession, sf: str) -> DataFrame:
+    a = inputs.alignments(spark, sf)
+    return a.select(F.col("sid1").alias("sid")).union(a.select("sid2")).distinct()
+
+
+# ---- statistics
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@oracle(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(greatest(stddev_pop({c}), 1e-6), 6) AS std FROM lineitem" for c in FEATURES))
+def standardizer_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.standardizer(table(spark, sf, "lineitem"), FEATURES).select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@oracle(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, min({c}) AS min, max({c}) AS max FROM lineitem" for c in FEATURES))
+def feature_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.feature_stats(table(spark, sf, "lineitem"), FEATURES).select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
+
+
+@oracle("WITH f AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, greatest(stddev_pop({c}), 1e-6) AS s_{c}" for c in FEATURES) + " FROM lineitem) SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 4) + 0.0 AS {c}" for c in FEATURES) + " FROM lineitem, f")
+def standardize_apply(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stats.standardize(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *FEATURES), FEATURES)
+    return rows.select("l_orderkey", "l_linenumber", *((F.round(c, 4) + 0.0).alias(c) for c in FEATURES))
+
+
+@oracle("SELECT count(*) AS count, min(n) AS min, max(n) AS max, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, " + ", ".join(f"round(quantile_cont(n, {q}), 6) AS {name}" for name, q in stats.QUANTILES) + " FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
+def examples_per_group_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stats.group_size_quantiles(table(spark, sf, "lineitem"), "l_orderkey")
+    return rows.select("count", "min", "max", *(F.round(c, 6).alias(c) for c in ["mean", "std", *(name for name, _ in stats.QUANTILES)]))
+
+
+@oracle(" UNION ALL ".join(f"SELECT '{name}' AS bin, count(*) FILTER (x >= {low} AND x < {high}) AS n FROM (SELECT l_quantity / 8 AS x FROM lineitem)" for name, low, high in [*((f"[{a}, {b})", a, b) for a, b in zip(stats.CA_EDGES, stats.CA_EDGES[1:])), (">=5.0", 5.0, 1e300)]))
+def bounded_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.distance_histogram(table(spark, sf, "lineitem").select((F.col("l_quantity") / 8).alias("x")), "x")
+
+
+@oracle(" UNION ALL ".join(f"SELECT '{name}' AS bin, count(*) FILTER (s >= {low} AND s <= {high or 10**9}) AS n FROM (SELECT greatest(1, CAST(round_even(exp(abs(ln(l_partkey % 90 + 1))) - 1, 0) AS INTEGER)) AS s FROM lineitem)" for name, low, high in stats.SEPARATIONS))
+def seqsep_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(geometry.signed_log(F.col("l_partkey") % 90).alias("f9"))
+    return stats.separation_histogram(rows, geometry.separation_of(F.col("f9")))
+
+
+def _staged(spark: SparkSession, sf: str) -> DataFrame:
+    rows = inputs.alignments(spark, sf).withColumn("pairs", cigar.pair_count("cigar"))
+    valid = F.floor(F.col("pairs") / 2)
+    return rows.withColumns({"after_valid": valid, "after_distance": F.greatest(F.lit(0), valid - 1), "after_cap": F.least(F.lit(2), F.greatest(F.lit(0), valid - 1)), "error_type": F.when(F.col("sid1") == "d7", "FileNotFoundError"), "status": F.when(valid < 3, pairs.TOO_FEW)})
+
+
+STAGED = f"""{ALIGNMENTS}, np AS (SELECT alignment_id, sid1, CAST(sum(CASE WHEN op = 'P' THEN n ELSE 0 END) AS BIGINT) AS pairs FROM ops GROUP BY 1, 2),
+st AS (SELECT *, pairs // 2 AS v, greatest(0, pairs // 2 - 1) AS d, least(2, greatest(0, pairs // 2 - 1)) AS c, sid1 = 'd7' AS bad, pairs // 2 < 3 AS few FROM np),
+counts AS (SELECT count(*) AS alignments, count(*) FILTER (bad) AS errored, CAST(coalesce(sum(pairs) FILTER (NOT bad), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(v) FILTER (NOT bad), 0) AS BIGINT) AS after_valid, CAST(coalesce(sum(d) FILTER (NOT bad), 0) AS BIGINT) AS after_distance, CAST(coalesce(sum(c) FILTER (NOT bad), 0) AS BIGINT) AS after_cap,
+ CAST(2 * coalesce(sum(c) FILTER (NOT bad), 0) AS BIGINT) AS examples, count(*) FILTER (NOT bad AND c = 0) AS empty, count(*) FILTER (NOT bad AND few) AS degenerate, CAST(coalesce(sum(v) FILTER (NOT bad AND few), 0) AS BIGINT) AS dropped_degenerate FROM st)"""
+
+
+@oracle(f"WITH {STAGED} SELECT * FROM counts")
+def stage_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.stage_counts(_staged(spark, sf))
+
+
+@oracle(f"WITH {STAGED} SELECT pairs >= after_valid AND after_valid >= after_distance AND after_distance >= after_cap AND 2 * after_cap = examples AS ok FROM counts")
+def stage_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.reconciles(stats.stage_counts(_staged(spark, sf)))
+
+
+# ---- geometry
+
+CB = ["cb_x", "cb_y", "cb_z"]
+_d2 = "round(" + " + ".join(f"(a.cb_{d} - b.cb_{d}) * (a.cb_{d} - b.cb_{d})" for d in "xyz") + ", 9)"
+NEAR = f"""{CHAINS}, ends AS (SELECT *, max(idx) OVER (PARTITION BY chain) AS last FROM chains), inner_r AS (SELECT * FROM ends WHERE valid AND idx > 0 AND idx < last),
+cand AS (SELECT a.chain, a.idx AS i, b.idx AS j, {_d2} AS d2 FROM inner_r a JOIN inner_r b ON a.chain = b.chain AND a.idx <> b.idx),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY chain, i ORDER BY d2, j) AS INTEGER) AS r FROM cand),
+near AS (SELECT c.chain, c.idx, n.j AS partner, n.d2 FROM chains c LEFT JOIN ranked n ON n.chain = c.chain AND n.i = c.idx AND n.r = 1)"""
+
+
+@oracle(f"WITH {NEAR} SELECT chain, idx, partner FROM near")
+def nearest_partner(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.nearest(inputs.chains(spark, sf), CB, digits=9).select("chain", "idx", "partner")
+
+
+@oracle(f"""WITH {NEAR}, far AS (SELECT chain, i, arg_min(j, {{'d': d2, 'j': j}}) AS j, min(d2) AS d2 FROM cand WHERE abs(i - j) >= 4 GROUP BY 1, 2)
+SELECT n.chain, n.idx, CASE WHEN f.d2 < 3.0 * 3.0 THEN f.j ELSE n.partner END AS partner FROM near n LEFT JOIN far f ON f.chain = n.chain AND f.i = n.idx""")
+def nearest_partner_minsep(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.nearest(inputs.chains(spark, sf), CB, min_separation=4, fall_back=3.0, digits=9).select("chain", "idx", "partner")
+
+
+@oracle(f"WITH {NEAR} SELECT chain, i AS idx, j AS partner FROM ranked WHERE r = 3")
+def kth_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.kth_nearest(inputs.chains(spark, sf), CB, 3, digits=9)
+
+
+def _steps(name: str, a: str, b: str) -> str:
+    size = "sqrt(" + " + ".join(f"({b}_{d} - {a}_{d}) * ({b}_{d} - {a}_{d})" for d in "xyz") + ")"
+    return ", ".join(f"({b}_{d} - {a}_{d}) / nullif({size}, 0) AS {name}_{d}" for d in "xyz")
+
+
+AROUND = f"""{CHAINS}, nb AS (SELECT chain, idx, valid, ca_x, ca_y, ca_z, {", ".join(f"lag(ca_{d}) OVER w AS p_{d}, lead(ca_{d}) OVER w AS s_{d}" for d in "xyz")}, coalesce(lag(valid) OVER w, false) AND coalesce(lead(valid) OVER w, false) AS sides FROM chains WINDOW w AS (PARTITION BY chain ORDER BY idx)),
+dirs AS (SELECT *, {_steps("back", "p", "ca")}, {_steps("fwd", "ca", "s")} FROM nb)"""
+
+
+@oracle(f"WITH {AROUND} SELECT chain, idx, " + ", ".join(f"round(back_{d}, 6) + 0.0 AS back_{d}, round(fwd_{d}, 6) + 0.0 AS fwd_{d}" for d in "xyz") + " FROM dirs")
+def backbone_directions(spark: SparkSession, sf: str) -> DataFrame:
+    order = Window.partitionBy("chain").orderBy("idx")
+    rows = inputs.chains(spark, sf).select("chain", "idx", "ca", F.lag("ca").over(order).alias("p"), F.lead("ca").over(order).alias("s"))
+    ca, p, s = (geometry.vector(c) for c in ("ca", "p", "s"))
+    back, fwd = geometry.unit(geometry.sub(ca, p)), geometry.unit(geometry.sub(s, ca))
+    return rows.select("chain", "idx", *(r6(c).alias(f"back_{d}") for c, d in zip(back, "xyz")), *(r6(c).alias(f"fwd_{d}") for c, d in zip(fwd, "xyz")))
+
+
+def _dot(a: str, b: str) -> str:
+    return " + ".join(f"{a}_{d} * {b}_{d}" for d in "xyz")
+
+
+DESCRIPTORS = f"""{NEAR}, nb {AROUND.split(", nb ", 1)[1]},
+two AS (SELECT o.chain, o.idx, n.partner, {", ".join(f"o.back_{d} AS u1_{d}, o.fwd_{d} AS u2_{d}, q.back_{d} AS u3_{d}, q.fwd_{d} AS u4_{d}, o.ca_{d} AS a_{d}, q.ca_{d} AS b_{d}" for d in "xyz")}
+ FROM dirs o JOIN near n ON n.chain = o.chain AND n.idx = o.idx JOIN dirs q ON q.chain = o.chain AND q.idx = n.partner WHERE o.valid AND o.sides AND q.sides),
+three AS (SELECT *, {_steps("u5", "a", "b")} FROM two),
+descriptors AS (SELECT chain, idx, partner, {_dot("u1", "u2")} AS f0, {_dot("u3", "u4")} AS f1, {_dot("u1", "u5")} AS f2, {_dot("u3", "u5")} AS f3, {_dot("u1", "u4")} AS f4, {_dot("u2", "u3")} AS f5, {_dot("u1", "u3")} AS f6,
+ sqrt({" + ".join(f"(a_{d} - b_{d}) * (a_{d} - b_{d})" for d in "xyz")}) AS f7, CAST(greatest(-4, least(4, partner - idx)) AS DOUBLE) AS f8, sign(partner - idx) * ln(abs(partner - idx) + 1) AS f9 FROM three)"""
+
+
+def _descriptors(spark: SparkSession, sf: str) -> DataFrame:
+    residues = inputs.chains(spark, sf)
+    return neighbors.descriptors(residues, neighbors.nearest(residues, CB, digits=9))
+
+
+@oracle(f"WITH {DESCRIPTORS} SELECT chain, idx, partner, " + ", ".join(f"round(f{k}, 6) + 0.0 AS f{k}" for k in range(10)) + " FROM descriptors WHERE " + " AND ".join(f"f{k} IS NOT NULL" for k in range(7)))
+def descriptor10(spark: SparkSession, sf: str) -> DataFrame:
+    return _descriptors(spark, sf).select("chain", "idx", "partner", *(r6(F.col(f"f{k}")).alias(f"f{k}") for k in range(10)))
+
+
+@oracle(f"WITH {DESCRIPTORS} SELECT c.chain, c.idx, d.idx IS NOT NULL AS usable FROM chains c LEFT JOIN (SELECT * FROM descriptors WHERE " + " AND ".join(f"f{k} IS NOT NULL" for k in range(7)) + ") d ON d.chain = c.chain AND d.idx = c.idx")
+def descriptor_mask(spark: SparkSession, sf: str) -> DataFrame:
+    found = _descriptors(spark, sf).select("chain", "idx", F.lit(True).alias("usable"))
+    return inputs.chains(spark, sf).select("chain", "idx").join(found, ["chain", "idx"], "left").select("chain", "idx", F.coalesce("usable", F.lit(False)).alias("usable"))
+
+
+def _cross(a: str, b: str) -> dict[str, str]:
+    return {d: f"({a}_{p} * {b}_{q} - {a}_{q} * {b}_{p})" for d, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))}
+
+
+def _unit(name: str, v: str) -> str:
+    return ", ".join(f"{v}_{d} / nullif(sqrt({_dot(v, v)}), 0) AS {name}_{d}" for d in "xyz")
+
+
+@oracle(f"""WITH {CHAINS}, s1 AS (SELECT chain, idx, ca_x, ca_y, ca_z, {_steps("v1", "ca", "c")}, {_steps("v2", "ca", "n")} FROM chains),
+s2 AS (SELECT *, {", ".join(f"v2_{d} + v1_{d} * (1.0::DOUBLE / 3) AS b1_{d}" for d in "xyz")} FROM s1),
+s3 AS (SELECT *, {", ".join(f"{e} AS b2_{d}" for d, e in _cross("v1", "b1").items())} FROM s2),
+s4 AS (SELECT *, {_unit("u1", "b1")}, {_unit("u2", "b2")} FROM s3)
+SELECT chain, idx, {", ".join(f"round(ca_{d} + 1.5336::DOUBLE * (-v1_{d} / 3 + sqrt(8::DOUBLE) / 3 * sqrt({_dot('v1', 'v1')}) * (-u1_{d} / 2 - sqrt(3::DOUBLE) / 2 * u2_{d})), 6) + 0.0 AS cb_{d}" for d in "xyz")} FROM s4""")
+def approx_cb(spark: SparkSession, sf: str) -> DataFrame:
+    rows = inputs.chains(spark, sf)
+    v = geometry.approx_cb(*(geometry.vector(c) for c in ("ca", "n", "c")))
+    return rows.select("chain", "idx", *(r6(c).alias(f"cb_{d}") for c, d in zip(v, "xyz")))
+
+
+VIRTUAL = (270.0, 30.0, 2.0)
+
+
+def _turn(v: str, k: str, out: str, degrees: float) -> str:
+    c, s = f"cos(radians({degrees}))", f"sin(radians({degrees}))"
+    return ", ".join(f"{v}_{d} * {c} + {e} * {s} + {k}_{d} * ({_dot(k, v)}) * (1 - {c}) AS {out}_{d}" for d, e in _cross(k, v).items())
+
+
+@oracle(f"""WITH {CHAINS}, s1 AS (SELECT chain, idx, ca_x, ca_y, ca_z, {", ".join(f"cb_{d} - ca_{d} AS v_{d}, n_{d} - ca_{d} AS m_{d}" for d in "xyz")} FROM chains),
+s2 AS (SELECT *, {", ".join(f"{e} AS k_{d}" for d, e in _cross("v", "m").items())} FROM s1),
+s3 AS (SELECT *, {", ".join(f"k_{d} / greatest(sqrt({_dot('k', 'k')}), 1e-8) AS h_{d}" for d in "xyz")}, {_unit("a", "m")} FROM s2),
+s4 AS (SELECT *, {_turn("v", "h", "w", VIRTUAL[0])} FROM s3), s5 AS (SELECT *, {_turn("w", "a", "z", VIRTUAL[1])} FROM s4)
+SELECT chain, idx, {", ".join(f"round(ca_{d} + z_{d} * {VIRTUAL[2]}, 6) + 0.0 AS cb_{d}" for d in "xyz")} FROM s5""")
+def virtual_center(spark: SparkSession, sf: str) -> DataFrame:
+    rows = inputs.chains(spark, sf)
+    v = geometry.virtual_center(*(geometry.vector(c) for c in ("ca", "cb", "n")), *VIRTUAL)
+    return rows.select("chain", "idx", *(r6(c).alias(f"cb_{d}") for c, d in zip(v, "xyz")))
+
+
+def _chain_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Residues of the same number in chains that follow one another, as aligned pairs."""
+    rows = inputs.chains(spark, sf).where("valid")
+    x = rows.select(F.col("chain").alias("chain1"), F.col("idx").alias("k"), F.col("ca").alias("x_ca"))
+    y = rows.select((F.col("chain") - 1).alias("chain1"), F.col("idx").alias("k"), F.col("ca").alias("y_ca"))
+    return x.join(y, ["chain1", "k"]).withColumn("alignment_id", F.col("chain1").cast("string"))
+
+
+@oracle(f"WITH {CHAINS} SELECT a.chain AS chain1, a.idx AS k, round(sqrt({' + '.join(f'(a.ca_{d} - b.ca_{d}) * (a.ca_{d} - b.ca_{d})' for d in 'xyz')}), 6) AS ca_dist_raw FROM chains a JOIN chains b ON b.chain = a.chain + 1 AND a.idx = b.idx WHERE a.valid AND b.valid")
+def raw_ca_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.raw_distance(_chain_pairs(spark, sf)).select("chain1", "k", F.round("ca_dist_raw", 6).alias("ca_dist_raw"))
+
+
+@oracle()
+def superposed_ca_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.superposed(_chain_pairs(spark, sf)).select("chain1", "k", "ca_dist", "status")
+
+
+@oracle()
+def kabsch_status(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs.superposed(_chain_pairs(spark, sf).where("k < chain1 or chain1 > 4"))
+    return rows.groupBy("chain1").agg(F.first("status").alias("status"), F.count("*").alias("n_pairs"), F.count_if(F.col("ca_dist") <= 5).alias("within_5"))
+
+
+# ---- quantizers
+
+LEVELS = [5, 4]
+
+
+def _latent(spark: SparkSession, sf: str, n: int = 2) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double") * 8.0).alias("z"))
+
+
+_digits = {5: "CAST(greatest(0, least(4, round_even((tanh(8.0::DOUBLE * embedding[1]::DOUBLE) + 1.0) / 2.0 * 4.0, 0))) AS INTEGER)", 4: "CAST(greatest(0, least(3, round_even((tanh(8.0::DOUBLE * embedding[2]::DOUBLE) + 1.0 - 0.25) / 2.0 * 3.0, 0))) AS INTEGER)"}
+FSQ = f"fsq AS (SELECT vec_id, label, {_digits[5]} * 4 + {_digits[4]} AS state FROM embeddings)"
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    return _latent(spark, sf).select("vec_id", "label", quantize.fsq_state([F.get("z", F.lit(0)), F.get("z", F.lit(1))], LEVELS).alias("state"))
+
+
+@oracle(f"WITH {FSQ} SELECT vec_id, state FROM fsq")
+def fsq_states(spark: SparkSession, sf: str) -> DataFrame:
+    return _states(spark, sf).select("vec_id", "state")
+
+
+@oracle("SELECT CAST(a * 4 + b AS INTEGER) AS state, round(-1 + a / 2, 6) + 0.0 AS v0, round(-0.75 + b / 2, 6) + 0.0 AS v1 FROM (SELECT CAST(unnest(range(5)) AS DOUBLE) AS a), (SELECT CAST(unnest(range(4)) AS DOUBLE) AS b)")
+def fsq_codebook(spark: SparkSession, sf: str) -> DataFrame:
+    return quantize.fsq_codebook(spark, LEVELS).select("state", *(r6(F.get("vec", F.lit(k))).alias(f"v{k}") for k in range(2)))
+
+
+ALL_STATES = f"{FSQ}, grid AS (SELECT CAST(unnest(range(20)) AS INTEGER) AS s), used AS (SELECT substr('{quantize.LETTERS}', s + 1, 1) AS letter, count(state) AS n FROM grid LEFT JOIN fsq ON state = s GROUP BY s)"
+
+
+def _usage(spark: SparkSession, sf: str) -> DataFrame:
+    letters = spark.range(20).select(quantize.letter(F.col("id").cast("int")).alias("letter"))
+    return submat.usage(_states(spark, sf).select(quantize.letter(F.col("state")).alias("seq")), letters)
+
+
+@oracle(f"WITH {ALL_STATES} SELECT letter, n FROM used")
+def state_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return _usage(spark, sf)
+
+
+@oracle(f"WITH {ALL_STATES}, p AS (SELECT n::DOUBLE / sum(n) OVER () AS p FROM used) SELECT round(avg(CASE WHEN p < 1e-5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS dead_fraction, round(-sum(p * ln(p + 1e-10)) / ln(count(*)), 6) AS normalized_entropy, round(exp(-sum(p * ln(p + 1e-10))), 5) AS perplexity FROM p")
+def perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    return submat.diagnostics(_usage(spark, sf)).select(F.round("dead_fraction", 6).alias("dead_fraction"), F.round("normalized_entropy", 6).alias("normalized_entropy"), F.round("perplexity", 5).alias("perplexity"))
+
+
+DIMS = range(8)
+CENTROIDS = f"""cents AS (SELECT label AS state, {", ".join(f"avg(embedding[{k + 1}]::DOUBLE) AS c{k}" for k in DIMS)} FROM embeddings GROUP BY 1),
+dist AS (SELECT vec_id, state, round({" + ".join(f"(embedding[{k + 1}]::DOUBLE - c{k}) * (embedding[{k + 1}]::DOUBLE - c{k})" for k in DIMS)}, 9) AS d2 FROM embeddings, cents),
+placed_d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, state) AS r FROM dist)"""
+
+
+def _assigned(spark: SparkSession, sf: str) -> DataFrame:
+    from foldline.operators.codebook import assign
+
+    rows = _latent(spark, sf, 8).select("vec_id", "label", F.transform("z", lambda x: x / 8.0).alias("z"))
+    means = rows.groupBy(F.col("label").alias("state")).agg(F.array(*(F.avg(F.get("z", F.lit(k))) for k in DIMS)).alias("vec"))
+    return assign(rows, means, digits=9)
+
+
+@oracle(f"WITH {CENTROIDS} SELECT vec_id, state FROM placed_d WHERE r = 1")
+def centroid_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf).select("vec_id", "state")
+
+
+@oracle(f"WITH {CENTROIDS} SELECT round(avg(sqrt(b.d2) - sqrt(a.d2)), 6) AS margin FROM placed_d a JOIN placed_d b ON a.vec_id = b.vec_id AND a.r = 1 AND b.r = 2")
+def vq_margin(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf).agg(F.round(F.avg("margin"), 6).alias("margin"))
+
+
+@oracle(f"WITH {CENTROIDS}, s AS (SELECT state, e.* FROM placed_d p JOIN embeddings e USING (vec_id) WHERE r = 1) SELECT state, count(*) AS n, {', '.join(f'round(sum(embedding[{k + 1}]::DOUBLE), 6) + 0.0 AS s{k}' for k in DIMS)} FROM s GROUP BY 1")
+def codebook_sums(spark: SparkSession, sf: str) -> DataFrame:
+    from foldline.operators.codebook import batch_sums
+
+    return batch_sums(_assigned(spark, sf), 8).select("state", "n", *(r6(F.get("sums", F.lit(k))).alias(f"s{k}") for k in DIMS))
+
+
+# ---- sequences, counts and matrices
+
+@oracle(f"WITH {SEQUENCES} SELECT sid, seq FROM sequences")
+def state_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.sequences(spark, sf)
+
+
+@oracle(f"WITH {EVENT_PAIRS} SELECT a, b, n FROM counts")
+def joint_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return submat.joint_counts(inputs.event_pairs(spark, sf), "".join(STATES))
+
+
+ALIGNED = f"""{ALIGNMENTS}, {SEQUENCES}, al AS (SELECT alignment_id, k, i, j, lag(i) OVER w AS ip, lag(j) OVER w AS jp, x.seq AS q1, y.seq AS q2 FROM pairs JOIN sequences x ON x.sid = sid1 JOIN sequences y ON y.sid = sid2 WINDOW w AS (PARTITION BY alignment_id ORDER BY k)),
+kept AS (SELECT *, substr(q1, i + 1, 1) AS a, substr(q2, j + 1, 1) AS b FROM al WHERE i < length(q1) AND j < length(q2)),
+lagged AS (SELECT a, b, count(*) AS n FROM (SELECT a, substr(q2, j, 1) AS b FROM kept WHERE jp = j - 1 UNION ALL SELECT b, substr(q1, i, 1) FROM kept WHERE ip = i - 1) GROUP BY 1, 2),
+both_n AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept) GROUP BY 1, 2)"""
+
+
+def _letters(spark: SparkSession, sf: str) -> DataFrame:
+    return submat.aligned_letters(inputs.alignments(spark, sf), inputs.sequences(spark, sf))
+
+
+@oracle(f"WITH {ALIGNED} SELECT a, b, n FROM both_n")
+def aligned_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return submat.joint_counts(_letters(spark, sf), "".join(STATES))
+
+
+@oracle(f"WITH {ALIGNED} SELECT a, b, n FROM lagged")
+def lagged_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return submat.lagged_counts(_letters(spark, sf), "".join(STATES))
+
+
+def _mi(counts: str) -> str:
+    return f"(SELECT coalesce(sum(p * log2(p / (pa * pb))), 0) FROM (SELECT n::DOUBLE / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY a)::DOUBLE / sum(n) OVER () AS pa, sum(n) OVER (PARTITION BY b)::DOUBLE / sum(n) OVER () AS pb FROM {counts}))"
+
+
+@oracle(f"WITH {EVENT_PAIRS} SELECT round({_mi('counts')}, 9) + 0.0 AS mi")
+def mutual_information(spark: SparkSession, sf: str) -> DataFrame:
+    return submat.mutual_information(joint_counts(spark, sf)).select((F.round("mi", 9) + 0.0).alias("mi"))
+
+
+@oracle(f"WITH {ALIGNED}, m AS (SELECT {_mi('both_n')} AS mi, {_mi('lagged')} AS mi_prev) SELECT round(mi, 9) + 0.0 AS mi, round(mi_prev, 9) + 0.0 AS mi_prev, round(mi - (1 - 0.057) * mi_prev, 9) + 0.0 AS mi_adjusted FROM m")
+def adjusted_mi(spark: SparkSession, sf: str) -> DataFrame:
+    found = submat.adjusted_information(aligned_counts(spark, sf), lagged_counts(spark, sf))
+    return found.select(*((F.round(c, 9) + 0.0).alias(c) for c in found.columns))
+
+
+@oracle(f"""WITH {EVENT_PAIRS}, l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c), p AS (SELECT a, b, n::DOUBLE / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY a)::DOUBLE / sum(n) OVER () AS pa, sum(n) OVER (PARTITION BY b)::DOUBLE / sum(n) OVER () AS pb FROM counts)
+SELECT x.c AS a, y.c AS b, coalesce(CAST(round_even(2 * log2(p / (pa * pb)), 0) AS INTEGER), 0) AS score FROM l x CROSS JOIN l y LEFT JOIN p ON p.a = x.c AND p.b = y.c""")
+def substitution_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return submat.scores(joint_counts(spark, sf), inputs.letters(spark))
+
+
+@oracle(f"WITH {EVENT_PAIRS} SELECT CASE WHEN a = 'D' THEN 'B' ELSE a END AS a, CASE WHEN b = 'D' THEN 'B' ELSE b END AS b, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY 1, 2")
+def merge_states(spark: SparkSession, sf: str) -> DataFrame:
+    return submat.merge_states(joint_counts(spark, sf), "D", "B")
+
+
+# ---- ranked search
+
+_dp = "round(" + " + ".join(f"q.embedding[{k + 1}]::DOUBLE * t.embedding[{k + 1}]::DOUBLE" for k in DIMS) + ", 9)"
+HITS = rf"""lookup AS (SELECT 'v' || vec_id AS sid, concat_ws('.', 'a', label % 2, label % 4, label) AS class FROM embeddings),
+hits AS (SELECT 'v' || q.vec_id AS query, 'v' || t.vec_id AS target, {_dp} AS score FROM embeddings q, embeddings t WHERE q.vec_id % 10 = 0 AND t.vec_id % 10 = 0),
+lk AS (SELECT * FROM lookup WHERE CAST(substr(sid, 2) AS INTEGER) % 10 = 0),
+hr AS (SELECT sid, class AS fam, regexp_replace(class, '\.[0-9]+$', '') AS sfam FROM lk), hf AS (SELECT *, regexp_replace(sfam, '\.[0-9]+$', '') AS fold FROM hr),
+sz AS (SELECT *, count(*) OVER (PARTITION BY fam) AS fam_count, count(*) OVER (PARTITION BY sfam) AS sfam_count, count(*) OVER (PARTITION BY fold) AS fold_count FROM hf),
+marked AS (SELECT h.query, h.target, q.fam = t.fam AS sf1, q.sfam = t.sfam AS sf2, q.fold = t.fold AS sf3, q.fam_count, q.sfam_count, q.fold_count, sum(CASE WHEN q.fold <> t.fold THEN 1 ELSE 0 END) OVER (PARTITION BY h.query ORDER BY h.score DESC, h.target ROWS UNBOUNDED PRECEDING) AS fps FROM hits h JOIN sz q ON q.sid = h.query JOIN sz t ON t.sid = h.target),
+found AS (SELECT query, fam_count, sfam_count, fold_count, count(*) FILTER (fps = 0 AND sf1) AS fam_hits, count(*) FILTER (fps = 0 AND sf2 AND NOT sf1) AS sfam_hits, count(*) FILTER (fps = 0 AND sf3 AND NOT sf2) AS fold_hits, CAST(max(least(1, fps)) AS INTEGER) AS fp FROM marked GROUP BY 1, 2, 3, 4),
+sens AS (SELECT query, round(fam_hits::DOUBLE / fam_count, 9) AS fam, round(sfam_hits::DOUBLE / (sfam_count - fam_count), 9) AS sfam, round(fold_hits::DOUBLE / (fold_count - sfam_count), 9) AS fold, fp FROM found WHERE sfam_count > fam_count AND fold_count > sfam_count)"""
+
+
+def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Each tenth vector against each tenth vector (a benchmark's query list), scored by a rounded dot product, and the vectors' classes."""
+    rows = table(spark, sf, "embeddings").where("vec_id % 10 = 0")
+    e = lambda c, k: F.element_at(c, k + 1).cast("double")
+    q = rows.select(F.concat(F.lit("v"), "vec_id").alias("query"), F.col("embedding").alias("x"))
+    t = rows.select(F.concat(F.lit("v"), "vec_id").alias("target"), F.col("embedding").alias("y"))
+    score = sum((e("x", k) * e("y", k) for k in list(DIMS)[1:]), e("x", 0) * e("y", 0))
+    lookup = rows.select(F.concat(F.lit("v"), "vec_id").alias("sid"), F.concat_ws(".", F.lit("a"), (F.col("label") % 2).cast("string"), (F.col("label") % 4).cast("string"), F.col("label").cast("string")).alias("class"))
+    return q.crossJoin(t).select("query", "target", F.round(score, 9).alias("score")), lookup
+
+
+@oracle(f"WITH {HITS} SELECT * FROM found")
+def first_fp_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return search.first_fp_hits(*_hits(spark, sf))
+
+
+def _sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return search.sensitivity(*_hits(spark, sf)).select("query", *(F.round(c, 9).alias(c) for c in ("fam", "sfam", "fold")), "fp")
+
+
+@oracle(f"WITH {HITS} SELECT * FROM sens")
+def first_fp_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return _sensitivity(spark, sf)
+
+
+@oracle(f"WITH {HITS} SELECT round(sum(fam) / nullif(count(*) + 1, 0), 7) AS fam, round(sum(sfam) / (count(*) + 1), 7) AS sfam, round(sum(fold) / (count(*) + 1), 7) AS fold FROM sens")
+def mean_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = search.mean_sensitivity(_sensitivity(spark, sf), with_header=True)
+    return rows.select(*(F.round(c, 7).alias(c) for c in rows.columns))
+
+
+@oracle(f"WITH {HITS} SELECT CAST(row_number() OVER (ORDER BY fam DESC, query) AS INTEGER) AS rank, round(row_number() OVER (ORDER BY fam DESC, query) / (SELECT count(*) FROM sens), 9) AS x, least(fam, 1.0) AS y FROM sens")
+def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return search.curve(_sensitivity(spark, sf), "fam").select("rank", F.round("x", 9).alias("x"), "y")
+
+
+# ---- splits and samples
+
+@oracle("""WITH g AS (SELECT 'd' || c_custkey AS sid, 'g' || c_nationkey AS group_id FROM customer), o AS (SELECT group_id, row_number() OVER (ORDER BY sha256('42:' || group_id)) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM g))
+SELECT sid, group_id, CASE WHEN place <= floor(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM g JOIN o USING (group_id)""")
+def group_split_hash(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("d"), "c_custkey").alias("sid"), F.concat(F.lit("g"), "c_nationkey").alias("group_id"))
+    return splits.split_by_hash(rows, 0.2, 42)
+
+
+@oracle("SELECT n_name AS fold, CAST(ntile(4) OVER (ORDER BY sha256('7:' || n_name)) AS INTEGER) AS fold_id FROM nation")
+def fold_chunks_ntile(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.fold_chunks(table(spark, sf, "nation").select(F.col("n_name").alias("fold")), 4, splits.hash_order("fold", 7))
+
+
+@oracle("WITH f AS (SELECT n_name AS fold, CAST(ntile(4) OVER (ORDER BY sha256('7:' || n_name)) AS INTEGER) AS fold_id FROM nation) SELECT fold, fold_id, e AS experiment, CASE WHEN fold_id = e THEN 'val' ELSE 'train' END AS split FROM f, (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS e)")
+def fold_complements(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.complements(fold_chunks_ntile(spark, sf), 4)
+
+
+@oracle(f"WITH {ALIGNMENTS} SELECT alignment_id, k, i, j FROM (SELECT *, row_number() OVER (PARTITION BY alignment_id ORDER BY sha256('5:' || alignment_id || ':' || k), k) AS place FROM pairs) WHERE place <= 3")
+def cap_per_alignment_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.capped(pairs.expand(inputs.alignments(spark, sf)), 6, 5).select("alignment_id", "k", "i", "j")
+
+
+@oracle(f"WITH {ALIGNMENTS} SELECT alignment_id, CAST('0x' || right(sha256(concat_ws(':', sid1, sid2, sha256(cigar), 42)), 8) AS BIGINT) AS cap_seed FROM alignments")
+def cap_seed(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.alignments(spark, sf).select("alignment_id", pairs.cap_seed(F.col("sid1"), F.col("sid2"), F.col("cigar"), 42).alias("cap_seed"))
+
+
+# ---- models
+
+@oracle()
+def sw_scores(spark: SparkSession, sf: str) -> DataFrame:
+    import numpy as np
+
+    rows = {(r["a"], r["b"]): r["score"] for r in substitution_matrix(spark, sf).collect()}  # alphabet squared
+    matrix = np.array([[rows[a, b] + (4 if a == b else 0) for b in STATES] for a in STATES])
+    return search.all_against_all(inputs.sequences(spark, sf), "".join(STATES), matrix, least=20)
+
+
+@oracle()
+def kmeans_codebook(spark: SparkSession, sf: str) -> DataFrame:
+    from foldline.operators.codebook import kmeans
+
+    return kmeans(_latent(spark, sf, 8), 20, seed=1)
+
+
+@oracle()
+def encode_model(spark: SparkSession, sf: str) -> DataFrame:
+    from foldline.operators.network import Model, encode_states
+
+    rows = _descriptors(spark, sf).select("chain", "idx", F.array(*(F.col(f"f{k}").cast("float") for k in range(10))).alias("feat"))
+    return encode_states(rows, Model.fresh(seed=3, levels=LEVELS)).select("chain", "idx", "state", quantize.letter(F.col("state")).alias("letter"))
