@@ -24,11 +24,26 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def with_shingles(rows: DataFrame, n: int) -> DataFrame:
-    """rows (any columns, and text) with text replaced by shingles, the hashes of its n-word runs, distinct."""
-    hashed = rows.withColumn("_h", F.transform(words("text"), lambda w: F.xxhash64(w)))
-    at = F.transform(F.slice("_h", 1, F.greatest(F.lit(0), F.size("_h") - (n - 1))), lambda w, i: F.xxhash64(w, *(F.get("_h", i + k) for k in range(1, n))))
-    return hashed.withColumn("shingles", F.array_distinct(at)).drop("_h", "text")
+def once(value: Column, use) -> Column:
+    """use(value) with value evaluated once per row: a lambda's variable is not put in place of its uses."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shingles(text: str, n: int) -> Column:
+    """array<struct<shingle, size>>: the distinct hashes of the n-word runs, each with their number."""
+    hashed = F.transform(words(text), lambda w: F.xxhash64(w))
+
+    def runs(h: Column) -> Column:
+        firsts = F.slice(h, F.lit(1), F.greatest(F.lit(0), F.size(h) - (n - 1)))
+        return F.array_distinct(F.transform(firsts, lambda w, i: F.xxhash64(w, *(F.get(h, i + k) for k in range(1, n)))))
+
+    return once(once(hashed, runs), lambda a: F.transform(a, lambda x: F.struct(x.alias("shingle"), F.size(a).alias("size"))))
+
+
+def exploded(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """key, shingle, size of rows with a key and text. An outer explode: the inner one would make the shingles twice."""
+    rows = rows.select(F.col(key).cast("long"), F.col("text").cast("string")).where(f"{key} is not null and text is not null")
+    return rows.select(key, F.explode_outer(shingles("text", n)).alias("s")).where("s is not null").select(key, "s.shingle", "s.size")
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, percent: int = SHARE) -> DataFrame:
@@ -39,15 +54,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, per
     than n words, null or empty texts and null ids have no shingles and are never found or searched. Repeated rows of an id
     count once, with the shingles of all its texts. Empty tables give no rows.
     """
-    items = with_shingles(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null"), n)
-    items = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id").agg(F.array_sort(F.collect_set("shingle")).alias("shingles"))
+    items = exploded(benchmark, "item_id", n).groupBy("item_id").agg(F.array_sort(F.collect_set("shingle")).alias("shingles"))
     size = F.size("shingles")
     required = F.expr(f"(size(shingles) * {percent} + 99) div 100")
     items = items.select("item_id", size.alias("item_shingles"), required.alias("required"), F.floor(F.log2(required)).cast("int").alias("least_class"), F.posexplode("shingles").alias("rank", "shingle"))
     items = items.withColumn("in_sketch", F.col("rank") <= F.col("item_shingles") - F.col("required")).drop("rank")
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = with_shingles(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null"), n)
-    rows = rows.where(F.size("shingles") > 0).select("doc_id", F.floor(F.log2(F.size("shingles"))).cast("int").alias("class"), F.explode("shingles").alias("shingle"))
+    rows = exploded(docs, "doc_id", n).withColumn("class", F.floor(F.log2("size")).cast("int"))
     items = F.broadcast(items) if few else items
     met = rows.join(items, (rows["shingle"] == items["shingle"]) & (rows["class"] >= items["least_class"])).select("doc_id", "item_id", rows["shingle"], "item_shingles", "required", "in_sketch")
     pairs = met.groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("matched"), F.first("item_shingles").cast("long").alias("item_shingles"), F.first("required").alias("required"), F.max("in_sketch").alias("found"))

@@ -86,7 +86,7 @@ def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: in
     """
     if min_chars <= edits:
         raise ValueError("min_chars must be greater than edits")
-    lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
+    lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
     lines = lines.where(F.char_length("line") >= min_chars).withColumns({"digest": F.unhex(F.md5("line")), "id": F.xxhash64("line")})
     places = cut(lines.select("doc_id", "line_no", "digest"), f"{folder}/places")
 
