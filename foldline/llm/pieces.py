@@ -3,8 +3,8 @@
 The pattern below is the published one of the byte-level vocabulary. A blank-separated word whose
 neighbours are single blanks or line ends has the same pieces wherever it stands, so a text without
 runs of white space is dealt out by str.split and each word's ids are looked up in a memo. Any other
-text goes through the pattern, with a memo by piece. Memos live as long as the Python worker and
-are emptied when they reach their bound.
+text goes through the pattern, with a memo by piece. Memos live as long as the Python worker, in two
+generations of bounded size, so that what is still in use outlives the bound.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import regex
 
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 600_000
+#: Entries of a generation of the memos by piece and by word.
+PIECES, WORDS = 300_000, 300_000
 #: Words of more characters are not kept, which bounds the memo's bytes.
 MEMO_CHARS = 64
 
@@ -34,16 +35,19 @@ def plain(text: str) -> bool:
 
 
 class Memo(dict):
-    """piece -> whatever encode makes of it."""
+    """piece -> whatever encode makes of it; the older generation is kept beside until the next is full."""
 
-    def __init__(self, encode: Callable[[str], object]):
+    def __init__(self, encode: Callable[[str], object], entries: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.entries, self.older = encode, entries, {}
 
     def __missing__(self, piece: str):
-        made = self.encode(piece)
+        made = self.older.get(piece)
+        if made is None:
+            made = self.encode(piece)
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
+                self.older = dict(self)
                 self.clear()
             self[piece] = made
         return made
@@ -55,10 +59,10 @@ class Splitter:
     one: encodes a single piece; many: joins the encodings of a word's pieces.
     """
 
-    def __init__(self, one: Callable[[str], object], many: Callable[[list], object]):
-        self.piece = Memo(one)
-        self.first = Memo(lambda w: self._word(w, many))
-        self.later = Memo(lambda w: self._word(" " + w, many))
+    def __init__(self, one: Callable[[str], object], many: Callable[[list], object], pieces: int = PIECES, words: int = WORDS):
+        self.piece = Memo(one, pieces)
+        self.first = Memo(lambda w: self._word(w, many), words // 4)
+        self.later = Memo(lambda w: self._word(" " + w, many), words)
         self.line_end = one("\n")
 
     def _word(self, text: str, many: Callable[[list], object]):

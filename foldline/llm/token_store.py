@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldline.llm.bpe_transducer import byte_alphabet
 from foldline.llm.pieces import Splitter
 
 #: Ids that the rolling hash sees, the mean chunk in ids as a power of two, and the bounds of a chunk.
@@ -32,6 +34,9 @@ WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
 #: Digests that a task keeps to send a chunk's bytes once; more are settled after the shuffle.
 SEEN = 200_000
 
+#: Pieces and words in a generation of the memos of the encoder, whose values are short.
+PIECES, WORDS = 600_000, 400_000
+
 ENTRY = "doc_id long, row_key long, pos int, n int, digest binary, data binary"
 
 
@@ -44,11 +49,18 @@ class IdEncoder:
         self.library = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.splitter = Splitter(self._ids, b"".join)
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.as_vocabulary = {b: c for c, b in byte_alphabet().items()}
+        self.splitter = Splitter(self._piece, b"".join, pieces=PIECES, words=WORDS)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """A piece is what the library's pre-tokenizer hands to its model; the model alone is called."""
+        found = self.library.model.tokenize("".join(map(self.as_vocabulary.__getitem__, piece.encode())))
+        return array(self.code, [t.id for t in found]).tobytes()
+
     def __call__(self, text: str) -> bytes:
         if any(m in text for m in self.marks):
             return self._ids(text)
