@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARTEFACTS = ("examples", "pair_metadata", "structures", "skipped_alignments.tsv", "report.json", "report.md", "manifest.json", "DATACARD.md", "scaler.json")
+ARTEFACTS = ("descriptors", "examples", "pair_metadata", "structures", "skipped_alignments.tsv", "report.json", "report.md", "manifest.json", "DATACARD.md", "scaler.json")
 
 
 def prepare_folder(folder: str, force: bool = False) -> None:
