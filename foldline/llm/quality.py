@@ -32,11 +32,13 @@ _FORM[0x41:0x5B] = 1  # upper case
 _FORM[0x61:0x7B] = ord("a")
 _FORM[0x80:] = ord("a")
 _SAME = (1 << WORD_BITS) + 2 * (1 << FORM_BITS)
-SIZE = _SAME + 3
+#: One weight for each doubling of the number of words, for texts too short to show their words' kind.
+_LENGTH, LENGTH_VALUE = _SAME + 2, 0.5
+SIZE = _LENGTH + 32 + 1
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights' numbers in order and their values, of length 1 in all; the last is the bias."""
+    """Weights' numbers in order and their values; those of words and pairs have length 1 in all, the last is the bias."""
     raw = (text or "").encode()
     words = word_hashes(raw)
     if not len(words):
@@ -54,7 +56,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     where, counts = np.unique(np.concatenate(ids).astype(np.int32), return_counts=True)
     values = np.log1p(counts).astype(np.float32)
     values /= np.sqrt((values * values).sum())
-    return np.append(where, np.int32(SIZE - 1)), np.append(values, np.float32(1))
+    length = _LENGTH + min(31, len(words).bit_length())
+    return np.append(where, np.array([length, SIZE - 1], np.int32)), np.append(values, np.array([LENGTH_VALUE, 1], np.float32))
 
 
 class Leader:
