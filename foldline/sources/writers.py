@@ -44,7 +44,7 @@ def tsv(rows: DataFrame, path: str) -> None:
 def json_file(value: dict, path: str) -> None:
     """Strict JSON: NaN is an error."""
     with open(path, "w") as f:
-        json.dump(value, f, indent=2, sort_keys=True, allow_nan=False)
+        json.dump(value, f, indent=2, allow_nan=False)
         f.write("\n")
 
 
