@@ -4,8 +4,10 @@ Two lines within `edits` edits share, of the edits + 1 segments that the shorter
 unchanged. Segments of distinct lines are indexed under (line length, segment number, segment); a line
 probes the lengths up to its own with the substrings at positions that a match of so few edits
 can have left it at. Keys that only one line has are dropped by a combined aggregate before any
-pair is made. Candidate pairs are verified with the banded bit-parallel edit distance. Classes
-are what chains of links connect; the earliest line of a class stays. DataFrame functions only.
+pair is made. Lines that share a key are compared inside the join, so that only links leave it: first by
+finer segments, all of which but one for each edit must be there within the shift that edits allow,
+then by the banded bit-parallel edit distance. Classes are what chains of links connect; the earliest line
+of a class stays. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from foldline.llm.shared import components, cut
 EDITS = 2
 #: Lines of fewer characters are left alone: short lines are within few edits of each other by chance.
 MIN_CHARS = 30
-#: Keys or line hashes that may be broadcast; more are joined by a shuffle.
+#: Finer segments that candidates are compared by.
+FINE = 8
+#: Keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -31,9 +35,9 @@ def segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
     return start, base + F.when(F.lit(parts - k) < rest, 1).otherwise(0)
 
 
-def keys(line: str, edits: int) -> Column:
+def keys(line: str, length: Column, edits: int) -> Column:
     """An array of (key, indexed): the line's own segments, and what it probes shorter and equal lengths with."""
-    length, out = F.char_length(line), []
+    out = []
     for less in range(edits + 1):
         for k in range(1, edits + 2):
             start, size = segment(length - less, k, edits)
@@ -47,6 +51,19 @@ def keys(line: str, edits: int) -> Column:
     return F.array(*out)
 
 
+def enough_segments(a: str, b: str, length: str, edits: int) -> Column:
+    """All but `edits` of a's finer segments (a has the given length) stand in b, moved by at most `edits`."""
+    found = []
+    for k in range(FINE):
+        start, stop = (F.expr(f"cast({k + x} * {length} div {FINE} as int)") for x in (0, 1))
+        own = F.col(a).substr(start + 1, stop - start)
+        there = F.lit(False)
+        for shift in sorted(range(-edits, edits + 1), key=abs):
+            there = there | (own == F.col(b).substr(start + (1 + shift), stop - start))
+        found.append(there.cast("int"))
+    return sum(found[1:], found[0]) >= FINE - edits
+
+
 def edit_distance(a: str, b: str, edits: int) -> Column:
     """The edit distance of two columns if it is at most edits, else a larger number; both are longer than edits.
 
@@ -87,23 +104,18 @@ def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: in
     if min_chars <= edits:
         raise ValueError("min_chars must be greater than edits")
     lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    lines = lines.where(F.char_length("line") >= min_chars).withColumns({"digest": F.unhex(F.md5("line")), "id": F.xxhash64("line")})
+    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars).withColumns({"digest": F.unhex(F.md5("line")), "id": F.xxhash64("line")})
     places = cut(lines.select("doc_id", "line_no", "digest"), f"{folder}/places")
 
-    held = lines.select("id", F.explode(keys("line", edits)).alias("k")).select("id", "k.key", "k.indexed").where("key is not null")
+    held = lines.select("id", "digest", "line", "n", F.explode(keys("line", F.col("n"), edits)).alias("k")).select("id", "digest", "line", "n", "k.key", "k.indexed").where("key is not null")
     shared = held.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     shared = cut(shared, f"{folder}/keys")
-    met = cut(held.join(few(shared), "key").distinct(), f"{folder}/met")
-    index, probe = met.where("indexed").select("key", F.col("id").alias("x")), met.select("key", F.col("id").alias("y"), "indexed")
-    pairs = index.join(probe, "key").where("x <> y and (not indexed or x < y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pairs = cut(pairs, f"{folder}/pairs")
-
-    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    texts = cut(lines.select("id", "digest", "line").join(few(wanted), "id", "left_semi").dropDuplicates(["digest"]), f"{folder}/texts")
-    a = texts.select(F.col("id").alias("x"), F.col("digest").alias("a"), F.col("line").alias("la"))
-    b = texts.select(F.col("id").alias("y"), F.col("digest").alias("b"), F.col("line").alias("lb"))
-    near = pairs.join(a, "x").join(b, "y").where(F.abs(F.char_length("la") - F.char_length("lb")) <= edits).where(edit_distance("la", "lb", edits) <= edits)
-    links = cut(near.select("a", "b").distinct(), f"{folder}/links")
+    met = cut(held.join(few(shared), "key").groupBy("key", "digest", "indexed").agg(F.first("line").alias("line"), F.first("n").alias("n")), f"{folder}/met")
+    index = met.where("indexed").select("key", F.col("digest").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
+    probe = met.select("key", F.col("digest").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"), "indexed")
+    near = index.join(probe, "key").where("a <> b and (not indexed or a < b) and abs(na - nb) <= " + str(edits))
+    near = near.where(enough_segments("la", "lb", "na", edits)).where(edit_distance("la", "lb", edits) <= edits)
+    links = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{folder}/links")
 
     classes = components(links, f"{folder}/classes").select(F.col("node").alias("digest"), F.col("component").alias("class"))
     degrees = links.select(F.col("a").alias("digest")).union(links.select("b")).groupBy("digest").agg(F.count("*").alias("links"))
