@@ -20,6 +20,9 @@ PIECES, WORDS = 300_000, 300_000
 #: Words of more characters are not kept, which bounds the memo's bytes.
 MEMO_CHARS = 64
 
+#: Marks that are a piece of their own after a word of letters.
+MARKS = tuple(",.;:!?")
+
 #: All white space but the blank and the line feed.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _OTHER_ASCII = [c for c in _OTHER if c.isascii()]
@@ -66,6 +69,12 @@ class Splitter:
         self.line_end = one("\n")
 
     def _word(self, text: str, many: Callable[[list], object]):
+        # Most words are letters, or letters and one mark; the pattern's pieces are plain to see.
+        letters = text.removeprefix(" ")
+        if letters.isalpha():
+            return self.piece[text]
+        if letters[-1:] in MARKS and letters[:-1].isalpha():
+            return many([self.piece[text[:-1]], self.piece[letters[-1]]])
         found = [self.piece[m.group()] for m in _find(text)]
         return found[0] if len(found) == 1 else many(found)
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
 SEEN = 200_000
 
 #: Pieces and words in a generation of the memos of the encoder, whose values are short.
-PIECES, WORDS = 600_000, 400_000
+PIECES, WORDS = 450_000, 200_000
 
 ENTRY = "doc_id long, row_key long, pos int, n int, digest binary, data binary"
 
@@ -123,41 +124,31 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0] if level else name(b"")
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the checksum's polynomial, bits reversed."""
-    out = 0
-    while a:
-        if a & 0x80000000:
-            out ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo the checksum's polynomial, bits reversed."""
+    out, b = np.zeros_like(b), b.copy()
+    for bit in range(31, -1, -1):
+        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = b >> np.uint32(1) ^ np.where(b & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
     return out
 
 
-_shifts: dict[int, int] = {}
+def shifted(crcs: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """What each crc32 adds to the whole's when so many bytes follow: the crc times x to the power of 8 bytes."""
+    crcs, after, square = crcs.astype(np.uint32), after.astype(np.int64), np.full(1, 0x00800000, np.uint32)  # x**8
+    while after.any():
+        odd = (after & 1).astype(bool)
+        crcs[odd] = _times(np.broadcast_to(square, odd.sum()), crcs[odd])
+        square, after = _times(square, square), after >> 1
+    return crcs
 
 
-def _shift(n: int) -> int:
-    """x to the power of 8 n modulo the polynomial."""
-    if n not in _shifts:
-        out, square, left = 0x80000000, 0x00800000, n  # 1 and x**8
-        while left:
-            if left & 1:
-                out = _times(square, out)
-            square = _times(square, square)
-            left >>= 1
-        if len(_shifts) > 100_000:
-            _shifts.clear()
-        _shifts[n] = out
-    return _shifts[n]
-
-
-def joined_crc(parts: list[tuple[int, int]]) -> int:
-    """crc32 of a concatenation from the (crc32, bytes) of its parts."""
-    crc = 0
-    for k, (own, n) in enumerate(parts):
-        crc = (_times(_shift(n), crc) if k else 0) ^ own
-    return crc
+def joined_crcs(crcs: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """crc32 of each concatenation; parts: how many of the (crc32, bytes) rows each is made of, at least one."""
+    ends = np.cumsum(parts)
+    total = np.cumsum(sizes)
+    after = np.repeat(total[ends - 1], parts) - total
+    return np.bitwise_xor.reduceat(shifted(crcs, after), ends - parts)
 
 
 def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
@@ -200,8 +191,6 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
             data = pa.compute.if_else(pa.array(keep), data, pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], data], batch.schema.names)
 
-    import pyarrow.compute  # noqa: F401
-
     spark = docs.sparkSession
     entries = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, ENTRY)
     # Rows that bring bytes meet the others of their digest; the rest, of hot chunks too, spread evenly.
@@ -248,13 +237,18 @@ def read_store(spark, folder: str, id_bytes: int = 2) -> DataFrame:
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, crcs, whole = [], [], []
-            for root, chunks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                there = [c for c in chunks if c["found"] is not None]
-                counts.append(sum(c["bytes"] for c in there) // 4)
-                crcs.append(joined_crc([(c["crc"], c["bytes"]) for c in there]))
-                whole.append(len(there) == len(chunks) and merkle([c["found"] for c in there]) == root)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(whole, pa.bool_())], ["doc_id", "row_key", "n_tokens", "ids_crc32", "whole"])
+            lists = batch.column(3)
+            if not len(lists):
+                continue
+            found, parts = lists.flatten().field("found").to_pylist(), lists.value_lengths().to_numpy()
+            # A chunk that is missing counts as no bytes, and makes its document fail.
+            crcs, sizes = (pa.compute.fill_null(lists.flatten().field(f), 0).to_numpy() for f in ("crc", "bytes"))
+            ends, whole = np.cumsum(parts), []
+            for root, end, n in zip(batch.column(2).to_pylist(), ends.tolist(), parts.tolist()):
+                own = found[end - n : end]
+                whole.append(None not in own and merkle(own) == root)
+            counts = np.add.reduceat(sizes, ends - parts) // 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(joined_crcs(crcs, sizes, parts).astype(np.int64)), pa.array(whole, pa.bool_())], ["doc_id", "row_key", "n_tokens", "ids_crc32", "whole"])
 
     manifest = spark.read.parquet(f"{folder}/manifest")
     chunks = spark.read.schema(ENTRY).parquet(f"{folder}/entries").where("data is not null").select("digest", "data").mapInArrow(check, "digest binary, found binary, crc long, bytes long")

@@ -7,7 +7,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from foldline.llm.shared import work_dir  # noqa: E402
-from foldline.llm.token_store import chunk_ends, joined_crc, merkle, read_store, store_and_read  # noqa: E402
+from foldline.llm.token_store import chunk_ends, joined_crcs, merkle, read_store, store_and_read  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -45,5 +45,7 @@ def test_parts():
     ends = chunk_ends(ids)
     assert ends[-1] == len(ids) and all(b > a for a, b in zip(ends, ends[1:]))
     parts = [ids[a:b].astype("<u4") for a, b in zip([0, *ends], ends)]
-    assert joined_crc([(zlib.crc32(p), p.nbytes) for p in parts]) == zlib.crc32(ids.astype("<u4"))
+    rows = [*parts, parts[0]]
+    joined = joined_crcs(np.array([zlib.crc32(p) for p in rows]), np.array([p.nbytes for p in rows]), np.array([len(parts), 1]))
+    assert joined.tolist() == [zlib.crc32(ids.astype("<u4")), zlib.crc32(parts[0])]
     assert chunk_ends(np.zeros(10000, "<u2"))[-1] == 10000 and merkle([b"a"]) == b"a" and merkle([b"a", b"b", b"c"]) != merkle([b"c", b"b", b"a"])
