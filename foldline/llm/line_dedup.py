@@ -26,42 +26,38 @@ FINE = 8
 BROADCAST_ROWS = 1_000_000
 
 
-def segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment k (from 1) of a line of the given length; the last ones take the rest."""
+def probes(edits: int) -> Column:
+    """A constant array of (less, k, shift): segment k of a line `less` shorter may stand `shift` further on.
+
+    Those that a match within the edits needs, if the k - 1 segments before and the rest after share them.
+    """
+    found = [(less, k, shift) for less in range(edits + 1) for k in range(1, edits + 2) for shift in range(-edits, edits + 1) if abs(shift) <= k - 1 and abs(shift - less) <= edits + 1 - k]
+    return F.array(*(F.struct(F.lit(a).alias("less"), F.lit(k).alias("k"), F.lit(s).alias("shift")) for a, k, s in found))
+
+
+def with_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """lines (line, n and more) once for each probe: key, and indexed for the line's own segments.
+
+    One short expression on exploded constants: written out for each probe, the generated method
+    would be too long for the JVM to compile.
+    """
     parts = edits + 1
-    base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    # Of the k - 1 segments before, those beyond the first parts - rest are one longer.
-    start = 1 + base * (k - 1) + F.greatest(F.lit(0), rest - (parts - (k - 1)))
-    return start, base + F.when(F.lit(parts - k) < rest, 1).otherwise(0)
-
-
-def keys(line: str, length: Column, edits: int) -> Column:
-    """An array of (key, indexed): the line's own segments, and what it probes shorter and equal lengths with."""
-    out = []
-    for less in range(edits + 1):
-        for k in range(1, edits + 2):
-            start, size = segment(length - less, k, edits)
-            for shift in range(-edits, edits + 1):
-                if abs(shift) <= k - 1 and abs(shift - less) <= edits + 1 - k:
-                    at = start + shift
-                    own = less == 0 and shift == 0
-                    key = F.xxhash64(length - less, F.lit(k), F.col(line).substr(at, size))
-                    fits = (at >= 1) & (at + size - 1 <= length)
-                    out.append(F.struct(F.when(fits, key).alias("key"), F.lit(own).alias("indexed")))
-    return F.array(*out)
+    rows = lines.select("*", F.explode(probes(edits)).alias("p")).select(*lines.columns, "p.*")
+    # The last n % parts segments are one longer; start counts from 1.
+    start = f"1 + ((n - less) div {parts}) * (k - 1) + greatest(0, (n - less) % {parts} - ({parts} - (k - 1))) + shift"
+    size = f"(n - less) div {parts} + if({parts} - k < (n - less) % {parts}, 1, 0)"
+    rows = rows.withColumns({"_at": F.expr(f"cast({start} as int)"), "_size": F.expr(f"cast({size} as int)")}).where("_at >= 1 and _at + _size - 1 <= n")
+    key = F.expr("xxhash64(n - less, k, substring(line, _at, _size))")
+    return rows.select(*lines.columns, key.alias("key"), F.expr("less = 0 and shift = 0").alias("indexed"))
 
 
 def enough_segments(a: str, b: str, length: str, edits: int) -> Column:
     """All but `edits` of a's finer segments (a has the given length) stand in b, moved by at most `edits`."""
-    found = []
-    for k in range(FINE):
-        start, stop = (F.expr(f"cast({k + x} * {length} div {FINE} as int)") for x in (0, 1))
-        own = F.col(a).substr(start + 1, stop - start)
-        there = F.lit(False)
-        for shift in sorted(range(-edits, edits + 1), key=abs):
-            there = there | (own == F.col(b).substr(start + (1 + shift), stop - start))
-        found.append(there.cast("int"))
-    return sum(found[1:], found[0]) >= FINE - edits
+    shifts = ", ".join(map(str, sorted(range(-edits, edits + 1), key=abs)))
+    own = f"substring({a}, cast(k * {length} div {FINE} as int) + 1, cast((k + 1) * {length} div {FINE} as int) - cast(k * {length} div {FINE} as int))"
+    there = f"exists(array({shifts}), s -> substring({b}, cast(k * {length} div {FINE} as int) + 1 + s, char_length(own)) = own)"
+    missing = f"aggregate(transform(sequence(0, {FINE - 1}), k -> exists(array({own}), own -> {there})), 0, (m, x) -> m + if(x, 0, 1))"
+    return F.expr(f"{missing} <= {edits}")
 
 
 def edit_distance(a: str, b: str, edits: int) -> Column:
@@ -107,7 +103,7 @@ def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: in
     lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars).withColumns({"digest": F.unhex(F.md5("line")), "id": F.xxhash64("line")})
     places = cut(lines.select("doc_id", "line_no", "digest"), f"{folder}/places")
 
-    held = lines.select("id", "digest", "line", "n", F.explode(keys("line", F.col("n"), edits)).alias("k")).select("id", "digest", "line", "n", "k.key", "k.indexed").where("key is not null")
+    held = with_keys(lines.select("id", "digest", "line", "n"), edits)
     shared = held.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     shared = cut(shared, f"{folder}/keys")
     met = cut(held.join(few(shared), "key").groupBy("key", "digest", "indexed").agg(F.first("line").alias("line"), F.first("n").alias("n")), f"{folder}/met")
