@@ -16,6 +16,10 @@ GAP_OPEN, GAP_EXTEND, LEAST_SCORE = 8, 2, 50
 NORMALISERS = (0.928162, 0.662063, 0.275436)
 #: Queries that meet one block of targets in a task.
 BLOCK = 256
+#: Tasks that the pairs of blocks are dealt to, at most.
+PARTITIONS = 4096
+#: Cells of a row that a query is aligned along at once, over all its targets of a group.
+CELLS = 16384
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, matrix: np.ndarray, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> int:
@@ -36,6 +40,33 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, matrix: np.ndarray, gap_open: i
     return best
 
 
+def smith_waterman_many(a: np.ndarray, many: list[np.ndarray], matrix: np.ndarray, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> np.ndarray:
+    """smith_waterman of a and each of many, a row of all of them at a time.
+
+    Shorter ones are filled up at the end with a letter that matches nothing, so their best stays.
+    """
+    m, n = len(many), max(map(len, many), default=0)
+    if not len(a) or not n:
+        return np.zeros(m, np.int32)
+    b = np.full((n, m), len(matrix))
+    for k, one in enumerate(many):
+        b[: len(one), k] = one
+    scores = np.concatenate([matrix, np.full((len(matrix), 1), -(10**9))], axis=1).astype(np.int32)
+    # A column for each of many, so that the running maxima go down whole rows.
+    above, down, best = np.zeros((n + 1, m), np.int32), np.full((n, m), -(10**9), np.int32), np.zeros((n + 1, m), np.int32)
+    step, of = np.arange(n + 1, dtype=np.int32)[:, None] * np.int32(gap_extend), {c: scores[c][b] for c in np.unique(a)}
+    for letter in a:
+        down = np.maximum(down - gap_extend, above[1:] - gap_open)
+        row = np.zeros((n + 1, m), np.int32)
+        np.maximum(0, np.maximum(above[:-1] + of[letter], down), out=row[1:])
+        # A gap along the row, as in smith_waterman.
+        reach = np.maximum.accumulate(row + step, axis=0)
+        np.maximum(row[1:], reach[:-1] - (step[1:] + (gap_open - gap_extend)), out=row[1:])
+        above = row
+        np.maximum(best, row, out=best)
+    return best.max(axis=0)
+
+
 def all_against_all(sequences: DataFrame, letters: str, matrix: np.ndarray, least: int = LEAST_SCORE) -> DataFrame:
     """query, target, score of all pairs from a least score: blocks of queries against blocks of targets.
 
@@ -51,11 +82,22 @@ def all_against_all(sequences: DataFrame, letters: str, matrix: np.ndarray, leas
 
     def kernel(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         read = lambda s: np.array([code[c] for c in s if c in code], dtype=np.int64)
-        held = [(t, read(s)) for t, s in zip(two["t"], two["ts"])] if len(two) else []
-        out = [(q, t, v) for q, s in (zip(one["q"], map(read, one["qs"])) if len(one) else ()) for t, b in held if (v := smith_waterman(s, b, matrix)) >= least]
+        held = sorted(((t, read(s)) for t, s in zip(two["t"], two["ts"])), key=lambda x: len(x[1])) if len(two) else []
+        groups = [[]]
+        for t, b in held:
+            if groups[-1] and (len(groups[-1]) + 1) * len(b) > CELLS:
+                groups.append([])
+            groups[-1].append((t, b))
+        out = []
+        for q, s in zip(one["q"], map(read, one["qs"])) if len(one) else ():
+            for group in groups:
+                found = smith_waterman_many(s, [b for _, b in group], matrix)
+                out += [(q, group[k][0], int(found[k])) for k in np.flatnonzero(found >= least)]
         return pd.DataFrame(out, columns=["query", "target", "score"])
 
-    return queries.groupBy("x", "y").cogroup(targets.groupBy(F.col("x").cast("long"), F.col("y").cast("long"))).applyInPandas(kernel, "query string, target string, score long")
+    # The rows are few and the work is not: a stated number of partitions is not merged into one.
+    dealt = lambda df: df.withColumns({c: F.col(c).cast("long") for c in "xy"}).repartition(min(n * n, PARTITIONS), "x", "y").groupBy("x", "y")
+    return dealt(queries).cogroup(dealt(targets)).applyInPandas(kernel, "query string, target string, score long")
 
 
 def class_sizes(lookup: DataFrame) -> DataFrame:

@@ -405,7 +405,7 @@ both_n AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM kept UNION ALL SELE
 
 
 def _letters(spark: SparkSession, sf: str) -> DataFrame:
-    return submat.aligned_letters(inputs.alignments(spark, sf), inputs.sequences(spark, sf))
+    return submat.aligned_letters(inputs.aligned_users(spark, sf), inputs.sequences(spark, sf))
 
 
 @oracle(f"WITH {ALIGNED} SELECT a, b, n FROM both_n")

@@ -59,12 +59,26 @@ pairs AS (SELECT alignment_id, sid1, sid2, CAST(k0 + t AS INTEGER) AS k, CAST(i0
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sid, seq: a user's events in order of time as letters A to E by event type in order; sid is d and the user modulo 45, for the smallest such user."""
+    """sid, seq: every user's events in order of time as letters A to E by event type in order; sid is d and the user. SEQUENCES in SQL still takes 45 users at most."""
     events = table(spark, sf_dir, "events")
     types = events.select("event_type").distinct().select("event_type", F.substring(F.lit("".join(STATES)), F.row_number().over(Window.orderBy("event_type")), F.lit(1)).alias("letter"))
-    users = events.groupBy((F.col("user_id") % 45).alias("u")).agg(F.min("user_id").alias("user_id"))
-    rows = events.join(F.broadcast(types), "event_type").join(users, "user_id")
-    return rows.groupBy("u").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "letter"))), lambda x: x.letter), "").alias("seq")).select(F.concat(F.lit("d"), "u").alias("sid"), "seq")
+    rows = events.join(F.broadcast(types), "event_type").where("user_id is not null")
+    return rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "letter"))), lambda x: x.letter), "").alias("seq")).select(F.concat(F.lit("d"), "user_id").alias("sid"), "seq")
+
+
+def aligned_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alignments with sid1 and sid2 dealt onto all users: the order's and the part's number modulo the users, in order of user_id."""
+    users = table(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").cast("long").alias("user_id")).distinct()
+    # Places by a sort in ranges and a count of each range, so that no task sees all users.
+    places = users.orderBy("user_id").rdd.map(lambda r: r[0]).zipWithIndex()
+    places = spark.createDataFrame(places, "user_id long, place long").select(F.concat(F.lit("d"), "user_id").alias("sid"), "place")
+    n = users.agg(F.count("*").alias("n"))
+    key = F.split("alignment_id", ":")
+    rows = alignments(spark, sf_dir).select("alignment_id", "cigar", F.get(key, F.lit(1)).cast("long").alias("order"), F.get(key, F.lit(3)).cast("long").alias("part"))
+    rows = rows.crossJoin(F.broadcast(n)).where("n > 0").withColumns({"p1": F.col("order") % F.col("n"), "p2": F.col("part") % F.col("n")})
+    for k in "12":
+        rows = rows.join(places.select(F.col("place").alias(f"p{k}"), F.col("sid").alias(f"sid{k}")), f"p{k}")
+    return rows.select("alignment_id", "sid1", "sid2", "cigar")
 
 
 SEQUENCES = """types AS (SELECT event_type, substr('ABCDE', CAST(row_number() OVER (ORDER BY event_type) AS INTEGER), 1) AS letter FROM (SELECT DISTINCT event_type FROM events)),

@@ -3,8 +3,10 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
+from foldline.operators.search import smith_waterman, smith_waterman_many
 from foldline.plans import inputs
 from foldline.plans.catalog import ORACLES, QUERIES
 from tests.test_queries import SF, tidy
@@ -54,3 +56,41 @@ def test_pairs_of_each_order(spark, tmp_path):
             i, j, k = i + n * (op in "DMP"), j + n * (op in "IMP"), k + n * (op == "P")
     got = {tuple(r) for r in QUERIES["cigar_pairs"](spark, str(tmp_path)).collect()}
     assert got == want and {int(a.split(":")[1]) for a, *_ in got} == set(range(1, 8))
+
+
+#: SEQUENCES with every user, and alignments dealt onto all of them, as the queries have it.
+USERS = "users AS (SELECT user_id % 45 AS u, min(user_id) AS user_id FROM events GROUP BY 1)"
+EVERY = "users AS (SELECT DISTINCT user_id AS u, user_id FROM events), ranks AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM users)"
+
+
+def all_users(sql, dealt=True):
+    sql = all_items(sql)
+    assert USERS in sql
+    if dealt:
+        for k, name in (("sid1", "l_orderkey"), ("sid2", "l_partkey")):
+            sql = re.sub(rf"'d' \|\| \(l_\w+ % \d+\) AS {k}", f"'d' || (SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM (SELECT DISTINCT user_id FROM events)) WHERE place = {name} % (SELECT count(DISTINCT user_id) FROM events)) AS {k}", sql)
+    return sql.replace(USERS, EVERY)
+
+
+def test_every_user_has_a_sequence(spark, tmp_path):
+    events = [(u + 45 * k, t, f"e{(u + t) % 5}") for u in range(3) for k in range(3) for t in range(30)]
+    rows = [(n, u, t, e) for n, (u, t, e) in enumerate(events)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.sid: r.seq for r in QUERIES["state_sequences"](spark, str(tmp_path)).collect()}
+    assert got == {f"d{u}": "".join("ABCDE"[int(e[1])] for v, _, e in events if v == u) for u in {u for u, _, _ in events}}
+    found = QUERIES["sw_scores"](spark, str(tmp_path)).collect()
+    assert {r["query"] for r in found} == {r.target for r in found} == set(got) and len(got) == 9
+
+
+@pytest.mark.parametrize("name", ["aligned_counts", "lagged_counts", "adjusted_mi"])
+def test_alignments_of_all_users(spark, duck, name):
+    same(QUERIES[name](spark, SF), duck, all_users(ORACLES[name]))
+
+
+def test_alignment_of_many_is_that_of_each():
+    rng = np.random.default_rng(1)
+    matrix = rng.integers(-4, 8, (5, 5))
+    for _ in range(60):
+        a = rng.integers(0, 5, rng.integers(0, 40))
+        many = [rng.integers(0, 5, rng.integers(0, 40)) for _ in range(rng.integers(0, 8))]
+        assert smith_waterman_many(a, many, matrix).tolist() == [smith_waterman(a, b, matrix) for b in many]
