@@ -16,6 +16,8 @@ GAP_OPEN, GAP_EXTEND, LEAST_SCORE = 8, 2, 50
 NORMALISERS = (0.928162, 0.662063, 0.275436)
 #: Queries that meet one block of targets in a task.
 BLOCK = 256
+#: Vectors on each side of a block.
+VECTORS = 1024
 #: Tasks that the pairs of blocks are dealt to, at most.
 PARTITIONS = 4096
 #: Cells of a row that a query is aligned along at once, over all its targets of a group.
@@ -122,9 +124,75 @@ def first_fp_hits(hits: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
+def first_fp_hits_of_vectors(queries: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
+    """first_fp_hits of vectors by rounded dot products, without a row for each pair.
+
+    queries and targets: sid, vec, class (of four parts); class sizes are those of the targets, and the queries
+    are among them. Blocks of queries meet blocks of targets twice: for the first target of another
+    fold, a row per query and block, and for the counts of what stands before it.
+    """
+    sizes = class_sizes(targets.select("sid", "class"))
+    counts = ["fam_count", "sfam_count", "fold_count"]
+    held = targets.select("sid", "vec").join(sizes.select("sid", "fam", "sfam", "fold"), "sid")
+    asked = queries.select("sid", "vec").join(sizes, "sid")
+    nx, ny = (max(1, -(-df.count() // VECTORS)) for df in (queries, targets))
+    at = lambda n: F.pmod(F.xxhash64("sid"), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # toDF gives columns of their own, as both sides may come from one table.
+    dealt = lambda df: df.toDF(*df.columns).repartition(min(nx * ny, PARTITIONS), "x", "y").groupBy("x", "y")
+    right = dealt(held.select("*", at(ny).alias("y")).select("*", every(nx).alias("x")))
+    left = lambda df: dealt(df.select("*", at(nx).alias("x")).select("*", every(ny).alias("y")))
+
+    def met(one: pd.DataFrame, two: pd.DataFrame):
+        """The block's scores, targets in order of their ids, and which are of one family, superfamily and fold."""
+        two = two.sort_values("sid", kind="stable", ignore_index=True)
+        x, y = (np.stack(list(df["vec"])).astype(np.float64) for df in (one, two))
+        score = np.multiply.outer(x[:, 0], y[:, 0])
+        for k in range(1, x.shape[1]):  # component by component: the same sums in every block
+            score += np.multiply.outer(x[:, k], y[:, k])
+        same = {}
+        for c in ("fam", "sfam", "fold"):
+            codes = pd.factorize(pd.concat([one[c], two[c]]))[0]
+            same[c] = codes[: len(one), None] == codes[None, len(one) :]
+        return two["sid"].to_numpy(), np.round(score, digits), same
+
+    def first(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"sid": [], "score": [], "target": []})
+        ids, score, same = met(one, two)
+        score[same["fold"]] = -np.inf
+        best = score.argmax(axis=1)
+        out = pd.DataFrame({"sid": one["sid"], "score": score[np.arange(len(one)), best], "target": ids[best]})
+        return out[~same["fold"].all(axis=1)]
+
+    def before(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"sid": [], "f1": [], "f2": [], "f3": []})
+        ids, score, same = met(one, two)
+        end = one["score"].fillna(-np.inf).to_numpy()[:, None]
+        place = np.searchsorted(ids.astype(str), one["target"].fillna("").to_numpy().astype(str))
+        good = (score > end) | ((score == end) & (np.arange(len(ids))[None, :] < place[:, None]))
+        fam, sfam, fold = (good & same[c] for c in ("fam", "sfam", "fold"))
+        return pd.DataFrame({"sid": one["sid"], "f1": fam.sum(1), "f2": (sfam & ~fam).sum(1), "f3": (fold & ~sfam).sum(1)})
+
+    ends = left(asked).cogroup(right).applyInPandas(first, "sid string, score double, target string")
+    # The first: the highest score, ties to the smallest target.
+    ends = ends.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("s"), "target")).alias("e")).select("sid", (-F.col("e.s")).alias("score"), "e.target")
+    rows = asked.join(ends, "sid", "left")
+    found = left(rows).cogroup(right).applyInPandas(before, "sid string, f1 long, f2 long, f3 long")
+    found = found.groupBy("sid").agg(*(F.sum(f"f{k}").alias(f"{c}_hits") for k, c in enumerate(("fam", "sfam", "fold"), 1)))
+    fp = rows.select("sid", *counts, F.col("target").isNotNull().cast("int").alias("fp"))
+    return fp.join(found, "sid").select(F.col("sid").alias("query"), *counts, "fam_hits", "sfam_hits", "fold_hits", "fp")
+
+
 def sensitivity(hits: DataFrame, lookup: DataFrame) -> DataFrame:
     """query, fam, sfam, fold, fp: shares found, of queries whose superfamily has another family and whose fold has another superfamily."""
-    rows = first_fp_hits(hits, lookup).where("sfam_count > fam_count and fold_count > sfam_count")
+    return shares(first_fp_hits(hits, lookup))
+
+
+def shares(found: DataFrame) -> DataFrame:
+    """sensitivity of the rows that first_fp_hits gives."""
+    rows = found.where("sfam_count > fam_count and fold_count > sfam_count")
     share = lambda a, b: F.col(a).cast("double") / b
     return rows.select("query", share("fam_hits", F.col("fam_count")).alias("fam"), share("sfam_hits", F.col("sfam_count") - F.col("fam_count")).alias("sfam"), share("fold_hits", F.col("fold_count") - F.col("sfam_count")).alias("fold"), "fp")
 

@@ -315,8 +315,8 @@ def kabsch_status(spark: SparkSession, sf: str) -> DataFrame:
 LEVELS = [5, 4]
 
 
-def _latent(spark: SparkSession, sf: str, n: int = 2) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double") * 8.0).alias("z"))
+def _latent(spark: SparkSession, sf: str, n: int | None = 2) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, n) if n else F.col("embedding"), lambda x: x.cast("double") * 8.0).alias("z"))
 
 
 _digits = {5: "CAST(greatest(0, least(4, round_even((tanh(8.0::DOUBLE * embedding[1]::DOUBLE) + 1.0) / 2.0 * 4.0, 0))) AS INTEGER)", 4: "CAST(greatest(0, least(3, round_even((tanh(8.0::DOUBLE * embedding[2]::DOUBLE) + 1.0 - 0.25) / 2.0 * 3.0, 0))) AS INTEGER)"}
@@ -355,7 +355,8 @@ def perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return submat.diagnostics(_usage(spark, sf)).select(F.round("dead_fraction", 6).alias("dead_fraction"), F.round("normalized_entropy", 6).alias("normalized_entropy"), F.round("perplexity", 5).alias("perplexity"))
 
 
-DIMS = range(8)
+#: Components in the SQL below; the queries take whole vectors of WIDTH.
+DIMS, WIDTH = range(8), 64
 CENTROIDS = f"""cents AS (SELECT label AS state, {", ".join(f"avg(embedding[{k + 1}]::DOUBLE) AS c{k}" for k in DIMS)} FROM embeddings GROUP BY 1),
 dist AS (SELECT vec_id, state, round({" + ".join(f"(embedding[{k + 1}]::DOUBLE - c{k}) * (embedding[{k + 1}]::DOUBLE - c{k})" for k in DIMS)}, 9) AS d2 FROM embeddings, cents),
 placed_d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, state) AS r FROM dist)"""
@@ -364,8 +365,8 @@ placed_d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, state
 def _assigned(spark: SparkSession, sf: str) -> DataFrame:
     from foldline.operators.codebook import assign
 
-    rows = _latent(spark, sf, 8).select("vec_id", "label", F.transform("z", lambda x: x / 8.0).alias("z"))
-    means = rows.groupBy(F.col("label").alias("state")).agg(F.array(*(F.avg(F.get("z", F.lit(k))) for k in DIMS)).alias("vec"))
+    rows = _latent(spark, sf, None).select("vec_id", "label", F.transform("z", lambda x: x / 8.0).alias("z"))
+    means = rows.groupBy(F.col("label").alias("state")).agg(F.array(*(F.avg(F.get("z", F.lit(k))) for k in range(WIDTH))).alias("vec"))
     return assign(rows, means, digits=9)
 
 
@@ -383,7 +384,7 @@ def vq_margin(spark: SparkSession, sf: str) -> DataFrame:
 def codebook_sums(spark: SparkSession, sf: str) -> DataFrame:
     from foldline.operators.codebook import batch_sums
 
-    return batch_sums(_assigned(spark, sf), 8).select("state", "n", *(r6(F.get("sums", F.lit(k))).alias(f"s{k}") for k in DIMS))
+    return batch_sums(_assigned(spark, sf), WIDTH).select("state", "n", *(r6(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(WIDTH)))
 
 
 # ---- sequences, counts and matrices
@@ -457,24 +458,19 @@ found AS (SELECT query, fam_count, sfam_count, fold_count, count(*) FILTER (fps
 sens AS (SELECT query, round(fam_hits::DOUBLE / fam_count, 9) AS fam, round(sfam_hits::DOUBLE / (sfam_count - fam_count), 9) AS sfam, round(fold_hits::DOUBLE / (fold_count - sfam_count), 9) AS fold, fp FROM found WHERE sfam_count > fam_count AND fold_count > sfam_count)"""
 
 
-def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Each tenth vector against each tenth vector (a benchmark's query list), scored by a rounded dot product, and the vectors' classes."""
-    rows = table(spark, sf, "embeddings").where("vec_id % 10 = 0")
-    e = lambda c, k: F.element_at(c, k + 1).cast("double")
-    q = rows.select(F.concat(F.lit("v"), "vec_id").alias("query"), F.col("embedding").alias("x"))
-    t = rows.select(F.concat(F.lit("v"), "vec_id").alias("target"), F.col("embedding").alias("y"))
-    score = sum((e("x", k) * e("y", k) for k in list(DIMS)[1:]), e("x", 0) * e("y", 0))
-    lookup = rows.select(F.concat(F.lit("v"), "vec_id").alias("sid"), F.concat_ws(".", F.lit("a"), (F.col("label") % 2).cast("string"), (F.col("label") % 4).cast("string"), F.col("label").cast("string")).alias("class"))
-    return q.crossJoin(t).select("query", "target", F.round(score, 9).alias("score")), lookup
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each tenth vector (a benchmark's query list) against all vectors, by a rounded dot product of whole vectors, with class sizes over all."""
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("sid"), "vec_id", F.col("embedding").alias("vec"), F.concat_ws(".", F.lit("a"), (F.col("label") % 2).cast("string"), (F.col("label") % 4).cast("string"), F.col("label").cast("string")).alias("class"))
+    return search.first_fp_hits_of_vectors(rows.where("vec_id % 10 = 0"), rows, digits=9)
 
 
 @oracle(f"WITH {HITS} SELECT * FROM found")
 def first_fp_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return search.first_fp_hits(*_hits(spark, sf))
+    return _found(spark, sf)
 
 
 def _sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    return search.sensitivity(*_hits(spark, sf)).select("query", *(F.round(c, 9).alias(c) for c in ("fam", "sfam", "fold")), "fp")
+    return search.shares(_found(spark, sf)).select("query", *(F.round(c, 9).alias(c) for c in ("fam", "sfam", "fold")), "fp")
 
 
 @oracle(f"WITH {HITS} SELECT * FROM sens")
@@ -537,7 +533,7 @@ def sw_scores(spark: SparkSession, sf: str) -> DataFrame:
 def kmeans_codebook(spark: SparkSession, sf: str) -> DataFrame:
     from foldline.operators.codebook import kmeans
 
-    return kmeans(_latent(spark, sf, 8), 20, seed=1)
+    return kmeans(_latent(spark, sf, None), 20, seed=1)
 
 
 @oracle()

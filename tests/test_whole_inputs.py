@@ -94,3 +94,21 @@ def test_alignment_of_many_is_that_of_each():
         a = rng.integers(0, 5, rng.integers(0, 40))
         many = [rng.integers(0, 5, rng.integers(0, 40)) for _ in range(rng.integers(0, 8))]
         assert smith_waterman_many(a, many, matrix).tolist() == [smith_waterman(a, b, matrix) for b in many]
+
+
+def whole_vectors(sql):
+    """All 64 components, all targets and class sizes over all rows; the queries stay each tenth."""
+    for a, b in (("(embedding[8]::DOUBLE - c7) * (embedding[8]::DOUBLE - c7)", " + "), ("avg(embedding[8]::DOUBLE) AS c7", ", "), ("q.embedding[8]::DOUBLE * t.embedding[8]::DOUBLE", " + "), ("round(sum(embedding[8]::DOUBLE), 6) + 0.0 AS s7", ", ")):
+        more = [re.sub(r"\b([cs])7\b", rf"\g<1>{k}", a.replace("[8]", f"[{k + 1}]")) for k in range(8, 64)]
+        sql = sql.replace(a, b.join([a, *more]))
+    return sql.replace(" AND t.vec_id % 10 = 0", "").replace(" WHERE CAST(substr(sid, 2) AS INTEGER) % 10 = 0", "")
+
+
+@pytest.mark.parametrize("name", ["first_fp_hits", "first_fp_sensitivity", "mean_sensitivity", "roc_curve", "centroid_assign", "vq_margin", "codebook_sums"])
+def test_whole_vectors_against_all(spark, duck, name, monkeypatch):
+    monkeypatch.setattr("foldline.operators.search.VECTORS", 40)
+    same(QUERIES[name](spark, SF), duck, whole_vectors(ORACLES[name]))
+
+
+def test_codebook_of_whole_vectors(spark):
+    assert {len(r.vec) for r in QUERIES["kmeans_codebook"](spark, SF).collect()} == {64}
