@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that an earlier document or line has within two edits."""
-    return keep_first_lines(docs, work_dir(spark, "lines"))
+    """Takes lines out that an earlier document or line has within two edits, or, of fewer than 30 characters, exactly."""
+    return keep_first_lines(docs, work_dir(spark, "lines"), short=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

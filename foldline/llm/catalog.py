@@ -61,7 +61,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.line_dedup import line_classes
 
-    return line_classes(table(spark, sf_dir, "documents"), work_dir(spark, "lines"))
+    return line_classes(table(spark, sf_dir, "documents"), work_dir(spark, "lines"), short=True)
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

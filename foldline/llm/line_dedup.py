@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from foldline.llm.shared import components, cut
 
 EDITS = 2
-#: Lines of fewer characters are left alone: short lines are within few edits of each other by chance.
+#: Lines of fewer characters are compared without edits: short lines are within few edits of each other by chance.
 MIN_CHARS = 30
 #: Finer segments that candidates are compared by.
 FINE = 8
@@ -89,21 +89,22 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
-def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """Lines that are repeated within few edits: a row per line of a class with at least two lines.
 
     docs: doc_id, text; other columns are not read. Returns doc_id, line_no (from 0), kept_doc_id, kept_line_no
     (the class's earliest line, which names the class) and links (other texts within the edits).
-    Lines of fewer than min_chars characters take no part, nor do null texts and rows with a null doc_id; repeated rows of a
+    Lines of fewer than min_chars characters take part with short=True only, as exact repeats without links; empty lines
+    take no part, nor do null texts and rows with a null doc_id; repeated rows of a
     doc_id count as one document. Empty tables give no rows.
     """
     if min_chars <= edits:
         raise ValueError("min_chars must be greater than edits")
     lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars).withColumns({"digest": F.unhex(F.md5("line")), "id": F.xxhash64("line")})
+    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= (1 if short else min_chars)).withColumns({"digest": F.unhex(F.md5("line")), "id": F.xxhash64("line")})
     places = cut(lines.select("doc_id", "line_no", "digest"), f"{folder}/places")
 
-    held = with_keys(lines.select("id", "digest", "line", "n"), edits)
+    held = with_keys(lines.where(F.col("n") >= min_chars).select("id", "digest", "line", "n"), edits)
     shared = held.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     shared = cut(shared, f"{folder}/keys")
     met = cut(held.join(few(shared), "key").groupBy("key", "digest", "indexed").agg(F.first("line").alias("line"), F.first("n").alias("n")), f"{folder}/met")
@@ -123,12 +124,12 @@ def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: in
     return places.join(named, "digest").select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), "links").distinct()
 
 
-def keep_first_lines(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def keep_first_lines(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs with every line of a class but its earliest taken out of text; other columns stay, and n_chars, if there, follows.
 
     A document that loses all its lines goes; other rows stay, those without text too.
     """
-    gone = line_classes(docs, folder, edits, min_chars).where("doc_id <> kept_doc_id or line_no <> kept_line_no")
+    gone = line_classes(docs, folder, edits, min_chars, short).where("doc_id <> kept_doc_id or line_no <> kept_line_no")
     gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     kept = F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains("_gone", k))
     out = docs.join(gone, "doc_id", "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
