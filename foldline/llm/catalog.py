@@ -43,7 +43,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), work_dir(spark, "spans"))
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), work_dir(spark, "spans"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

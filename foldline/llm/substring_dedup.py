@@ -1,7 +1,8 @@
 """Substring dedup by line or paragraph hashing.
 
 Each unit is normalised (A-Z in lower case, white space runs as one blank, trimmed) and hashed; of all units with
-one digest in the corpus the earliest by (doc_id, unit number) stays and the others are removed.
+one digest in the corpus the earliest by (doc_id, unit number) stays and the others are removed. Runs of neighbouring
+shorter units are hashed in the same way, so that passages wrapped into short lines are found.
 Removals keep the offsets of the original text.
 """
 
@@ -38,6 +39,62 @@ def units(text: str, separator: str, min_words: int) -> Iterator[tuple[int, int,
         start = end + len(separator)
 
 
+def runs(text: str, separator: str, min_words: int) -> Iterator[tuple[list[tuple[int, int, int]], bytes]]:
+    """Number, start and end of the units of each run of neighbours, and the run's digest.
+
+    From every shorter unit a run goes on, and another back, to the first unit that makes it min_words; units
+    without words count for nothing. So the runs in a passage of whole units and min_words cover it.
+    """
+    start, held = 0, []
+    for number, unit in enumerate(text.split(separator)):
+        if words := _word(unit):
+            held.append((number, start, start + len(unit), " ".join(words).translate(_LOWER), len(words)))
+        start += len(unit) + len(separator)
+    found = set()
+    for at, (*_, own) in enumerate(held):
+        for step in (1, -1) if own < min_words else ():
+            words, end = own, at
+            while words < min_words and 0 <= end + step < len(held):
+                end += step
+                words += held[end][4]
+            if words >= min_words:
+                found.add((min(at, end), max(at, end)))
+    for first, last in sorted(found):
+        part = held[first : last + 1]
+        yield [u[:3] for u in part], xxhash.xxh3_128_digest("\n".join(u[3] for u in part).encode())
+
+
+def repeated_runs(docs: DataFrame, folder: str, separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of repeated_spans for the units of repeated runs; kept_unit is where the earliest such run begins."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = pa.list_(pa.struct([("unit", pa.int32()), ("span_start", pa.int32()), ("span_end", pa.int32())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part, out = batch.slice(at, 1000), []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    out += [(doc, u[0][0], u[-1][0], [dict(zip(("unit", "span_start", "span_end"), x)) for x in u], digest) for u, digest in runs(text.as_py() or "", separator, min_words)]
+                doc, first, last, held, digest = zip(*out) if out else ((),) * 5
+                halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(held, form), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "first", "last", "units", "d1", "d2"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    form = "doc_id long, first int, last int, units array<struct<unit: int, span_start: int, span_end: int>>, d1 long, d2 long"
+    found = cut(rows.mapInArrow(find, form), f"{folder}/runs")
+    kept = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "first", "last")).alias("kept"), F.count("*").alias("times")).where("times > 1")
+    spans = found.join(kept, ["d1", "d2"]).where("doc_id <> kept.doc_id or first <> kept.first").select("doc_id", F.explode("units").alias("u"), "kept")
+    # What a run shares with the kept one, in lines that repeat at once, stays.
+    spans = spans.where("doc_id <> kept.doc_id or u.unit > kept.last")
+    return spans.select("doc_id", "u.*", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.first").alias("kept_unit"))
+
+
+def repeated_passages(docs: DataFrame, folder: str, separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """repeated_spans and repeated_runs, a row per unit; a unit of both has the row of repeated_spans, and of several runs the earliest kept one."""
+    found = repeated_spans(docs, folder, separator, min_words).withColumn("by", F.lit(0)).unionByName(repeated_runs(docs, folder, separator, min_words).withColumn("by", F.lit(1)))
+    found = found.groupBy("doc_id", "unit", "span_start", "span_end").agg(F.min(F.struct("by", "kept_doc_id", "kept_unit")).alias("k"))
+    return found.select("doc_id", "unit", "span_start", "span_end", "k.kept_doc_id", "k.kept_unit")
+
+
 def repeated_spans(docs: DataFrame, folder: str, separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """The spans to remove: a row per repeated unit but the kept one.
 

@@ -1,0 +1,14 @@
+from foldline.llm.catalog import QUERIES
+
+
+def test_wrapped_passages(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    lines = [" ".join(words[k : k + 8]) for k in range(0, 56, 8)]
+    long = " ".join(f"x{k}" for k in range(25))
+    texts = {1: "\n".join(["own a", *lines, "own b"]), 2: "\n".join(["own c", *lines[:3], "", *lines[3:]]).upper(), 3: "\n".join(lines[:2]), 4: "\n".join(["q", long, "tail s", "tail t", "own d"]), 5: "\n".join([long, "tail s", "tail t", "own e"]), 6: "\n".join(["hot line of seven words is here"] * 6), 7: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op6_substring_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.unit) for r in rows) == [*((2, k) for k in (1, 2, 3, 5, 6, 7, 8)), (5, 0), (5, 1), (5, 2), (6, 3), (6, 4), (6, 5)]
+    for r in rows:
+        assert texts[r.doc_id][r.span_start : r.span_end] == texts[r.doc_id].split("\n")[r.unit]
+        assert (r.kept_doc_id, r.kept_unit) < (r.doc_id, r.unit)
