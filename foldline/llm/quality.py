@@ -32,8 +32,10 @@ _FORM[0x41:0x5B] = 1  # upper case
 _FORM[0x61:0x7B] = ord("a")
 _FORM[0x80:] = ord("a")
 _SAME = (1 << WORD_BITS) + 2 * (1 << FORM_BITS)
+#: Pairs of words, hashed to as many weights as single ones.
+_PAIRS = _SAME + 2
 #: One weight for each doubling of the number of words, for texts too short to show their words' kind.
-_LENGTH, LENGTH_VALUE = _SAME + 2, 0.5
+_LENGTH, LENGTH_VALUE = _PAIRS + (1 << WORD_BITS), 0.5
 SIZE = _LENGTH + 32 + 1
 
 
@@ -52,6 +54,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         pairs = forms[:-1] * np.uint64(0x9E3779B97F4A7C15) + forms[1:]
         ids.append((pairs >> np.uint64(64 - FORM_BITS)) + np.uint64((1 << WORD_BITS) + (1 << FORM_BITS)))
     if len(words) > 1:
+        pairs = (words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) * np.uint64(0xD6E8FEB86659FD93)
+        ids.append((pairs >> np.uint64(64 - WORD_BITS)) + np.uint64(_PAIRS))
         ids.append(np.where(words[:-1] == words[1:], np.uint64(_SAME), np.uint64(_SAME + 1)))
     where, counts = np.unique(np.concatenate(ids).astype(np.int32), return_counts=True)
     values = np.log1p(counts).astype(np.float32)
