@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foldline.functions import cigar, geometry, hierarchy, quantize
 from foldline.operators import neighbors, pairs, search, splits, stats, submat
 from foldline.plans import inputs
-from foldline.plans.inputs import ALIGNMENTS, CHAINS, CLASSES, EVENT_PAIRS, SEQUENCES, STATES, table
+from foldline.plans.inputs import ALIGNMENTS, CHAINS, CLASSES, EVENT_PAIRS, SEQUENCES, STATES, USER_ALIGNMENTS, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,9 +92,9 @@ def pair_metadata_join(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.pair_metadata(rows, inputs.classes(spark, sf))
 
 
-@oracle(f"WITH {ALIGNMENTS}, {CLASSES} SELECT DISTINCT sid2 AS sid FROM alignments WHERE sid2 NOT IN (SELECT sid FROM classes) ORDER BY sid LIMIT 20")
+@oracle(f"WITH {CLASSES} SELECT DISTINCT 'd' || l_orderkey AS sid FROM lineitem WHERE 'd' || l_orderkey NOT IN (SELECT sid FROM classes) ORDER BY sid LIMIT 20")
 def missing_ids_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.missing_ids(inputs.alignments(spark, sf).select(F.col("sid2").alias("sid")), inputs.classes(spark, sf))
+    return splits.missing_ids(table(spark, sf, "lineitem").select(F.concat(F.lit("d"), "l_orderkey").alias("sid")), inputs.classes(spark, sf))
 
 
 @oracle(f"WITH {ALIGNMENTS} SELECT alignment_id, sid1, sid2 FROM alignments WHERE sid1 IN (SELECT 'd' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND sid2 IN (SELECT 'd' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
@@ -355,10 +355,10 @@ def perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return submat.diagnostics(_usage(spark, sf)).select(F.round("dead_fraction", 6).alias("dead_fraction"), F.round("normalized_entropy", 6).alias("normalized_entropy"), F.round("perplexity", 5).alias("perplexity"))
 
 
-#: Components in the SQL below; the queries take whole vectors of WIDTH.
-DIMS, WIDTH = range(8), 64
-CENTROIDS = f"""cents AS (SELECT label AS state, {", ".join(f"avg(embedding[{k + 1}]::DOUBLE) AS c{k}" for k in DIMS)} FROM embeddings GROUP BY 1),
-dist AS (SELECT vec_id, state, round({" + ".join(f"(embedding[{k + 1}]::DOUBLE - c{k}) * (embedding[{k + 1}]::DOUBLE - c{k})" for k in DIMS)}, 9) AS d2 FROM embeddings, cents),
+#: Components of a vector.
+WIDTH = 64
+CENTROIDS = f"""cents AS (SELECT label AS state, {", ".join(f"avg(embedding[{k + 1}]::DOUBLE) AS c{k}" for k in range(WIDTH))} FROM embeddings GROUP BY 1),
+dist AS (SELECT vec_id, state, round({" + ".join(f"(embedding[{k + 1}]::DOUBLE - c{k}) * (embedding[{k + 1}]::DOUBLE - c{k})" for k in range(WIDTH))}, 9) AS d2 FROM embeddings, cents),
 placed_d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, state) AS r FROM dist)"""
 
 
@@ -380,7 +380,7 @@ def vq_margin(spark: SparkSession, sf: str) -> DataFrame:
     return _assigned(spark, sf).agg(F.round(F.avg("margin"), 6).alias("margin"))
 
 
-@oracle(f"WITH {CENTROIDS}, s AS (SELECT state, e.* FROM placed_d p JOIN embeddings e USING (vec_id) WHERE r = 1) SELECT state, count(*) AS n, {', '.join(f'round(sum(embedding[{k + 1}]::DOUBLE), 6) + 0.0 AS s{k}' for k in DIMS)} FROM s GROUP BY 1")
+@oracle(f"WITH {CENTROIDS}, s AS (SELECT state, e.* FROM placed_d p JOIN embeddings e USING (vec_id) WHERE r = 1) SELECT state, count(*) AS n, {', '.join(f'round(sum(embedding[{k + 1}]::DOUBLE), 6) + 0.0 AS s{k}' for k in range(WIDTH))} FROM s GROUP BY 1")
 def codebook_sums(spark: SparkSession, sf: str) -> DataFrame:
     from foldline.operators.codebook import batch_sums
 
@@ -399,7 +399,7 @@ def joint_counts(spark: SparkSession, sf: str) -> DataFrame:
     return submat.joint_counts(inputs.event_pairs(spark, sf), "".join(STATES))
 
 
-ALIGNED = f"""{ALIGNMENTS}, {SEQUENCES}, al AS (SELECT alignment_id, k, i, j, lag(i) OVER w AS ip, lag(j) OVER w AS jp, x.seq AS q1, y.seq AS q2 FROM pairs JOIN sequences x ON x.sid = sid1 JOIN sequences y ON y.sid = sid2 WINDOW w AS (PARTITION BY alignment_id ORDER BY k)),
+ALIGNED = f"""{USER_ALIGNMENTS}, {SEQUENCES}, al AS (SELECT alignment_id, k, i, j, lag(i) OVER w AS ip, lag(j) OVER w AS jp, x.seq AS q1, y.seq AS q2 FROM pairs JOIN sequences x ON x.sid = sid1 JOIN sequences y ON y.sid = sid2 WINDOW w AS (PARTITION BY alignment_id ORDER BY k)),
 kept AS (SELECT *, substr(q1, i + 1, 1) AS a, substr(q2, j + 1, 1) AS b FROM al WHERE i < length(q1) AND j < length(q2)),
 lagged AS (SELECT a, b, count(*) AS n FROM (SELECT a, substr(q2, j, 1) AS b FROM kept WHERE jp = j - 1 UNION ALL SELECT b, substr(q1, i, 1) FROM kept WHERE ip = i - 1) GROUP BY 1, 2),
 both_n AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept) GROUP BY 1, 2)"""
@@ -447,11 +447,10 @@ def merge_states(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- ranked search
 
-_dp = "round(" + " + ".join(f"q.embedding[{k + 1}]::DOUBLE * t.embedding[{k + 1}]::DOUBLE" for k in DIMS) + ", 9)"
+_dp = "round(" + " + ".join(f"q.embedding[{k + 1}]::DOUBLE * t.embedding[{k + 1}]::DOUBLE" for k in range(WIDTH)) + ", 9)"
 HITS = rf"""lookup AS (SELECT 'v' || vec_id AS sid, concat_ws('.', 'a', label % 2, label % 4, label) AS class FROM embeddings),
-hits AS (SELECT 'v' || q.vec_id AS query, 'v' || t.vec_id AS target, {_dp} AS score FROM embeddings q, embeddings t WHERE q.vec_id % 10 = 0 AND t.vec_id % 10 = 0),
-lk AS (SELECT * FROM lookup WHERE CAST(substr(sid, 2) AS INTEGER) % 10 = 0),
-hr AS (SELECT sid, class AS fam, regexp_replace(class, '\.[0-9]+$', '') AS sfam FROM lk), hf AS (SELECT *, regexp_replace(sfam, '\.[0-9]+$', '') AS fold FROM hr),
+hits AS (SELECT 'v' || q.vec_id AS query, 'v' || t.vec_id AS target, {_dp} AS score FROM embeddings q, embeddings t WHERE q.vec_id % 100 = 0),
+hr AS (SELECT sid, class AS fam, regexp_replace(class, '\.[0-9]+$', '') AS sfam FROM lookup), hf AS (SELECT *, regexp_replace(sfam, '\.[0-9]+$', '') AS fold FROM hr),
 sz AS (SELECT *, count(*) OVER (PARTITION BY fam) AS fam_count, count(*) OVER (PARTITION BY sfam) AS sfam_count, count(*) OVER (PARTITION BY fold) AS fold_count FROM hf),
 marked AS (SELECT h.query, h.target, q.fam = t.fam AS sf1, q.sfam = t.sfam AS sf2, q.fold = t.fold AS sf3, q.fam_count, q.sfam_count, q.fold_count, sum(CASE WHEN q.fold <> t.fold THEN 1 ELSE 0 END) OVER (PARTITION BY h.query ORDER BY h.score DESC, h.target ROWS UNBOUNDED PRECEDING) AS fps FROM hits h JOIN sz q ON q.sid = h.query JOIN sz t ON t.sid = h.target),
 found AS (SELECT query, fam_count, sfam_count, fold_count, count(*) FILTER (fps = 0 AND sf1) AS fam_hits, count(*) FILTER (fps = 0 AND sf2 AND NOT sf1) AS sfam_hits, count(*) FILTER (fps = 0 AND sf3 AND NOT sf2) AS fold_hits, CAST(max(least(1, fps)) AS INTEGER) AS fp FROM marked GROUP BY 1, 2, 3, 4),
@@ -459,9 +458,9 @@ sens AS (SELECT query, round(fam_hits::DOUBLE / fam_count, 9) AS fam, round(sfam
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
-    """Each tenth vector (a benchmark's query list) against all vectors, by a rounded dot product of whole vectors, with class sizes over all."""
+    """Vectors whose id is divisible by 100 against all vectors, by a rounded dot product of whole vectors, with class sizes over all."""
     rows = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("sid"), "vec_id", F.col("embedding").alias("vec"), F.concat_ws(".", F.lit("a"), (F.col("label") % 2).cast("string"), (F.col("label") % 4).cast("string"), F.col("label").cast("string")).alias("class"))
-    return search.first_fp_hits_of_vectors(rows.where("vec_id % 10 = 0"), rows, digits=9)
+    return search.first_fp_hits_of_vectors(rows.where("vec_id % 100 = 0"), rows, digits=9)
 
 
 @oracle(f"WITH {HITS} SELECT * FROM found")

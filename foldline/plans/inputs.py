@@ -37,7 +37,7 @@ chains AS (SELECT chain, idx, valid, {_coords} FROM raw)"""
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """alignment_id, sid1, sid2, cigar of every line item; ALIGNMENTS in SQL still takes each fifth order only."""
+    """alignment_id, sid1, sid2, cigar of every line item."""
     q = lambda n: (F.col("l_partkey") % n).cast("int")
     text = F.concat(F.col("l_linenumber").cast("string"), F.lit("P"), (q(7) + 1).cast("string"), F.when(q(2) == 0, "D").otherwise("I"), F.when(q(3) == 0, "M").otherwise("2M"), (q(5) + 2).cast("string"), F.lit("P"))
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -46,20 +46,27 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws(":", F.lit("l"), *key, F.when(F.col("again") > 1, F.col("again").cast("string"))).alias("alignment_id"), F.concat(F.lit("d"), F.col("l_suppkey") % 40).alias("sid1"), F.concat(F.lit("d"), F.col("l_partkey") % 50).alias("sid2"), text.alias("cigar"))
 
 
-ALIGNMENTS = """alignments AS (SELECT concat_ws(':', 'l', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS alignment_id, 'd' || (l_suppkey % 40) AS sid1, 'd' || (l_partkey % 50) AS sid2,
+_ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_ITEMS = f"""SELECT concat_ws(':', 'l', {_ID}, CASE WHEN row_number() OVER (PARTITION BY {_ID}) > 1 THEN row_number() OVER (PARTITION BY {_ID}) END) AS alignment_id, 'd' || (l_suppkey % 40) AS sid1, 'd' || (l_partkey % 50) AS sid2, l_orderkey, l_partkey,
   concat(l_linenumber, 'P', l_partkey % 7 + 1, CASE WHEN l_partkey % 2 = 0 THEN 'D' ELSE 'I' END, CASE WHEN l_partkey % 3 = 0 THEN 'M' ELSE '2M' END, l_partkey % 5 + 2, 'P') AS cigar
-  FROM lineitem WHERE l_orderkey % 5 = 0),
-toks AS (SELECT alignment_id, sid1, sid2, cigar, unnest(regexp_extract_all(cigar, '[0-9]*[A-Za-z]')) AS tok, generate_subscripts(regexp_extract_all(cigar, '[0-9]*[A-Za-z]'), 1) AS pos FROM alignments),
+  FROM lineitem"""
+_EXPANDED = """toks AS (SELECT alignment_id, sid1, sid2, cigar, unnest(regexp_extract_all(cigar, '[0-9]*[A-Za-z]')) AS tok, generate_subscripts(regexp_extract_all(cigar, '[0-9]*[A-Za-z]'), 1) AS pos FROM alignments),
 ops AS (SELECT *, right(tok, 1) AS op, coalesce(try_cast(left(tok, length(tok) - 1) AS BIGINT), 1) AS n FROM toks),
 placed AS (SELECT *,
   coalesce(sum(CASE WHEN op IN ('D', 'M', 'P') THEN n ELSE 0 END) OVER w, 0) AS i0, coalesce(sum(CASE WHEN op IN ('I', 'M', 'P') THEN n ELSE 0 END) OVER w, 0) AS j0,
   coalesce(sum(CASE WHEN op = 'P' THEN n ELSE 0 END) OVER w, 0) AS k0
   FROM ops WINDOW w AS (PARTITION BY alignment_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 pairs AS (SELECT alignment_id, sid1, sid2, CAST(k0 + t AS INTEGER) AS k, CAST(i0 + t AS INTEGER) AS i, CAST(j0 + t AS INTEGER) AS j FROM (SELECT *, unnest(range(n)) AS t FROM placed WHERE op = 'P'))"""
+ALIGNMENTS = f"alignments AS ({_ITEMS}),\n{_EXPANDED}"
+#: ALIGNMENTS dealt onto all users, as aligned_users() has them.
+USER_ALIGNMENTS = f"""places AS (SELECT 'd' || user_id AS sid, row_number() OVER (ORDER BY user_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)),
+items AS ({_ITEMS}),
+alignments AS (SELECT alignment_id, x.sid AS sid1, y.sid AS sid2, cigar FROM items JOIN places x ON x.place = l_orderkey % x.n JOIN places y ON y.place = l_partkey % y.n),
+{_EXPANDED}"""
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sid, seq: every user's events in order of time as letters A to E by event type in order; sid is d and the user. SEQUENCES in SQL still takes 45 users at most."""
+    """sid, seq: every user's events in order of time as letters A to E by event type in order; sid is d and the user."""
     events = table(spark, sf_dir, "events")
     types = events.select("event_type").distinct().select("event_type", F.substring(F.lit("".join(STATES)), F.row_number().over(Window.orderBy("event_type")), F.lit(1)).alias("letter"))
     rows = events.join(F.broadcast(types), "event_type").where("user_id is not null")
@@ -82,8 +89,8 @@ def aligned_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEQUENCES = """types AS (SELECT event_type, substr('ABCDE', CAST(row_number() OVER (ORDER BY event_type) AS INTEGER), 1) AS letter FROM (SELECT DISTINCT event_type FROM events)),
-users AS (SELECT user_id % 45 AS u, min(user_id) AS user_id FROM events GROUP BY 1),
-sequences AS (SELECT 'd' || u AS sid, string_agg(letter, '' ORDER BY ts, event_id) AS seq FROM events JOIN types USING (event_type) JOIN users USING (user_id) GROUP BY u)"""
+sequences AS (SELECT 'd' || user_id AS sid, string_agg(letter, '' ORDER BY ts, event_id) AS seq FROM events JOIN types USING (event_type) WHERE user_id IS NOT NULL GROUP BY user_id)"""
+
 
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
