@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """name with as many underscores before it as make it unlike all that are taken, in any case of letters."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def stretches(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most so many rows, and of at most so many bytes of a string column, or of one row."""
+    width = batch.column(column).cast(pa.large_string())
+    ends = np.frombuffer(width.buffers()[1], np.int64)[width.offset : width.offset + len(width) + 1]
+    at = 0
+    while at < len(width):
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1))
+        yield batch.slice(at, min(to, len(width)) - at)
+        at = to
+
+
 def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 

@@ -16,6 +16,7 @@ Layout below one folder, all Parquet:
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,44 +29,75 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldline.llm.bpe_transducer import byte_alphabet
-from foldline.llm.pieces import Splitter
+from foldline.llm.pieces import MARKS, Splitter, check_format, plain
+from foldline.llm.shared import stretches
 
 #: Ids that the rolling hash sees, the mean chunk in ids as a power of two, and the bounds of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
 #: Digests that a task keeps to send a chunk's bytes once; more are settled after the shuffle.
 SEEN = 200_000
 
-#: Pieces and words in a generation of the memos of the encoder, whose values are short.
-PIECES, WORDS = 450_000, 200_000
+#: Bytes of a Python worker's table of words and of its memos of pieces, and characters of the texts that are encoded at a time.
+TABLE_BYTES, MEMO_BYTES, CHARS = 20 << 20, 16 << 20, 4 << 20
 
 ENTRY = "doc_id long, row_key long, pos int, n int, digest binary, data binary"
 
 
 class IdEncoder:
-    """The tokenizers library's ids as bytes, with a memo by word."""
+    """The tokenizers library's ids of whole texts.
+
+    With a vocabulary file of the known format, each distinct word of some texts is looked up in a table, and the
+    library's model called for new ones; texts of any other file go to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = "H" if self.dtype == "<u2" else "I"
-        self.as_vocabulary = {b: c for c, b in byte_alphabet().items()}
-        self.splitter = Splitter(self._piece, b"".join, pieces=PIECES, words=WORDS)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        with open(path, encoding="utf-8") as f:
+            try:
+                check_format(json.load(f))
+            except ValueError:
+                self.splitter = None
+            else:
+                self.as_vocabulary = {b: c for c, b in byte_alphabet().items()}
+                self.splitter = Splitter(self._piece, self.dtype, MEMO_BYTES, TABLE_BYTES, self._words)
 
     def _piece(self, piece: str) -> bytes:
         """A piece is what the library's pre-tokenizer hands to its model; the model alone is called."""
-        found = self.library.model.tokenize("".join(map(self.as_vocabulary.__getitem__, piece.encode())))
+        found = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.as_vocabulary))
         return array(self.code, [t.id for t in found]).tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if any(m in text for m in self.marks):
-            return self._ids(text)
-        return b"".join(self.splitter.parts(text))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The splitter's words(), with no look-up for words of letters."""
+        code, tokenize, table, blank = self.code, self.library.model.tokenize, self.as_vocabulary, self.as_vocabulary[0x20]
+        piece, other, out = self.splitter.piece, self.splitter.words, []
+        for word in words:
+            stem, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
+            if stem.isalpha():
+                found = tokenize(blank + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(table)))
+                ids = array(code, [t.id for t in found]).tobytes()
+                out.append(ids + piece[mark] if mark else ids)
+            else:
+                out += other([word])
+        return out
+
+    def _one(self, text: str) -> np.ndarray:
+        if self.splitter is None or any(m in text for m in self.marks):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.frombuffer(self.splitter.ids(text), self.dtype)
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids."""
+        if self.splitter is None:
+            return [self._one(t) for t in texts]
+        found = self.splitter.batch(texts, lambda t: plain(t) and not any(m in t for m in self.marks))
+        return [self._one(t) if own is None else own for t, own in zip(texts, found)]
 
 
 _encoders: dict[str, IdEncoder] = {}
@@ -73,6 +105,7 @@ _encoders: dict[str, IdEncoder] = {}
 
 def id_encoder(path: str) -> IdEncoder:
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = IdEncoder(path)
     return _encoders[path]
 
@@ -160,15 +193,14 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row, sent = id_encoder(path), TaskContext.get().partitionId() << 33, set()
-        end = np.array([end_id], encoder.dtype).tobytes()
-        width = np.dtype(encoder.dtype).itemsize
+        end, width = np.array([end_id], encoder.dtype), encoder.dtype.itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(at, 1000), ([], [], [], [], [], [])
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    data = encoder(text.as_py() or "") + end
-                    start = 0
-                    for pos, stop in enumerate(chunk_ends(np.frombuffer(data, encoder.dtype))):
+            for part in stretches(batch, 1, 1000, CHARS):
+                out = ([], [], [], [], [], [])
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.batch([t or "" for t in part.column(1).to_pylist()])):
+                    ids = np.concatenate([ids, end])
+                    data, start = ids.tobytes(), 0
+                    for pos, stop in enumerate(chunk_ends(ids)):
                         chunk = data[start * width : stop * width]
                         digest = name(chunk)
                         for to, value in zip(out, (doc, row, pos, stop - start, digest, None if digest in sent else chunk)):
@@ -279,4 +311,4 @@ def store_and_read(docs: DataFrame, path: str, end_id: int, folder: str) -> Data
     empty table gives an empty store and no rows.
     """
     write_store(docs, path, end_id, folder)
-    return read_store(docs.sparkSession, folder, np.dtype(id_encoder(path).dtype).itemsize)
+    return read_store(docs.sparkSession, folder, id_encoder(path).dtype.itemsize)
