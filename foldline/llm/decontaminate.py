@@ -4,9 +4,9 @@ An item is found in a document if the document holds at least the given share of
 distinct word shingles, however much longer it is. Under one hash order an item's sketch is its
 smallest shingles, as many as it may miss and one more, so a document that holds enough of the item
 holds one of the sketch: the search loses nothing. Items and documents are partitioned by size in
-powers of two, and an item is looked for only in documents whose partition has room for what is
-needed of it. Pairs that the search finds are verified by exact counts of shared shingles.
-DataFrame functions only.
+powers of two, and a document is a candidate only if its partition has room for what is
+needed of the item. Documents are searched for sketches alone; only candidates are read again, and verified by
+exact counts of the shingles that they share with their items. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldline.llm.shared import cut, work_dir
+
 SHINGLE, SHARE = 5, 80
 #: Shingles of the benchmark that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -46,29 +48,55 @@ def exploded(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.select(key, F.explode_outer(shingles("text", n)).alias("s")).where("s is not null").select(key, "s.shingle", "s.size")
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, percent: int = SHARE) -> DataFrame:
+def _items(benchmark: DataFrame, n: int, percent: int) -> DataFrame:
+    """item_id, item_shingles, required, shingle, in_sketch: a row per distinct shingle of an item."""
+    items = exploded(benchmark, "item_id", n).groupBy("item_id").agg(F.array_sort(F.collect_set("shingle")).alias("shingles"))
+    required = F.expr(f"(size(shingles) * {percent} + 99) div 100")
+    items = items.select("item_id", F.size("shingles").cast("long").alias("item_shingles"), required.alias("required"), F.posexplode("shingles").alias("rank", "shingle"))
+    return items.withColumn("in_sketch", F.col("rank") <= F.col("item_shingles") - F.col("required")).drop("rank")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast if there are few enough."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def _partition(size: str | Column) -> Column:
+    return F.floor(F.log2(size)).cast("int")
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, percent: int = SHARE) -> DataFrame:
+    """doc_id, item_id of documents that hold a shingle of the item's sketch and are of a size to hold enough of it."""
+    sketches = _items(benchmark, n, percent).where("in_sketch").select("item_id", "shingle", _partition("required").alias("least"))
+    met = exploded(docs, "doc_id", n).join(_few(sketches), "shingle").groupBy("doc_id", "item_id", "least").agg(_partition(F.max("size")).alias("room"))
+    # Rows of one id are one document, whose size is not that of a row.
+    several = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "rows")
+    return met.join(several, "doc_id", "left").where("room >= least or rows is not null").select("doc_id", "item_id")
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, percent: int = SHARE, folder: str | None = None) -> DataFrame:
     """The benchmark items that documents hold.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. Returns doc_id, item_id, matched
     and item_shingles (distinct shingles), with 100 * matched >= percent * item_shingles. Items of fewer
     than n words, null or empty texts and null ids have no shingles and are never found or searched. Repeated rows of an id
-    count once, with the shingles of all its texts. Empty tables give no rows.
+    count once, with the shingles of all its texts. Texts of any length are read whole, and a document may hold
+    any number of items. Empty tables give no rows. Candidates are written below folder, by default a new one of work_dir().
     """
-    items = exploded(benchmark, "item_id", n).groupBy("item_id").agg(F.array_sort(F.collect_set("shingle")).alias("shingles"))
-    size = F.size("shingles")
-    required = F.expr(f"(size(shingles) * {percent} + 99) div 100")
-    items = items.select("item_id", size.alias("item_shingles"), required.alias("required"), F.floor(F.log2(required)).cast("int").alias("least_class"), F.posexplode("shingles").alias("rank", "shingle"))
-    items = items.withColumn("in_sketch", F.col("rank") <= F.col("item_shingles") - F.col("required")).drop("rank")
-    few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = exploded(docs, "doc_id", n).withColumn("class", F.floor(F.log2("size")).cast("int"))
-    items = F.broadcast(items) if few else items
-    met = rows.join(items, (rows["shingle"] == items["shingle"]) & (rows["class"] >= items["least_class"])).select("doc_id", "item_id", rows["shingle"], "item_shingles", "required", "in_sketch")
-    pairs = met.groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("matched"), F.first("item_shingles").cast("long").alias("item_shingles"), F.first("required").alias("required"), F.max("in_sketch").alias("found"))
-    return pairs.where("found and matched >= required").select("doc_id", "item_id", "matched", "item_shingles")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pairs = cut(candidates(docs, benchmark, n, percent), f"{folder or work_dir(docs.sparkSession, 'items')}/candidates")
+    items = _items(benchmark, n, percent).select("item_id", "shingle", "item_shingles", "required")
+    texts = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = exploded(texts, "doc_id", n).select("doc_id", "shingle").join(pairs, "doc_id").join(_few(items), ["item_id", "shingle"])
+    found = held.groupBy("doc_id", "item_id", "item_shingles", "required").agg(F.countDistinct("shingle").alias("matched"))
+    return found.where("matched >= required").select("doc_id", "item_id", "matched", "item_shingles")
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, percent: int = SHARE) -> DataFrame:
-    """docs without the documents that hold a benchmark item; all columns stay."""
+    """docs without the documents that hold a benchmark item; all columns stay.
+
+    Rows with a null doc_id or without text stay; of a doc_id that goes, all rows go.
+    """
     return docs.join(contained_items(docs, benchmark, n, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from foldline.llm.decontaminate import contained_items, without_items
+from foldline.llm.decontaminate import candidates, contained_items, without_items
 
 
 def brute(docs, items, n, percent):
@@ -34,3 +34,27 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in without_items(d, b).collect()} == {x for x, _ in docs} - {x[0] for x in want}
     none = spark.createDataFrame([], "item_id long, text string")
     assert contained_items(d, none).count() == 0 and without_items(d, none).count() == len(docs)
+
+
+def test_only_candidates_are_verified(spark):
+    item = " ".join(f"w{k}" for k in range(24))  # 20 shingles, 16 needed, 5 in the sketch
+    docs = [(k, " ".join(f"d{k}x{j}" for j in range(200))) for k in range(50)]
+    words = item.split()
+    docs += [(100, "a b c " + item + " d e"), (101, " ".join(words[:12])), (102, " ".join(words[:22]))]
+    docs += [(110 + k, f"x{k} " + " ".join(words[k : k + 5]) + " " + " ".join(f"y{k}z{j}" for j in range(40))) for k in range(20)]  # one shingle each
+    docs += [(200, " ".join(words[:14])), (200, " ".join(words[10:]))]  # one document, in two rows
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id for r in candidates(d, b).collect()}
+    assert {100, 102, 200} <= found and not found & {*range(50), 101}  # 101 has no room for 16 shingles
+    assert len(found & set(range(110, 130))) == 5
+    got = {(r.doc_id, r.matched) for r in contained_items(d, b).collect()}
+    assert got == {(100, 20), (102, 18), (200, 20)}
+
+
+def test_null_ids_and_long_texts(spark):
+    item = "one two three four five six seven"
+    docs = [(None, item), (1, "x y z " * 100_000 + item), (2, None), (3, "word" * 100_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(9, item), (None, item)], "item_id long, text string")
+    assert [tuple(r) for r in contained_items(d, b).collect()] == [(1, 9, 3, 3)]
+    assert {r.doc_id for r in without_items(d, b).collect()} == {None, 2, 3}
