@@ -54,8 +54,15 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component between 1/2 and 1, which changes no digit."""
+    largest = np.abs(vectors).max(-1, keepdims=True)
+    return np.ldexp(vectors, -np.frexp(largest)[1])
+
+
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Row by row, so that equal rows have equal results."""
+    """Row by row, so that equal rows have equal results; scaled, so that no product overflows or vanishes."""
+    vectors, query = scaled(vectors), scaled(query)
     size = np.sqrt((vectors * vectors).sum(1)) * np.sqrt((query * query).sum())
     return (vectors * query).sum(1) / size
 
@@ -106,13 +113,13 @@ def nearest(vectors: DataFrame, folder: str, every: int = 50, k: int = 5) -> Dat
     width = max(set(widths), key=lambda w: (widths.count(w), w)) if len(set(widths)) > 1 else widths[0]
     good = good.where(F.size("embedding") == width)
     units = np.array([r["embedding"] for r in sample if len(r["embedding"]) == width], dtype=np.float64)
-    units /= np.abs(units).max(1)[:, None]
+    units = scaled(units)
     units /= np.linalg.norm(units, axis=1)[:, None]
     lists = max(1, min(LISTS, len(units) // LEAST_IN_LIST))
     centroids, turn = fit_centroids(units, lists), rotation(width)
 
     def unit(raw: np.ndarray) -> np.ndarray:
-        out = raw / np.abs(raw).max(1)[:, None]
+        out = scaled(raw)
         return out / np.sqrt((out * out).sum(1))[:, None]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
