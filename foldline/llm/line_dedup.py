@@ -4,9 +4,8 @@ Two lines within `edits` edits share, of the edits + 1 segments that the shorter
 unchanged. Segments of distinct lines are indexed under (line length, segment number, segment); a line
 probes the lengths up to its own with the substrings at positions that a match of so few edits
 can have left it at. Keys that only one line has are dropped by a combined aggregate before any
-pair is made. Lines that share a key are compared inside the join, so that only links leave it: first by
-finer segments, all of which but one for each edit must be there within the shift that edits allow,
-then by the banded bit-parallel edit distance. Classes are what chains of links connect; the earliest line
+pair is made. Lines that share a key are compared inside the join, so that only links leave it, by the
+banded bit-parallel edit distance of what is left without their common beginning and end. Classes are what chains of links connect; the earliest line
 of a class stays. DataFrame functions only.
 """
 
@@ -20,8 +19,8 @@ from foldline.llm.shared import components, cut
 EDITS = 2
 #: Lines of fewer characters are compared without edits: short lines are within few edits of each other by chance.
 MIN_CHARS = 30
-#: Finer segments that candidates are compared by.
-FINE = 8
+#: Characters of a block that lines are compared by to find what they begin or end with in common, and of the rest's beginning.
+BLOCK, HEAD = 16, 16
 #: Keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -51,37 +50,59 @@ def with_keys(lines: DataFrame, edits: int) -> DataFrame:
     return rows.select(*lines.columns, key.alias("key"), F.expr("less = 0 and shift = 0").alias("indexed"))
 
 
-def enough_segments(a: str, b: str, length: str, edits: int) -> Column:
-    """All but `edits` of a's finer segments (a has the given length) stand in b, moved by at most `edits`."""
-    shifts = ", ".join(map(str, sorted(range(-edits, edits + 1), key=abs)))
-    own = f"substring({a}, cast(k * {length} div {FINE} as int) + 1, cast((k + 1) * {length} div {FINE} as int) - cast(k * {length} div {FINE} as int))"
-    there = f"exists(array({shifts}), s -> substring({b}, cast(k * {length} div {FINE} as int) + 1 + s, char_length(own)) = own)"
-    missing = f"aggregate(transform(sequence(0, {FINE - 1}), k -> exists(array({own}), own -> {there})), 0, (m, x) -> m + if(x, 0, 1))"
-    return F.expr(f"{missing} <= {edits}")
+def let(name: str, value: str, body: str) -> str:
+    """body with name standing for value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def common_head(a: str, b: str, size: str, times: int) -> str:
+    """How many characters a and b begin with in common, counted in blocks of a size, the first so many of them."""
+    return f"aggregate(sequence(0, {times - 1}), 0, (p, k) -> if(p = k * {size} and substring({a}, p + 1, {size}) = substring({b}, p + 1, {size}), p + {size}, p))"
+
+
+def without_head(a: str, b: str, edits: int) -> str:
+    """struct(a, b) without what both begin with, in blocks and then in finer ones; more than edits characters of each are left."""
+    cut = lambda p: let("c", f"least({p}, x.n) + 1", "named_struct('a', substring(x.a, c), 'b', substring(x.b, c), 's', x.s)")
+    room = f"greatest(0, least(char_length(y.a), char_length(y.b)) - {edits + 1})"
+    held = lambda value, body: let("y", value, let("x", f"named_struct('a', y.a, 'b', y.b, 'n', {room}, 's', y.s)", body))
+    first = f"named_struct('a', {a}, 'b', {b}, 's', cast(greatest({BLOCK}, char_length({a}) div {2 * BLOCK} + 1) AS int))"
+    coarse = held(first, cut(common_head("x.a", "x.b", "x.s", 2 * BLOCK)))
+    return held(coarse, cut(common_head("x.a", "x.b", f"cast(x.s div {BLOCK} AS int)", BLOCK)))
+
+
+def within(a: str, b: str, edits: int) -> Column:
+    """The edit distance of a and b is at most edits; both are longer than that, and their lengths differ by no more.
+
+    What both begin and end with goes; the rest's beginning is compared before all of it.
+    """
+    middle = let("t", without_head(a, b, edits), without_head("reverse(t.a)", "reverse(t.b)", edits))
+    head = lambda c, n: f"substring({c}, greatest(1, char_length({c}) - {n - 1}))"  # noqa: E731  # reversed, so the end of what is left
+    start = distance("m.ha", "m.hb", edits, whole=False)
+    return F.expr(let("z", middle, let("m", f"named_struct('a', z.a, 'b', z.b, 'ha', reverse({head('z.a', HEAD)}), 'hb', reverse({head('z.b', HEAD + edits)}))", f"{start} <= {edits} and {distance('m.a', 'm.b', edits)} <= {edits}")))
 
 
 def edit_distance(a: str, b: str, edits: int) -> Column:
-    """The edit distance of two columns if it is at most edits, else a larger number; both are longer than edits.
+    """The edit distance of two columns if it is at most edits, else a larger number; both are longer than edits."""
+    return F.expr(distance(a, b, edits))
+
+
+def distance(a: str, b: str, edits: int, whole: bool = True) -> str:
+    """edit_distance as SQL; with whole=False the least distance of a and a beginning of b, of those the band reaches.
 
     One bit for each diagonal of the band; a step for each character of b. vp and vn are the bits
-    where the column above rises and falls; the distance is followed down the lowest diagonal
-    to the last row of a, then along that row.
+    where the column above rises and falls; the distance d is followed down the lowest diagonal
+    to the last row of a, then along that row, where least is the smallest so far.
     """
     top, mask = 2 * edits, (1 << (2 * edits + 1)) - 1
-    same = " | ".join(f"if(get(ca, j - {edits} + {k} - 1) = get(cb, j - 1), {1 << k}L, 0L)" for k in range(top + 1))
-    return F.expr(f"""
-      element_at(transform(array(struct(split({a}, '') AS ca, split({b}, '') AS cb)), z ->
-      aggregate(sequence(1, size(z.cb)), named_struct('vp', {((1 << (edits + 1)) - 1) << edits}L, 'vn', 0L, 'd', {edits}),
-        (s, j) -> element_at(transform(array({same.replace("ca", "z.ca").replace("cb", "z.cb")}), eq ->
-          element_at(transform(array(((((eq & s.vp) + s.vp) ^ s.vp) | eq | s.vn) & {mask}L), d0 ->
-            element_at(transform(array((s.vn | ~(d0 | s.vp)) & {mask}L), hp ->
-              named_struct(
-                'vp', ((d0 & s.vp) | ~(shiftright(d0, 1) | hp)) & {mask}L,
-                'vn', shiftright(d0, 1) & hp,
-                'd', s.d + if(j <= size(z.ca) - {edits}, 1 - cast(shiftright(d0, {top}) & 1L AS int),
-                  cast((shiftright(hp, {top} - (j - (size(z.ca) - {edits}))) & 1L) - (shiftright(d0 & s.vp, {top} - (j - (size(z.ca) - {edits}))) & 1L) AS int)))
-            ), 1)), 1)), 1),
-        s -> s.d)), 1)""")
+    same = " | ".join(f"if(get(w.ca, j - {edits} + {k} - 1) = get(w.cb, j - 1), {1 << k}L, 0L)" for k in range(top + 1))
+    down = f"j <= size(w.ca) - {edits}"
+    along = f"{top} - (j - (size(w.ca) - {edits}))"
+    d = f"s.d + if({down}, 1 - cast(shiftright(d0, {top}) & 1L AS int), cast((shiftright(hp, {along}) & 1L) - (shiftright(d0 & s.vp, {along}) & 1L) AS int))"
+    step = f"named_struct('vp', ((d0 & s.vp) | ~(shiftright(d0, 1) | hp)) & {mask}L, 'vn', shiftright(d0, 1) & hp, 'd', {d}, 'least', s.least)"
+    kept = let("r", let("hp", f"(s.vn | ~(d0 | s.vp)) & {mask}L", step), f"named_struct('vp', r.vp, 'vn', r.vn, 'd', r.d, 'least', if(j >= size(w.ca) - {edits}, least(s.least, r.d), s.least))")
+    moved = let("eq", f"({same})", let("d0", f"((((eq & s.vp) + s.vp) ^ s.vp) | eq | s.vn) & {mask}L", kept))
+    start = f"named_struct('vp', {((1 << (edits + 1)) - 1) << edits}L, 'vn', 0L, 'd', {edits}, 'least', if(size(w.ca) <= {edits}, size(w.ca), {1 << 30}))"
+    return let("w", f"struct(split({a}, '') AS ca, split({b}, '') AS cb)", f"aggregate(sequence(1, size(w.cb)), {start}, (s, j) -> {moved}, s -> s.{'d' if whole else 'least'})")
 
 
 def few(rows: DataFrame) -> DataFrame:
@@ -111,7 +132,7 @@ def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: in
     index = met.where("indexed").select("key", F.col("digest").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
     probe = met.select("key", F.col("digest").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"), "indexed")
     near = index.join(probe, "key").where("a <> b and (not indexed or a < b) and abs(na - nb) <= " + str(edits))
-    near = near.where(enough_segments("la", "lb", "na", edits)).where(edit_distance("la", "lb", edits) <= edits)
+    near = near.where(within("la", "lb", edits))
     links = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{folder}/links")
 
     classes = components(links, f"{folder}/classes").select(F.col("node").alias("digest"), F.col("component").alias("class"))

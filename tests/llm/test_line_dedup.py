@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foldline.llm.line_dedup import edit_distance, keep_first_lines, line_classes
+from foldline.llm.line_dedup import distance as banded
+from foldline.llm.line_dedup import edit_distance, keep_first_lines, line_classes, within
 from foldline.llm.shared import work_dir
 
 
@@ -36,6 +37,31 @@ def test_distance_is_exact_within_the_band(spark, edits):
         assert r.d == r.l if r.l <= edits else r.d > edits, r
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_within_is_exact(spark, edits):
+    rng, rows = random.Random(edits + 10), []
+    for _ in range(1500):
+        a = "".join(rng.choice("abé ") for _ in range(rng.choice([rng.randint(edits + 1, 20), rng.randint(20, 90), rng.randint(500, 1100)])))
+        b = edited(rng, a, rng.randint(0, edits + 2))
+        if rng.random() < 0.2:  # edits that stand apart
+            b = a + "x" * rng.randint(0, edits + 1) if rng.random() < 0.5 else "y" + a[1:-1] + "z"
+        if abs(len(a) - len(b)) <= edits < len(b):
+            rows.append((a, b))
+    for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", within("a", "b", edits).alias("near"), F.levenshtein("a", "b").alias("l")).collect():
+        assert r.near == (r.l <= edits), r
+
+
+def test_beginnings(spark):
+    rng, rows = random.Random(5), []
+    for _ in range(500):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(3, 12)))
+        rows.append((a, edited(rng, a, rng.randint(0, 2)) + "".join(rng.choice("ab") for _ in range(rng.randint(0, 3)))))
+    rows = [r for r in rows if 2 < len(r[1]) <= len(r[0]) + 2 and abs(len(r[0]) - len(r[1])) <= 2]
+    for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", F.expr(banded("a", "b", 2, whole=False)).alias("d")).collect():
+        least = min(distance(r.a, r.b[:k]) for k in range(max(0, len(r.a) - 2), len(r.b) + 1))
+        assert r.d == least if least <= 2 else r.d > 2, r
+
+
 def brute(texts: dict, edits: int, least: int) -> set:
     where = {}
     for d in sorted(k for k in texts if k is not None):
