@@ -116,7 +116,9 @@ class WordTable:
 def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """begins[0], begins[0] + 1 and on for sizes[0] numbers, then the same of the others."""
     ends = np.cumsum(sizes)
-    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(begins - (ends - sizes), sizes)
+    return out
 
 
 class Splitter:

@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldline.llm.bpe_transducer import byte_alphabet
-from foldline.llm.pieces import MARKS, Splitter, check_format, plain
-from foldline.llm.shared import stretches
+from foldline.llm.pieces import MARKS, Splitter, check_format, plain, spread
+from foldline.llm.shared import small_batches, stretches
 
 #: Ids that the rolling hash sees, the mean chunk in ids as a power of two, and the bounds of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
 #: Digests that a task keeps to send a chunk's bytes once; more are settled after the shuffle.
-SEEN = 200_000
+SEEN = 50_000
 
 #: Bytes of a Python worker's table of words and of its memos of pieces, and characters of the texts that are encoded at a time.
-TABLE_BYTES, MEMO_BYTES, CHARS = 20 << 20, 16 << 20, 4 << 20
+TABLE_BYTES, MEMO_BYTES, CHARS = 20 << 20, 8 << 20, 4 << 20
 
 ENTRY = "doc_id long, row_key long, pos int, n int, digest binary, data binary"
 
@@ -120,29 +120,35 @@ def _gear() -> np.ndarray:
 GEAR = _gear()
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where chunks end: after ids whose rolling hash has its top bits zero, within the bounds."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    words = GEAR[ids & 0xFFFF]
+def chunk_ends(texts: list[np.ndarray]) -> list[list[int]]:
+    """Where each text's chunks end: after ids whose rolling hash has its top bits zero, within the bounds."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    # Texts one after the other, with room before each for what the hash sees of nothing.
+    starts = np.cumsum(sizes + WINDOW) - sizes
+    words = np.zeros(int((sizes + WINDOW).sum()), np.uint32)
+    words[spread(starts, sizes)] = GEAR[np.concatenate([np.empty(0, np.int64), *texts]).astype(np.int64) & 0xFFFF]
     rolling = words.copy()
-    for k in range(1, min(WINDOW, n)):
+    for k in range(1, WINDOW):
         rolling[k:] += words[:-k] << np.uint32(k)
-    ends, start = [], 0
-    for end in (np.flatnonzero(rolling >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist():
-        while end - start > MOST:
+    hits = np.flatnonzero(rolling >> np.uint32(32 - CUT_BITS) == 0) + 1
+    first, last = np.searchsorted(hits, starts, side="right"), np.searchsorted(hits, starts + sizes, side="right")
+    out = []
+    for at, n, i, j in zip(starts.tolist(), sizes.tolist(), first.tolist(), last.tolist()):
+        ends, start = [], 0
+        for end in (hits[i:j] - at).tolist():
+            while end - start > MOST:
+                start += MOST
+                ends.append(start)
+            if end - start >= LEAST:
+                ends.append(end)
+                start = end
+        while n - start > MOST:
             start += MOST
             ends.append(start)
-        if end - start >= LEAST:
-            ends.append(end)
-            start = end
-    while n - start > MOST:
-        start += MOST
-        ends.append(start)
-    if start < n:
-        ends.append(n)
-    return ends
+        if start < n:
+            ends.append(n)
+        out.append(ends)
+    return out
 
 
 def name(data: bytes) -> bytes:
@@ -197,10 +203,10 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
         for batch in batches:
             for part in stretches(batch, 1, 1000, CHARS):
                 out = ([], [], [], [], [], [])
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.batch([t or "" for t in part.column(1).to_pylist()])):
-                    ids = np.concatenate([ids, end])
+                found = [np.concatenate([ids, end]) for ids in encoder.batch([t or "" for t in part.column(1).to_pylist()])]
+                for doc, ids, stops in zip(part.column(0).to_pylist(), found, chunk_ends(found)):
                     data, start = ids.tobytes(), 0
-                    for pos, stop in enumerate(chunk_ends(ids)):
+                    for pos, stop in enumerate(stops):
                         chunk = data[start * width : stop * width]
                         digest = name(chunk)
                         for to, value in zip(out, (doc, row, pos, stop - start, digest, None if digest in sent else chunk)):
@@ -215,11 +221,13 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
-            digests, keep = batch.column(4).to_pylist(), []
-            data = batch.column(5)
-            for digest, there in zip(digests, data.is_valid().to_pylist()):
-                keep.append(there and digest != before)
-                before = digest if there else before
+            if not batch.num_rows:
+                continue
+            digests, data = np.frombuffer(b"".join(batch.column(4).to_pylist()), "V16"), batch.column(5)
+            there = data.is_valid().to_numpy(zero_copy_only=False)
+            # Rows with bytes come first, in order of their digests.
+            again = np.concatenate([[digests[0] == before], digests[1:] == digests[:-1]])
+            before, keep = digests[-1] if there[-1] else None, there & ~again
             data = pa.compute.if_else(pa.array(keep), data, pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], data], batch.schema.names)
 
@@ -228,7 +236,8 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     # Rows that bring bytes meet the others of their digest; the rest, of hot chunks too, spread evenly.
     where = F.when(F.col("data").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("row_key", "pos"))
     entries = entries.repartition(where).sortWithinPartitions(F.col("data").isNull(), "digest", "row_key", "pos")
-    entries.mapInArrow(once, ENTRY).write.option("compression", "zstd").parquet(f"{folder}/entries")
+    with small_batches(spark):
+        entries.mapInArrow(once, ENTRY).write.option("compression", "zstd").parquet(f"{folder}/entries")
 
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,10 +42,11 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_parts():
     ids = np.random.default_rng(1).integers(0, 50000, 20000).astype("<u2")
-    ends = chunk_ends(ids)
+    ends, other = chunk_ends([ids, ids[5000:]])
+    assert len({e + 5000 for e in other} - set(ends)) <= 2  # the same cuts wherever a passage starts
     assert ends[-1] == len(ids) and all(b > a for a, b in zip(ends, ends[1:]))
     parts = [ids[a:b].astype("<u4") for a, b in zip([0, *ends], ends)]
     rows = [*parts, parts[0]]
     joined = joined_crcs(np.array([zlib.crc32(p) for p in rows]), np.array([p.nbytes for p in rows]), np.array([len(parts), 1]))
     assert joined.tolist() == [zlib.crc32(ids.astype("<u4")), zlib.crc32(parts[0])]
-    assert chunk_ends(np.zeros(10000, "<u2"))[-1] == 10000 and merkle([b"a"]) == b"a" and merkle([b"a", b"b", b"c"]) != merkle([b"c", b"b", b"a"])
+    assert chunk_ends([np.zeros(10000, "<u2"), ids[:0]])[0][-1] == 10000 and chunk_ends([ids[:0]]) == [[]] and chunk_ends([]) == [] and merkle([b"a"]) == b"a" and merkle([b"a", b"b", b"c"]) != merkle([b"c", b"b", b"a"])
