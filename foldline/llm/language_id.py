@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldline.llm.sampling import bounded_sample, held_out
+from foldline.llm.shared import fresh_name
 
 #: Labelled documents that the distributions are fitted on, at most (chosen by a hash of doc_id).
 SAMPLE = 12_000
@@ -139,8 +140,8 @@ def fit(docs: DataFrame) -> Mixture | None:
     return Mixture(languages, counts)
 
 
-def tag(docs: DataFrame, model: Mixture | None) -> DataFrame:
-    """docs, with all its columns, and _lang_pred and _lang_score of each whole text."""
+def tag(docs: DataFrame, model: Mixture | None, lang: str, score: str) -> DataFrame:
+    """docs, with all its columns, and two more of these names: the language of each whole text, and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bins x languages, whatever the corpus
     at = docs.columns.index("text")
 
@@ -158,9 +159,9 @@ def tag(docs: DataFrame, model: Mixture | None) -> DataFrame:
                 best = int(share.argmax())
                 names.append(mixture.languages[best])
                 scores.append(min(1.0, float(share[best])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "_lang_pred", "_lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(predict, schema)
 
 
@@ -170,19 +171,21 @@ def identify(docs: DataFrame) -> DataFrame:
     docs: doc_id, text, lang. Returns a row per input row: doc_id, held_out, lang_pred (a learned
     lang, or "und" if text is null or has no letter, or nothing could be learned), score (the main
     language's share in the selected mixture, 0 for "und"). Repeated rows give repeated rows;
-    ties go to the language first in order; a null doc_id is not held out.
+    ties go to the language first in order; a null doc_id is not held out. Texts of any length are read
+    whole; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
-    return tag(rows, fit(docs)).select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return tag(rows, fit(docs), "lang_pred", "score").select("doc_id", "held_out", "lang_pred", "score")
 
 
 def with_language(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language is undetermined; lang is the predicted one, other columns stay.
 
-    If nothing could be learned (no row has a lang), nothing is rejected and lang stays.
+    A null, empty or letterless text is undetermined. If nothing could be learned (no row has a lang), nothing is
+    rejected and lang stays. Repeated rows and rows with a null doc_id are judged by their text alike; an empty table gives no rows.
     """
     model = fit(docs)
     if model is None:
         return docs
-    found = tag(docs, model).where(F.col("_lang_pred") != UNDETERMINED)
-    return found.withColumn("lang", F.col("_lang_pred")).select(*docs.columns)
+    lang, score = (fresh_name(x, docs.columns) for x in ("lang_pred", "lang_score"))
+    return tag(docs, model, lang, score).where(F.col(lang) != UNDETERMINED).withColumn("lang", F.col(lang)).select(*docs.columns)

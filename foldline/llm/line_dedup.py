@@ -4,7 +4,7 @@ Two lines within `edits` edits share, of the edits + 1 segments that the shorter
 unchanged. Segments of distinct lines are indexed under (line length, segment number, segment); a line
 probes the lengths up to its own with the substrings at positions that a match of so few edits
 can have left it at. Keys that only one line has are dropped by a combined aggregate before any
-pair is made. Lines that share a key are compared inside the join, so that only links leave it, by the
+pair is made, without the lines' texts. Lines that share a key are compared inside the join, so that only links leave it, by the
 banded bit-parallel edit distance of what is left without their common beginning and end. Classes are what chains of links connect; the earliest line
 of a class stays. DataFrame functions only.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.shared import components, cut
+from foldline.llm.shared import components, cut, fresh_name
 
 EDITS = 2
 #: Lines of fewer characters are compared without edits: short lines are within few edits of each other by chance.
@@ -117,18 +117,28 @@ def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: in
     (the class's earliest line, which names the class) and links (other texts within the edits).
     Lines of fewer than min_chars characters take part with short=True only, as exact repeats without links; empty lines
     take no part, nor do null texts and rows with a null doc_id; repeated rows of a
-    doc_id count as one document. Empty tables give no rows.
+    doc_id count as one document. Lines of any length are compared whole; ties in length or place do not arise, as a
+    class's earliest line has one doc_id and number. Empty tables give no rows.
     """
     if min_chars <= edits:
         raise ValueError("min_chars must be greater than edits")
-    lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= (1 if short else min_chars)).withColumns({"digest": F.unhex(F.md5("line")), "id": F.xxhash64("line")})
-    places = cut(lines.select("doc_id", "line_no", "digest"), f"{folder}/places")
-
-    held = with_keys(lines.where(F.col("n") >= min_chars).select("id", "digest", "line", "n"), edits)
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    split = F.split("text", "\n", -1)
+    lines = docs.select("doc_id", F.posexplode_outer(split).alias("line_no", "line")).withColumns({"n": F.char_length("line"), "id": F.xxhash64("line")})
+    # A line is named by two hashes; candidates are found by the first.
+    digest = F.struct("id", F.xxhash64(F.lit(1), "line").alias("other")).alias("digest")
+    places = cut(lines.where(F.col("n") >= (1 if short else min_chars)).select("doc_id", "line_no", digest), f"{folder}/places")
+
+    held = cut(with_keys(lines.where(F.col("n") >= min_chars).select("id", "line", "n"), edits).select("key", "id", "indexed"), f"{folder}/segments")
     shared = held.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     shared = cut(shared, f"{folder}/keys")
-    met = cut(held.join(few(shared), "key").groupBy("key", "digest", "indexed").agg(F.first("line").alias("line"), F.first("n").alias("n")), f"{folder}/met")
+    met = cut(held.join(few(shared), "key").select("key", "id", "indexed").distinct(), f"{folder}/met")
+    # Candidates' texts, from one place of each.
+    spots = places.join(few(met.select("id").distinct().withColumnRenamed("id", "of")), F.col("digest.id") == F.col("of")).groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    spots = few(cut(spots.select("digest", "at.doc_id", "at.line_no"), f"{folder}/spots"))
+    texts = docs.join(spots, "doc_id").select("digest", F.get(split, F.col("line_no")).alias("line"))
+    texts = cut(texts.where(F.xxhash64("line") == F.col("digest.id")).withColumn("n", F.char_length("line")).dropDuplicates(["digest"]), f"{folder}/texts")
+    met = met.join(texts, F.col("id") == F.col("digest.id")).select("key", "indexed", "digest", "line", "n")
     index = met.where("indexed").select("key", F.col("digest").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
     probe = met.select("key", F.col("digest").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"), "indexed")
     near = index.join(probe, "key").where("a <> b and (not indexed or a < b) and abs(na - nb) <= " + str(edits))
@@ -148,13 +158,15 @@ def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: in
 def keep_first_lines(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs with every line of a class but its earliest taken out of text; other columns stay, and n_chars, if there, follows.
 
-    A document that loses all its lines goes; other rows stay, those without text too.
+    A document that loses all its lines goes; other rows stay, those without text or doc_id too. Rows
+    of one doc_id lose the lines of the same numbers. Empty tables give no rows; texts of any length are read whole.
     """
-    gone = line_classes(docs, folder, edits, min_chars, short).where("doc_id <> kept_doc_id or line_no <> kept_line_no")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains("_gone", k))
-    out = docs.join(gone, "doc_id", "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    out = out.where("_kept is null or size(_kept) > 0").withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    gone, kept = (fresh_name(x, docs.columns) for x in ("gone", "kept"))
+    found = line_classes(docs, folder, edits, min_chars, short).where("doc_id <> kept_doc_id or line_no <> kept_line_no")
+    found = found.groupBy("doc_id").agg(F.collect_set("line_no").alias(gone))
+    left = F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains(F.col(gone), k))
+    out = docs.join(found, "doc_id", "left").withColumn(kept, F.when(F.col(gone).isNotNull(), left))
+    out = out.where(F.col(kept).isNull() | (F.size(kept) > 0)).withColumn("text", F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -8,7 +8,8 @@ the first |x| - ceil(t |x|) + k n-grams of each. Only these prefixes are shuffle
 n-gram that no other prefix has links nothing and goes; a set with fewer than k others' n-grams left
 in its prefix has no partner and goes. This repeats on what is left. Sets that share prefix n-grams
 form candidate groups, found as connected components with one edge per set and n-gram, so that no
-pairs are made within an n-gram's sets.
+pairs are made within an n-gram's sets; the sets of a common n-gram are dealt to several places that a few
+sets join.
 
 Tree. The whole sets of a group meet in one task (a large group is cut into bounded blocks, and each
 two blocks whose sizes allow a link meet). N-grams are ordered by how many of the block's sets have
@@ -20,7 +21,9 @@ longest set below, cannot reach the overlap needed. What is left at the leaves i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,8 @@ from foldline.llm.shared import components, cut
 _STEP, _MIX, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: N-grams of one block of a candidate group, which bounds a task's memory.
 BLOCK = 1_500_000
+#: Sets of a batch that make an n-gram common, and the places that a common n-gram's sets are dealt to.
+COMMON, SHARES = 64, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -255,6 +260,33 @@ def link_sets(sets: list[np.ndarray], side: list[int], percent: int) -> list[tup
     return links
 
 
+GRAM = "rep long, least int, gram long, share int, bridge boolean"
+
+
+def dealt(batches: Iterator[pa.RecordBatch], common: int, shares: int) -> Iterator[pa.RecordBatch]:
+    """GRAM rows of (rep, least, prefix) rows: one per n-gram, and more that join the shares of a common n-gram.
+
+    An n-gram that many sets of a batch have is dealt to several places by rep, so that none holds them all; where it is not
+    as common it has the place 0. The first set of the batch at each share stands at place 0 as well, which joins the shares.
+    """
+    for batch in batches:
+        lists = batch.column(2)
+        n = np.diff(lists.offsets.to_numpy())
+        rep, least = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
+        gram = lists.flatten().to_numpy()
+        if not len(gram):
+            continue
+        _, where, counts = np.unique(gram, return_inverse=True, return_counts=True)
+        own = (_mix(rep.view(np.uint64)) % np.uint64(shares)).astype(np.int32) + 1
+        share = np.where(counts[where] > common, own, 0).astype(np.int32)
+        hot = np.flatnonzero(share)
+        _, first = np.unique(where[hot] * (shares + 1) + share[hot], return_index=True)
+        more = hot[first]
+        columns = [np.concatenate([c, c[more]]) for c in (rep, least, gram)]
+        share, bridge = np.concatenate([share, np.zeros(len(more), np.int32)]), np.arange(len(gram) + len(more)) >= len(gram)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(share), pa.array(bridge)], [c.split()[0] for c in GRAM.split(", ")])
+
+
 def similarity_classes(docs: DataFrame, folder: str, n: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents that chains of links connect; two link at 100 * overlap >= percent * union.
 
@@ -263,7 +295,7 @@ def similarity_classes(docs: DataFrame, folder: str, n: int = 5, percent: int =
     doc_id in the class). A null, empty or blank text has an empty set, which links with nothing.
     Rows with a null doc_id are returned with a null component_id and take no part; repeated
     rows of one doc_id are one document if their texts agree, and their classes join
-    otherwise. An empty table gives no rows.
+    otherwise. Texts of any length are read whole; the smallest doc_id settles ties. An empty table gives no rows.
     """
     sigs = cut(signatures(docs, n, percent), f"{folder}/signatures")
     sets = sigs.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"))
@@ -271,22 +303,24 @@ def similarity_classes(docs: DataFrame, folder: str, n: int = 5, percent: int =
     reps = sigs.join(sets.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("size"), "prefix")
 
     # What a set must find of others' n-grams in its prefix: k for the smallest partner.
-    least = F.greatest(F.lit(1), F.expr(f"((size * {percent} + 99) div 100) * {100 - percent} div 200")).alias("least")
-    grams = reps.select("rep", least, F.explode("prefix").alias("gram"))
+    least = F.greatest(F.lit(1), F.expr(f"((size * {percent} + 99) div 100) * {100 - percent} div 200")).cast("int").alias("least")
+    grams = reps.select("rep", least, "prefix").mapInArrow(partial(dealt, common=COMMON, shares=SHARES), GRAM)
     for k in (1, 2):
-        by_gram = Window.partitionBy("gram")
-        grams = grams.withColumns({"sharing": F.count("*").over(by_gram), "leader": F.min("rep").over(by_gram)}).where("sharing > 1").drop("sharing")
+        place = Window.partitionBy("gram", "share")
+        grams = grams.withColumns({"sharing": F.count("*").over(place), "leader": F.min("rep").over(place)}).where("sharing > 1 or share > 0 or bridge").drop("sharing")
         grams = cut(grams, f"{folder}/shared-{k}")
-        enough = grams.groupBy("rep").agg(F.count("*").alias("found"), F.first("least").alias("least")).where("found >= least").select("rep")
+        enough = grams.where("not bridge").groupBy("rep").agg(F.count("*").alias("found"), F.first("least").alias("least")).where("found >= least").select("rep")
         grams = grams.join(enough, "rep", "left_semi")
     groups = components(grams.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), f"{folder}/groups")
 
-    # Groups in blocks of bounded size, by set size; blocks meet if their sizes allow a link.
-    members = groups.withColumnRenamed("node", "rep").join(sets.select("rep", "size").dropDuplicates(["rep"]), "rep")
-    running = F.sum("size").over(Window.partitionBy("component").orderBy("size", "rep"))
-    members = cut(members.withColumn("block", F.floor((running - 1) / BLOCK)), f"{folder}/members")
-    spans = members.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    meet = spans.alias("a").join(spans.alias("b"), (F.col("a.component") == F.col("b.component")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.high") * 100 >= F.col("b.low") * percent))
+    # Groups by classes of set size, which are dealt to blocks of bounded size; sets of classes further apart than one cannot link.
+    size_class = F.floor(F.log("size") / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("size").cast("int")
+    members = groups.withColumnRenamed("node", "rep").join(sets.select("rep", "size").dropDuplicates(["rep"]), "rep").withColumn("class", size_class)
+    members = cut(members, f"{folder}/members")
+    blocks = members.groupBy("component", "class").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    members = cut(members.join(blocks, ["component", "class"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("block", F.struct("class", "block")).drop("blocks", "class"), f"{folder}/dealt")
+    spans = blocks.select("component", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("n")).select("component", F.struct("class", F.col("n").alias("block")).alias("block"))
+    meet = spans.alias("a").join(spans.alias("b"), (F.col("a.component") == F.col("b.component")) & (F.col("a.block") <= F.col("b.block")) & (F.col("b.block.class") - F.col("a.block.class") <= 1))
     meet = meet.select(F.col("a.component").alias("component"), F.col("a.block").alias("x"), F.col("b.block").alias("y"))
     sides = meet.select("component", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"), "x", "y")
     wanted = members.join(sides, ["component", "block"]).select("rep", "component", "x", "y", F.when(F.col("block") == F.col("x"), 1).otherwise(2).alias("side"))

@@ -13,16 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that work_dir() has given in this process, for those who clear up.
+MADE: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run, below the cluster's shared checkpoint folder.
 
-    Only where no folder is set, as in tests on one machine, a temporary folder serves.
+    Only in local mode, where there is one machine, a temporary folder serves if none is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="foldline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/foldline-{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{root.rstrip('/')}/foldline-{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of work_dir() or below it, whatever the file system."""
+    if "/foldline-" not in path:
+        raise ValueError(f"not a folder of work_dir(): {path}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
@@ -66,13 +81,17 @@ def stretches(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Itera
         at = to
 
 
+#: Edges of a node from which on it counts as hot, or a thousandth of all edges if that is more.
+HOT = 1000
+
+
 def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
     edges: columns a, b, of one type that has an order. Returns node, component (the smallest node that it reaches).
-    Alternates large-star and small-star steps, each one shuffle on a node id; a node of any
-    degree stays cheap, since a step only needs the smallest neighbour, which is an aggregate
-    with map-side combining joined back. Every round is written to the shared folder.
+    Alternates large-star and small-star steps: a node's smallest neighbour is an aggregate with map-side
+    combining, and its edges meet it by a join, or, for the few nodes that have very many, by a broadcast.
+    Every round is written to the shared folder, and the round before goes.
     """
     step = cut(
         edges.where("a is not null and b is not null and a <> b")
@@ -80,18 +99,30 @@ def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
         .distinct(),
         f"{folder}/cc-0",
     )
-    before = None
+
+    def state() -> tuple:
+        return tuple(step.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+
+    def met(rows: DataFrame, key: str, low: DataFrame, many: int) -> DataFrame:
+        """rows with low's m of their key; hot keys are at most 2000, as each has a thousandth of the edges' ends."""
+        hot = F.broadcast(low.where(F.col("degree") > many).select(key, "m"))
+        return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(low.where(F.col("degree") <= many).select(key, "m"), key))
+
+    before = state()
     for k in range(1, rounds + 1):
+        many = max(HOT, before[0] // 1000)
         # Large star: each neighbour above a node points to the node's smallest neighbour.
         both = step.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(step.select("lo", "hi"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = large.where("hi <> lo").distinct()
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree")), f"{folder}/cc-low-{k}")
+        large = met(both.where("v > u"), "u", low, many).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = cut(large.where("hi <> lo").distinct(), f"{folder}/cc-large-{k}")
         # Small star: each neighbour below a node, and the node, point to the smallest of them.
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("degree"))
+        small = met(large, "hi", least, many).select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo")
         step = cut(small.where("hi <> lo").distinct(), f"{folder}/cc-{k}")
-        now = step.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        for name in (f"cc-{k - 1}", f"cc-low-{k}", f"cc-large-{k}"):
+            drop(edges.sparkSession, f"{folder}/{name}")
+        now = state()
         if now == before:
             break
         before = now

@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 
+from foldline.llm import ngram_join, shared
 from foldline.llm.ngram_join import link_sets, needed, similarity_classes
-from foldline.llm.shared import work_dir
+from foldline.llm.shared import components, work_dir
 
 
 def brute(texts: dict, n: int, percent: int) -> dict:
@@ -95,3 +96,34 @@ def test_odd_rows(spark):
     rows = similarity_classes(spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "A b c"), (9, "x"), (9, "y"), (11, "y")], form), work_dir(spark, "t"), 4, 85).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (5, 5), (5, 5), (7, 5), (9, 9), (9, 9), (11, 9)]
     assert similarity_classes(spark.createDataFrame([], form), work_dir(spark, "t"), 4, 85).count() == 0
+
+
+def test_common_ngrams_are_dealt(spark, monkeypatch):
+    """N-grams of many sets in several places, and groups of many blocks, give the same classes."""
+    for name, value in (("COMMON", 2), ("SHARES", 3), ("BLOCK", 300)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(30)]
+    texts = {}
+    for d in range(120):
+        own = passage + [f"w{rng.randint(0, 3)}" for _ in range(rng.randint(0, 12))]
+        own[rng.randrange(30)] = rng.choice(["x", "y"])
+        texts[d] = " ".join(own)
+    texts |= {200 + k: f"{' '.join(passage[:8])} only{k} " + " ".join(f"o{k}x{j}" for j in range(9)) for k in range(30)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_classes(frame, work_dir(spark, "t"), 4, 85).collect()}
+    assert got == brute(texts, 4, 85) and len({c for _, c in got.values()}) > 5
+
+
+def test_components_with_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 5)
+    edges = [(0, k) for k in range(1, 200)] + [(500 + k, 501 + k) for k in range(40)] + [(900, 899), (7, 7), (None, 3)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), work_dir(spark, "t")).collect()}
+    assert found == {k: 0 for k in range(200)} | {k: 500 for k in range(500, 541)} | {899: 899, 900: 899}
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(80_000))
+    rows = [(1, long), (2, long + " tail"), (3, "x" * 500_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), work_dir(spark, "t")).collect()}
+    assert got == {1: (79_996, 1), 2: (79_997, 1), 3: (1, 3)}

@@ -49,3 +49,21 @@ def test_tables(spark):
     sf = "/root/testdata/sf0.001"
     assert corpus_pipeline.run(spark, sf).count() > 100
     assert {f"op{k}" for k in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+
+
+def test_clashing_names_nulls_and_repeats(spark, tmp_path):
+    """Every stage with columns named like its own, null and repeated ids and texts, and an empty table."""
+    rng = random.Random(2)
+    form = "doc_id long, text string, lang string, source string, n_chars long, gone int, kept int, lang_pred int, lang_score int, _gone int, _kept int, rep int, component_id int"
+    texts = [text(rng, EN if k % 2 else DE, 40) + "\nthe same short line" for k in range(12)] + [None, "", "one two three four five six", "long words " * 30_000]
+    rows = [(k if k != 5 else None, t, "en" if k % 2 else "de", None, 0, *range(8)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1], rows[1]], form)
+    spark.createDataFrame([(0, "nothing of this is there at all"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = docs.where("1 = 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        if name != "encode":
+            assert out.columns == docs.columns, name
+            docs = out.persist()
+        assert out.count() >= 10, name
