@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldline.functions.quantize import distance2, normalised
@@ -44,21 +44,25 @@ def kmeans(rows: DataFrame, k: int, seed: int, cosine: bool = False) -> DataFram
 
 
 class MovingAverage:
-    """A codebook kept by exponential moving averages of batches, on the unit sphere."""
+    """A codebook kept by exponential moving averages of batches, on the unit sphere unless normalize is false."""
 
-    def __init__(self, codes: np.ndarray, decay: float = 0.99, warm_up: int = 500, dead: float = 1.0, eps: float = 1e-5, seed: int = 0):
-        self.codes = codes / np.maximum(np.linalg.norm(codes, axis=1, keepdims=True), 1e-12)
+    def __init__(self, codes: np.ndarray, decay: float = 0.99, warm_up: int = 500, dead: float = 1.0, eps: float = 1e-5, seed: int = 0, normalize: bool = True):
+        self.normalize = normalize
+        self.codes = self._scaled(codes)
         self.counts, self.sums = np.ones(len(codes)), self.codes.copy()
         self.decay, self.warm_up, self.dead, self.eps, self.step = decay, warm_up, dead, eps, 0
         self.rng = np.random.default_rng(seed)
 
+    def _scaled(self, z: np.ndarray) -> np.ndarray:
+        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12) if self.normalize else z
+
     def nearest(self, z: np.ndarray) -> np.ndarray:
-        unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        unit = self._scaled(z)
         return ((self.codes**2).sum(1) - 2 * unit @ self.codes.T).argmin(1)
 
     def update(self, z: np.ndarray) -> np.ndarray:
         """The batch's states; the codes then move, and dead codes restart at rows of the batch."""
-        unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        unit = self._scaled(z)
         states, k = self.nearest(z), len(self.codes)
         sums = np.zeros_like(self.sums)
         np.add.at(sums, states, unit)
@@ -66,16 +70,9 @@ class MovingAverage:
         self.sums = self.decay * self.sums + (1 - self.decay) * sums
         total = self.counts.sum()
         smooth = (self.counts + self.eps) / (total + k * self.eps) * total
-        codes = self.sums / smooth[:, None]
-        self.codes = codes / np.maximum(np.linalg.norm(codes, axis=1, keepdims=True), 1e-12)
+        self.codes = self._scaled(self.sums / smooth[:, None])
         self.step += 1
         if self.step > self.warm_up and (gone := np.flatnonzero(self.counts < self.dead)).size:
             self.codes[gone] = unit[self.rng.integers(0, len(unit), gone.size)]
             self.sums[gone], self.counts[gone] = self.codes[gone], 1.0
         return states
-
-
-def second_nearest(rows: DataFrame, codebook: DataFrame) -> DataFrame:
-    """id, d of the two nearest codes of each row by a window, for codebooks too large for one array."""
-    d = rows.crossJoin(codebook).withColumn("d", F.sqrt(distance2(F.col("z"), F.col("vec"))))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("d", "state"))).where("place <= 2").select("id", "place", "state", "d")

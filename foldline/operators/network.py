@@ -100,7 +100,7 @@ class Model:
         self.config, self.encoder, self.decoder, self.codes, self.mean, self.std = config, encoder, decoder, codes, mean, std
 
     @classmethod
-    def fresh(cls, seed: int = 0, quantizer: str = "fsq", levels: list[int] | None = None, n_states: int = 20, z_dim: int = 2, provenance: dict | None = None) -> Model:
+    def fresh(cls, seed: int = 0, quantizer: str = "fsq", levels: list[int] | None = None, n_states: int = 20, z_dim: int = 2, provenance: dict | None = None, hidden: int = HIDDEN, features: int = FEATURES, normalize: bool = True) -> Model:
         if quantizer not in QUANTIZERS:
             raise ValueError(f"quantizer must be one of {', '.join(QUANTIZERS)}")
         levels = list(levels or [5, 4]) if quantizer == "fsq" else None
@@ -109,16 +109,16 @@ class Model:
         if n_states > len(LETTERS):
             raise ValueError(f"at most {len(LETTERS)} states have a letter")
         rng = np.random.default_rng(seed)
-        encoder, decoder = Mlp(FEATURES, HIDDEN, z_dim, 3, rng), Mlp(z_dim, HIDDEN, FEATURES, 2, rng)
+        encoder, decoder = Mlp(features, hidden, z_dim, 3, rng), Mlp(z_dim, hidden, features, 2, rng)
         codes = None if levels else rng.standard_normal((n_states, z_dim))
-        config = {"quantizer": quantizer, "levels": levels, "n_states": n_states, "z_dim": z_dim, "letters": LETTERS[:n_states]} | (provenance or {})
-        return cls(config, encoder, decoder, codes, np.zeros(FEATURES), np.ones(FEATURES))
+        config = {"quantizer": quantizer, "levels": levels, "n_states": n_states, "z_dim": z_dim, "letters": LETTERS[:n_states], "hidden_dim": hidden, "input_dim": features, "l2_normalize": normalize} | (provenance or {})
+        return cls(config, encoder, decoder, codes, np.zeros(features), np.ones(features))
 
     def quantize(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States and quantized latents."""
         if self.codes is not None:
-            unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-            codes = self.codes / np.maximum(np.linalg.norm(self.codes, axis=1, keepdims=True), 1e-12)
+            scaled = (lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) if self.config.get("l2_normalize", True) else (lambda v: v)
+            unit, codes = scaled(z), scaled(self.codes)
             states = ((codes**2).sum(1) - 2 * unit @ codes.T).argmin(1)
             return states, codes[states]
         t, levels = np.tanh(z), self.config["levels"]
@@ -162,7 +162,7 @@ class Model:
             raise ValueError(f"not a model directory: {e}") from e
         if config.get("quantizer") not in QUANTIZERS:
             raise ValueError("config.json: unknown quantizer")
-        model = cls.fresh(0, config["quantizer"], config.get("levels"), config.get("n_states", 20), config.get("z_dim", 2))
+        model = cls.fresh(0, config["quantizer"], config.get("levels"), config.get("n_states", 20), config.get("z_dim", 2), hidden=config.get("hidden_dim", HIDDEN), features=config.get("input_dim", FEATURES), normalize=config.get("l2_normalize", True))
         model.config = config
         if len(config.get("letters", "")) != config["n_states"] or len(set(config["letters"])) != config["n_states"]:
             raise ValueError("config.json: letters must be as many as states, and different")
@@ -173,7 +173,8 @@ class Model:
                     raise ValueError(f"weights.npz: {part}_{k} is missing, of another shape or not finite")
                 net.weights[k] = found
         model.mean, model.std = (np.array(scaler.get(k, []), float) for k in ("mean", "std"))
-        if model.mean.shape != (FEATURES,) or model.std.shape != (FEATURES,) or not np.isfinite(model.mean).all() or not (np.isfinite(model.std) & (model.std > 0)).all():
+        width = (config.get("input_dim", FEATURES),)
+        if model.mean.shape != width or model.std.shape != width or not np.isfinite(model.mean).all() or not (np.isfinite(model.std) & (model.std > 0)).all():
             raise ValueError("scaler.json: mean and std must be finite, and std positive")
         if model.codes is None:
             with open(f"{folder}/fsq_levels.json") as f:
@@ -230,7 +231,7 @@ def batches_by_alignment(alignments: np.ndarray, size: int, least: int, seed: in
             yield batch
 
 
-def train(model: Model, train_xy: tuple[np.ndarray, np.ndarray], val_xy: tuple[np.ndarray, np.ndarray], *, epochs: int = 50, batch: int = 512, lr: float = 1e-3, decay: float = 0.01, loss: str = "smooth_l1", scheduler: str = "none", patience: int = 5, commitment: float = 0.25, gradient: str = "ste", seed: int = 0) -> list[dict]:
+def train(model: Model, train_xy: tuple[np.ndarray, np.ndarray], val_xy: tuple[np.ndarray, np.ndarray], *, epochs: int = 50, batch: int = 512, lr: float = 1e-3, decay: float = 0.01, loss: str = "smooth_l1", scheduler: str = "none", patience: int = 5, commitment: float = 0.25, gradient: str = "ste", seed: int = 0, clip_norm: float = 1.0, ema_decay: float = 0.99, min_count: float = 1.0, warm_up: int = 500) -> list[dict]:
     """AdamW with clipped gradients; stops when the validation loss has not improved, and restores the best weights. Returns the log."""
     if loss not in LOSSES or scheduler not in SCHEDULERS or gradient not in ("ste", "rotation"):
         raise ValueError(f"loss: {', '.join(LOSSES)}; scheduler: {', '.join(SCHEDULERS)}; gradient: ste, rotation")
@@ -239,7 +240,7 @@ def train(model: Model, train_xy: tuple[np.ndarray, np.ndarray], val_xy: tuple[n
         raise ValueError(f"{len(x)} rows do not fill a batch of {batch}")
     nets = (model.encoder, model.decoder)
     moments = [[(np.zeros_like(w), np.zeros_like(w)) for w in net.weights] for net in nets]
-    ema = MovingAverage(model.codes, seed=seed) if model.codes is not None else None
+    ema = MovingAverage(model.codes, decay=ema_decay, warm_up=warm_up, dead=min_count, seed=seed, normalize=model.config.get("l2_normalize", True)) if model.codes is not None else None
     log, best, best_weights, waited, step = [], np.inf, None, 0, 0
     for epoch in range(epochs):
         rate = lr * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) if scheduler == "cosine" else 1.0)
@@ -263,7 +264,7 @@ def train(model: Model, train_xy: tuple[np.ndarray, np.ndarray], val_xy: tuple[n
                 model.codes = ema.codes
             grads = [g_enc, g_dec]
             size = np.sqrt(sum(float((g * g).sum()) for part in grads for g in part))
-            clip, step = min(1.0, 1.0 / (size + 1e-6)), step + 1
+            clip, step = min(1.0, clip_norm / (size + 1e-6)), step + 1
             for net, part, moment in zip(nets, grads, moments):
                 for k, g in enumerate(part):
                     m, v = moment[k]
@@ -303,13 +304,13 @@ def evaluate(model: Model, x: np.ndarray, y: np.ndarray, batch: int, loss: str)
 
 def encode_states(rows: DataFrame, model: Model) -> DataFrame:
     """rows (feat: array<float> of ten) with state, null where feat is null or not whole."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared, width = rows.sparkSession.sparkContext.broadcast(model), len(model.mean)
     at = rows.columns.index("feat")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             feats = batch.column(at).to_pylist()
-            good = [k for k, f in enumerate(feats) if f is not None and len(f) == FEATURES and None not in f]
+            good = [k for k, f in enumerate(feats) if f is not None and len(f) == width and None not in f]
             states: list[int | None] = [None] * len(feats)
             if good:
                 for k, s in zip(good, shared.value.encode(np.array([feats[k] for k in good], np.float64)).tolist()):

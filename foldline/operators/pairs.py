@@ -119,16 +119,22 @@ def raw_distance(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("ca_dist_raw", distance(vector("x_ca"), vector("y_ca")))
 
 
-def pair_metadata(pairs: DataFrame, lookup: DataFrame) -> DataFrame:
-    """The pair table with each side's split group, fold and superfamily; unknown ids have nulls.
-
-    pairs: alignment_id, sid1, sid2, i, j, ca_dist_raw, ca_dist; lookup: sid, class (small: it is broadcast only if Spark's own threshold allows).
-    """
+def with_levels(rows: DataFrame, lookup: DataFrame) -> DataFrame:
+    """rows (sid1, sid2, and more) with each side's fold and superfamily; unknown ids have nulls. lookup: sid, class."""
     levels = lookup.select("sid", hierarchy.fold("class").alias("fold"), hierarchy.superfamily("class").alias("superfamily"))
     side = lambda sid, name: levels.select(F.col("sid").alias(sid), F.col("fold").alias(f"fold_{name}"), F.col("superfamily").alias(f"superfamily_{name}"))
-    rows = pairs.join(side("sid1", "source"), "sid1", "left").join(side("sid2", "target"), "sid2", "left")
-    return rows.select(
+    return rows.join(side("sid1", "source"), "sid1", "left").join(side("sid2", "target"), "sid2", "left")
+
+
+def metadata(pairs: DataFrame) -> DataFrame:
+    """The pair table, of pairs (alignment_id, sid1, sid2, i, j, ca_dist_raw, ca_dist) with_levels()."""
+    return pairs.select(
         "alignment_id", F.col("sid1").alias("sid_source"), F.col("sid2").alias("sid_target"), F.col("i").alias("idx_source"), F.col("j").alias("idx_target"),
         hierarchy.group_id("sid1").alias("split_group_source"), hierarchy.group_id("sid2").alias("split_group_target"),
         "fold_source", "fold_target", "superfamily_source", "superfamily_target", "ca_dist_raw", F.col("ca_dist").cast("double").alias("ca_dist_superposed"),
     )
+
+
+def pair_metadata(pairs: DataFrame, lookup: DataFrame) -> DataFrame:
+    """metadata() of pairs whose levels are not yet there."""
+    return metadata(with_levels(pairs, lookup))

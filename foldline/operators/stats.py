@@ -78,3 +78,9 @@ def reconciles(counts: DataFrame) -> DataFrame:
     """One row, ok: counts never grow from stage to stage, and each pair kept gives two examples."""
     falling = [F.col(a) >= F.col(b) for a, b in zip(STAGES, STAGES[1:])]
     return counts.select((falling[0] & falling[1] & falling[2] & (2 * F.col("after_cap") == F.col("examples"))).alias("ok"))
+
+
+def nonfinite(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: for each column, how many values are null, NaN or infinite."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    return rows.agg(*(F.count_if(bad(c)).alias(c) for c in columns))

@@ -9,20 +9,23 @@ from foldline.functions import cigar
 
 
 def aligned_letters(alignments: DataFrame, sequences: DataFrame) -> DataFrame:
-    """k, i, j, a, b, a_prev, b_prev and lag flags per pair, of alignments whose sequences are both there.
+    """k, i, j, a, b and a_prev, b_prev (the letter before, where the pair before is that letter's) per pair, of alignments whose sequences are both there.
 
-    alignments: alignment_id, sid1, sid2, cigar; sequences: sid, seq.
+    alignments: alignment_id, sid1, sid2, cigar; sequences: sid, seq. A pair's predecessor is in its own run of pairs or ends the
+    run before, so that no pair is shuffled.
     """
     s1 = sequences.select(F.col("sid").alias("sid1"), F.col("seq").alias("seq1"))
     s2 = sequences.select(F.col("sid").alias("sid2"), F.col("seq").alias("seq2"))
-    rows = alignments.join(s1, "sid1").join(s2, "sid2").where("seq1 <> '' and seq2 <> ''")
-    runs = rows.select("alignment_id", "seq1", "seq2", F.explode_outer(cigar.runs("cigar")).alias("r")).where("r is not null")
-    pairs = runs.select("alignment_id", "seq1", "seq2", "r.k", "r.i", "r.j", F.posexplode_outer(F.sequence(F.lit(0).cast("long"), F.col("r.n") - 1)).alias("t", "u"))
-    at = pairs.select("alignment_id", "seq1", "seq2", (F.col("k") + F.col("u")).alias("k"), (F.col("i") + F.col("u")).alias("i"), (F.col("j") + F.col("u")).alias("j"))
-    # The pair before is this one's predecessor in its run, or the end of the run before: a window keeps it exact.
-    order = Window.partitionBy("alignment_id").orderBy("k")
+    rows = alignments.select("alignment_id", "sid1", "sid2", cigar.runs("cigar").alias("runs")).where("size(runs) > 0").join(s1, "sid1").join(s2, "sid2").where("seq1 <> '' and seq2 <> ''")
+    runs = rows.select("alignment_id", "seq1", "seq2", "runs", F.posexplode("runs").alias("at", "r"))
+    before = F.when(F.col("at") > 0, F.get("runs", F.col("at") - 1))
+    runs = runs.select("alignment_id", "seq1", "seq2", "r.k", "r.i", "r.j", "r.n", *((before[c] + before["n"] - 1).alias(f"{c}_before") for c in "ij"))
+    pairs = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("t"))
+    at = lambda c: F.col(c) + F.col("t")
+    previous = lambda c: F.when(F.col("t") > 0, at(c) - 1).otherwise(F.col(f"{c}_before"))
+    pairs = pairs.select("alignment_id", "seq1", "seq2", at("k").alias("k"), at("i").alias("i"), at("j").alias("j"), previous("i").alias("i_prev"), previous("j").alias("j_prev"))
     letter = lambda s, k: F.when((F.col(k) >= 0) & (F.col(k) < F.char_length(s)), F.substring(s, (F.col(k) + 1).cast("int"), F.lit(1)))
-    return at.withColumns({"i_prev": F.lag("i").over(order), "j_prev": F.lag("j").over(order)}).select(
+    return pairs.select(
         "alignment_id", "k", "i", "j", "i_prev", "j_prev", letter("seq1", "i").alias("a"), letter("seq2", "j").alias("b"),
         F.when(F.col("i_prev") == F.col("i") - 1, F.expr("substring(seq1, cast(i as int), 1)")).alias("a_prev"),
         F.when(F.col("j_prev") == F.col("j") - 1, F.expr("substring(seq2, cast(j as int), 1)")).alias("b_prev"),
@@ -48,28 +51,40 @@ def lagged_counts(pairs: DataFrame, letters: str) -> DataFrame:
     return first.union(second).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def with_probabilities(counts: DataFrame) -> DataFrame:
-    """counts (a, b, n) with p, pa and pb."""
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    rows = counts.groupBy("a", "b").agg(F.sum("n").alias("n"))  # alphabet squared: small whatever the corpus
+def counts_by_kind(pairs: DataFrame, letters: str) -> DataFrame:
+    """kind (aligned, lagged), a, b, n: joint_counts and lagged_counts in one pass over the pairs."""
+    kept = pairs.where(_in(letters, "a") & _in(letters, "b"))
+    made = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
+    each = kept.select(F.explode(F.array(made("aligned", "a", "b"), made("aligned", "b", "a"), made("lagged", "a", "b_prev"), made("lagged", "b", "a_prev"))).alias("p")).select("p.*")
+    return each.where(_in(letters, "b")).groupBy("kind", "a", "b").agg(F.count("*").alias("n"))
+
+
+def with_probabilities(counts: DataFrame, *by: str) -> DataFrame:
+    """counts (a, b, n, and columns that tell tables apart) with p, pa and pb."""
+    total = F.sum("n").over(Window.partitionBy(*by or [F.lit(0)]))
+    rows = counts.groupBy(*by, "a", "b").agg(F.sum("n").alias("n"))  # alphabet squared: small whatever the corpus
     share = F.col("n").cast("double") / total
-    return rows.withColumn("p", share).withColumns({"pa": F.sum("p").over(Window.partitionBy("a")), "pb": F.sum("p").over(Window.partitionBy("b"))})
+    return rows.withColumn("p", share).withColumns({"pa": F.sum("p").over(Window.partitionBy(*by, "a")), "pb": F.sum("p").over(Window.partitionBy(*by, "b"))})
+
+
+def _term() -> Column:
+    return F.col("p") * F.log2(F.col("p") / (F.col("pa") * F.col("pb")))
 
 
 def mutual_information(counts: DataFrame) -> DataFrame:
     """One row, mi in bits; 0 without counts."""
-    term = F.col("p") * F.log2(F.col("p") / (F.col("pa") * F.col("pb")))
-    return with_probabilities(counts).where("n > 0").agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("mi"))
+    return with_probabilities(counts).where("n > 0").agg(F.coalesce(F.sum(_term()), F.lit(0.0)).alias("mi"))
 
 
 #: Fixed value: the share of the lagged information that is not subtracted.
 LAG_SHARE = 0.057
 
 
-def adjusted_information(counts: DataFrame, lagged: DataFrame) -> DataFrame:
-    """mi, mi_prev and mi_adjusted."""
-    both = mutual_information(counts).crossJoin(mutual_information(lagged).withColumnRenamed("mi", "mi_prev"))
-    return both.select("mi", "mi_prev", (F.col("mi") - (1 - LAG_SHARE) * F.col("mi_prev")).alias("mi_adjusted"))
+def adjusted_information(counts: DataFrame) -> DataFrame:
+    """mi, mi_prev and mi_adjusted of counts_by_kind()'s rows."""
+    rows = with_probabilities(counts, "kind").where("n > 0")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, _term())), F.lit(0.0))
+    return rows.agg(of("aligned").alias("mi"), of("lagged").alias("mi_prev")).select("mi", "mi_prev", (F.col("mi") - (1 - LAG_SHARE) * F.col("mi_prev")).alias("mi_adjusted"))
 
 
 def scores(counts: DataFrame, letters: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.functions.quantize import INVALID
 from foldline.operators import network, submat
 from foldline.operators.network import Model
 from foldline.plans import dataset
@@ -58,12 +57,12 @@ def train(spark: SparkSession, settings: Settings) -> Model:
     folder, out = settings.data.processed_dir, settings.outputs.out_dir
     data = training_arrays(spark, folder)
     kind = {"vq": "ema_vq"}.get(settings.model.quantizer, settings.model.quantizer)
-    model = Model.fresh(settings.train.seed, kind, settings.model.levels, settings.model.n_states, settings.model.z_dim, dataset.provenance(folder))
+    model = Model.fresh(settings.train.seed, kind, settings.model.levels, settings.model.n_states, settings.model.z_dim, dataset.provenance(folder), settings.model.hidden_dim, settings.model.input_dim, settings.model.l2_normalize)
     model.mean, model.std = scaler(folder, data["train_x"])
     if model.codes is not None and settings.train.kmeans_init:
         model.codes = kmeans_codes(spark, model, data["train_x"], settings)
     t = settings.train
-    log = network.train(model, (data["train_x"], data["train_y"]), (data["val_x"], data["val_y"]), epochs=t.max_epochs, batch=t.batch_size, lr=t.lr, decay=t.weight_decay, loss=settings.model.loss, scheduler=t.scheduler, patience=t.patience, commitment=settings.model.commitment_cost, seed=t.seed)
+    log = network.train(model, (data["train_x"], data["train_y"]), (data["val_x"], data["val_y"]), epochs=t.max_epochs, batch=t.batch_size, lr=t.lr, decay=t.weight_decay, loss=settings.model.loss, scheduler=t.scheduler, patience=t.patience, commitment=settings.model.commitment_cost, seed=t.seed, clip_norm=t.clip_grad_norm, ema_decay=settings.model.decay, min_count=settings.model.min_count, warm_up=settings.model.replacement_warmup_steps)
     model.save(out)
     writers.json_file(settings.as_dict() | {"config_hash": settings.hash()}, f"{out}/run_config.resolved.json")
     with open(f"{out}/train_log.csv", "w", newline="") as f:
@@ -106,11 +105,12 @@ def evaluate(spark: SparkSession, model_dir: str, pdb_dir: str, pairfile: str, o
 def score(spark: SparkSession, alignments: DataFrame, sequences: DataFrame, letters: str, matrix_path: str | None = None) -> dict:
     """The figures of an alphabet from alignments (alignment_id, sid1, sid2, cigar) and sequences (sid, seq)."""
     pairs = submat.aligned_letters(alignments, sequences)
-    counts, lagged = submat.joint_counts(pairs, letters).cache(), submat.lagged_counts(pairs, letters)
+    by_kind = submat.counts_by_kind(pairs, letters).cache()
+    counts = by_kind.where("kind = 'aligned'").drop("kind")
     alphabet = spark.createDataFrame([(c,) for c in letters], "letter string")
     if matrix_path:
         writers.matrix(submat.scores(counts, alphabet), matrix_path)
-    mi = submat.adjusted_information(counts, lagged).first()
+    mi = submat.adjusted_information(by_kind).first()
     used = {r["letter"]: r["n"] for r in submat.usage(sequences, alphabet).collect()}
     facts = submat.diagnostics(spark.createDataFrame(list(used.items()), "letter string, n long")).first()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -124,7 +124,7 @@ def missing_sequences(alignments: DataFrame, sequences: DataFrame, most: int = 1
     """The first alignments whose sequences are not both there."""
     known = sequences.where("seq <> ''")
     lacks = lambda sid: alignments.join(known.select(F.col("sid").alias(sid)), sid, "left_anti").select(*alignments.columns)
-    return lacks("sid1").union(lacks("sid2")).distinct().orderBy("sid1", "sid2").limit(most)
+    return lacks("sid1").union(lacks("sid2")).distinct().orderBy("sid1", "sid2", *alignments.columns).limit(most)
 
 
 def grid(spark: SparkSession, settings: list[Settings], assess) -> DataFrame:
@@ -136,4 +136,4 @@ def grid(spark: SparkSession, settings: list[Settings], assess) -> DataFrame:
     return spark.createDataFrame(rows)
 
 
-__all__ = ["INVALID", "center_of", "encode", "evaluate", "grid", "missing_sequences", "score", "train", "training_arrays"]
+__all__ = ["center_of", "encode", "evaluate", "grid", "missing_sequences", "score", "train", "training_arrays"]

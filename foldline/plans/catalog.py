@@ -88,8 +88,8 @@ SELECT alignment_id, sid1 AS sid_source, sid2 AS sid_target, i AS idx_source, j
  x.fold AS fold_source, y.fold AS fold_target, x.sf AS superfamily_source, y.sf AS superfamily_target, CAST(i AS DOUBLE) AS ca_dist_raw, CAST(j AS DOUBLE) AS ca_dist_superposed
 FROM pairs LEFT JOIN lv x ON sid1 = x.sid LEFT JOIN lv y ON sid2 = y.sid""")
 def pair_metadata_join(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pairs.expand(inputs.alignments(spark, sf)).withColumns({"ca_dist_raw": F.col("i").cast("double"), "ca_dist": F.col("j").cast("double")})
-    return pairs.pair_metadata(rows, inputs.classes(spark, sf))
+    rows = pairs.expand(pairs.with_levels(inputs.alignments(spark, sf), inputs.classes(spark, sf)))
+    return pairs.metadata(rows.withColumns({"ca_dist_raw": F.col("i").cast("double"), "ca_dist": F.col("j").cast("double")}))
 
 
 @oracle(f"WITH {CLASSES} SELECT DISTINCT 'd' || l_orderkey AS sid FROM lineitem WHERE 'd' || l_orderkey NOT IN (SELECT sid FROM classes) ORDER BY sid LIMIT 20")
@@ -430,7 +430,7 @@ def mutual_information(spark: SparkSession, sf: str) -> DataFrame:
 
 @oracle(f"WITH {ALIGNED}, m AS (SELECT {_mi('both_n')} AS mi, {_mi('lagged')} AS mi_prev) SELECT round(mi, 9) + 0.0 AS mi, round(mi_prev, 9) + 0.0 AS mi_prev, round(mi - (1 - 0.057) * mi_prev, 9) + 0.0 AS mi_adjusted FROM m")
 def adjusted_mi(spark: SparkSession, sf: str) -> DataFrame:
-    found = submat.adjusted_information(aligned_counts(spark, sf), lagged_counts(spark, sf))
+    found = submat.adjusted_information(submat.counts_by_kind(_letters(spark, sf), "".join(STATES)))
     return found.select(*((F.round(c, 9) + 0.0).alias(c) for c in found.columns))
 
 
@@ -535,9 +535,4 @@ def kmeans_codebook(spark: SparkSession, sf: str) -> DataFrame:
     return kmeans(_latent(spark, sf, None), 20, seed=1)
 
 
-@oracle()
-def encode_model(spark: SparkSession, sf: str) -> DataFrame:
-    from foldline.operators.network import Model, encode_states
-
-    rows = _descriptors(spark, sf).select("chain", "idx", F.array(*(F.col(f"f{k}").cast("float") for k in range(10))).alias("feat"))
-    return encode_states(rows, Model.fresh(seed=3, levels=LEVELS)).select("chain", "idx", "state", quantize.letter(F.col("state")).alias("letter"))
+from foldline.plans import files  # noqa: E402,F401  # registers its queries

@@ -38,16 +38,21 @@ def aligned(alignments: DataFrame, described: DataFrame) -> DataFrame:
     return pairs.with_residues(pairs.expand(alignments), rows)
 
 
+def with_errors(alignments: DataFrame, known: DataFrame) -> DataFrame:
+    """alignments with error_type and error: a structure that is not known (sid), or an operation that is not; null if all is well."""
+    files = known.select("sid").distinct()
+    rows = alignments.join(files.select(F.col("sid").alias("sid1"), F.lit(True).alias("has1")), "sid1", "left").join(files.select(F.col("sid").alias("sid2"), F.lit(True).alias("has2")), "sid2", "left")
+    error = F.when(F.col("has1").isNull(), F.concat(F.lit("no structure file for "), "sid1")).when(F.col("has2").isNull(), F.concat(F.lit("no structure file for "), "sid2"))
+    bad = F.when(~F.col("cigar").rlike(r"^[^A-Za-z]*([0-9]*[IDMP][^A-Za-z]*)*$"), F.lit("operation not supported"))
+    return rows.withColumns({"error": F.coalesce(error, bad), "error_type": F.when(error.isNotNull(), "FileNotFoundError").when(bad.isNotNull(), "ValueError")}).drop("has1", "has2")
+
+
 def examples(alignments: DataFrame, described: DataFrame, known: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Mirrored pairs, and a row for each alignment with its counts by stage, status and error.
 
     known: sid of structures that could be read. An alignment that lacks one is an error, not a failure.
     """
-    files = known.select("sid").distinct()
-    rows = alignments.join(files.select(F.col("sid").alias("sid1"), F.lit(True).alias("has1")), "sid1", "left").join(files.select(F.col("sid").alias("sid2"), F.lit(True).alias("has2")), "sid2", "left")
-    error = F.when(F.col("has1").isNull(), F.concat(F.lit("no structure file for "), "sid1")).when(F.col("has2").isNull(), F.concat(F.lit("no structure file for "), "sid2"))
-    bad = F.when(~F.col("cigar").rlike(r"^[^A-Za-z]*([0-9]*[IDMP][^A-Za-z]*)*$"), F.lit("operation not supported"))
-    rows = rows.withColumns({"error": F.coalesce(error, bad), "error_type": F.when(error.isNotNull(), "FileNotFoundError").when(bad.isNotNull(), "ValueError")}).drop("has1", "has2")
+    rows = with_errors(alignments, known)
     met = pairs.superposed(aligned(rows.where("error is null").drop("error", "error_type"), described)).persist()
     near = pairs.within(met, settings.features.max_ca_dist)
     kept = pairs.capped(near, settings.sampling.max_pairs_per_alignment, settings.sampling.seed)

@@ -22,10 +22,16 @@ def line_tokens(value: str | Column) -> Column:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_row, value: every line of a file with its place from 0, empty ones too."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", "\n", -1)).alias("source_row", "value"), F.size(F.split("value", "\n", -1)).alias("n"))
-    return rows.where("not (value = '' and source_row = n - 1)").select(F.col("source_row").cast("long"), F.regexp_replace("value", "\r$", "").alias("value"))
+    """source_row, value: every line of a file with its place from 0, empty ones too; of several files, each from 0.
+
+    A file is read in its splits. Rows of one split stand one after the other, so a line's place is its split's first place, from a
+    row per split, and its distance from the split's first row.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    splits = rows.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("base"))
+    return rows.join(splits, ["file", "block"]).select((F.col("base") + F.col("row") - F.col("first")).alias("source_row"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def pairfile(spark: SparkSession, path: str) -> DataFrame:
@@ -81,11 +87,21 @@ def structure_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("sid", "path", "content", "length", "name").withColumn("_p", place).where("_p = 1").drop("_p", "name")
 
 
+def looks_like_domain(path: str | Column) -> Column:
+    """The file's name begins with d or ends with .pdb or .ent, and not with a dot."""
+    name = F.regexp_extract(F.col(path) if isinstance(path, str) else path, r"([^/]+)$", 1)
+    return name.rlike(r"^d|\.(pdb|ent)$") & ~name.startswith(".")
+
+
+def concatenated(spark: SparkSession, path: str, header: str) -> DataFrame:
+    """value: the lines of all files at path but those that match the header."""
+    return spark.read.text(path).where(~F.col("value").rlike(header))
+
+
 def discovered(spark: SparkSession, folder: str) -> DataFrame:
     """sid, path, size_bytes, sha256 of files below folder that look like domains; an id twice, or none at all, is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    rows = files.where(name.rlike(r"^d|\.(pdb|ent)$") & ~name.startswith(".")).select(sid_of_path("path").alias("sid"), "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = files.where(looks_like_domain("path")).select(sid_of_path("path").alias("sid"), "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
     twice = rows.groupBy("sid").count().where("count > 1").orderBy("sid").limit(10).collect()
     if twice:
         raise ValueError(f"more than one file for {', '.join(r['sid'] for r in twice)}")
