@@ -39,7 +39,7 @@ _STEP, _MIX, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E
 #: N-grams of one block of a candidate group, which bounds a task's memory.
 BLOCK = 1_500_000
 #: Sets of a batch that make an n-gram common, and the places that a common n-gram's sets are dealt to.
-COMMON, SHARES = 64, 64
+COMMON, SHARES = 16, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
