@@ -15,11 +15,12 @@ from foldline.llm.decontaminate import without_items
 from foldline.llm.language_id import with_language
 from foldline.llm.line_dedup import keep_first_lines
 from foldline.llm.ngram_join import similarity_classes
-from foldline.llm.shared import MADE, cut, drop, table, work_dir
+from foldline.llm.shared import MADE, bound_batches, cut, drop, table, work_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, null and empty ones with them; lang becomes the predicted language. A null doc_id stays."""
+    bound_batches(spark)
     return with_language(docs)
 
 
@@ -42,6 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids and decoded text of every document that is left, as hashes; of a null text, those of the empty one. A null doc_id stays null."""
+    bound_batches(spark)
     return encode_decode(docs, tokenizer_path())
 
 
