@@ -37,7 +37,7 @@ from foldline.llm.shared import components, cut
 #: Odd constants of the hash of words and n-grams.
 _STEP, _MIX, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: N-grams of one block of a candidate group, which bounds a task's memory.
-BLOCK = 1_500_000
+BLOCK = 500_000
 #: Sets of a batch that make an n-gram common, and the places that a common n-gram's sets are dealt to.
 COMMON, SHARES = 16, 64
 

@@ -1,4 +1,9 @@
+import hashlib
 import random
+import re
+
+import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from foldline.llm.catalog import QUERIES
@@ -67,3 +72,79 @@ def test_clashing_names_nulls_and_repeats(spark, tmp_path):
             assert out.columns == docs.columns, name
             docs = out.persist()
         assert out.count() >= 10, name
+
+
+def near(a: str, b: str, k: int) -> bool:
+    """The edit distance of a and b is at most k."""
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    a, b = a[n:], b[n:]
+    if not a or not b or not k:
+        return len(a) + len(b) <= k
+    return near(a[1:], b[1:], k - 1) or near(a[1:], b, k - 1) or near(a, b[1:], k - 1)
+
+
+def classes(items: list, linked) -> list[set]:
+    root = list(range(len(items)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, j in linked:
+        root[find(i)] = find(j)
+    out = {}
+    for k in range(len(items)):
+        out.setdefault(find(k), set()).add(k)
+    return list(out.values())
+
+
+def test_all_stages_against_brute_force(spark, tmp_path):
+    """run() over whole tables and some near copies: sets, loops over all pairs, and the library's encoding."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    sf, own = str(tmp_path), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = sorted((r for r in own.collect() if r.text and 200 < len(r.text.split()) < 2000), key=lambda r: r.doc_id)[:8]
+    copies = [(10_000 + r.doc_id, re.sub(r"((?:\S+\s+){30})(\S+)", lambda m: m.group(1) + "zzzzz" + m.group(2), r.text), r.lang, r.source, r.n_chars) for r in long]
+    own.union(spark.createDataFrame(copies, own.schema)).write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    # Language: documents without a letter go.
+    docs = {d: t for d, t in docs.items() if t and any(c.isalpha() for c in t)}
+    # Lines: of a class the first stays; short lines are alike only if equal.
+    places = {}
+    for d in sorted(docs):
+        for n, line in enumerate(docs[d].split("\n")):
+            if line:
+                places.setdefault(line, []).append((d, n))
+    lines = sorted(places, key=len)
+    by_length = {}
+    for k, line in enumerate(lines):
+        if len(line) >= 30:
+            by_length.setdefault(len(line), []).append(k)
+    links = [(i, j) for n, at in by_length.items() for m in (n, n + 1, n + 2) for i in at for j in by_length.get(m, []) if i < j and near(lines[i], lines[j], 2)]
+    gone = {p for group in classes(lines, links) for p in sorted(p for k in group for p in places[lines[k]])[1:]}
+    left = {d: [x for n, x in enumerate(t.split("\n")) if (d, n) not in gone] for d, t in docs.items()}
+    docs = {d: "\n".join(x) for d, x in left.items() if x}
+    # Near duplicates: the smallest id of each group stays.
+    sets = {}
+    for d, t in docs.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    ids = sorted(docs)
+    alike = [(i, j) for i in range(len(ids)) for j in range(i) if sets[ids[i]] and 100 * len(sets[ids[i]] & sets[ids[j]]) >= 80 * len(sets[ids[i]] | sets[ids[j]])]
+    docs = {ids[min(group)]: docs[ids[min(group)]] for group in classes(ids, alike)}
+    # Decontamination: documents that hold four fifths of an item's runs of five words go.
+    runs = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})([x for x in re.split(r"[\W_]+", t.lower()) if x])
+    held = [runs(t) for t in items if t and runs(t)]
+    docs = {d: t for d, t in docs.items() if not any(100 * len(runs(t) & x) >= 80 * len(x) for x in held)}
+    want = set()
+    for d, t in docs.items():
+        ids_of = library.encode(t, add_special_tokens=False).ids
+        decoded = library.decode(ids_of, skip_special_tokens=False)
+        want.add((d, len(ids_of), hashlib.sha256(",".join(map(str, ids_of)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    got = {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want and len(want) > 100 and len(gone) > 20 and alike
