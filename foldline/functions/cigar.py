@@ -5,6 +5,8 @@ D advances the reference, I the query, M both, P both and pairs the two residues
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +71,12 @@ def problem(cigar: str | Column, n_ref: Column, n_query: Column) -> Column:
         return F.struct(i.alias("i"), j.alias("j"), bad.alias("bad"))
 
     return F.when(s.isNull() | ~s.rlike(STRICT), "malformed").otherwise(F.aggregate(tokens(s), start, step, lambda a: a.bad))
+
+
+def token_list(cigar: str) -> list[tuple[int, str]]:
+    """tokens() of one string in Python; letters other than I, D, M and P raise ValueError."""
+    found = [(int(n or 1), op) for n, op in re.findall(TOKEN, cigar)]
+    for _, op in found:
+        if op not in "IDMP":
+            raise ValueError(f"operation not supported: {op}")
+    return found

@@ -320,6 +320,24 @@ def encode_states(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("state", T.IntegerType())]))
 
 
+def discretize(model: Model | Mlp, features: np.ndarray, centroids: np.ndarray | None = None) -> np.ndarray:
+    """States of features: a model's own, or the nearest of the given centroids to a bare encoder's latents."""
+    if isinstance(model, Model):
+        return model.encode(features)
+    if centroids is None:
+        raise ValueError("an encoder without a quantizer needs centroids")
+    z = model.forward(features)
+    return ((centroids**2).sum(1) - 2 * z @ centroids.T).argmin(1)
+
+
+def jittered(rows: DataFrame, columns: list[str], std: float, seed: int) -> DataFrame:
+    """rows with Gaussian noise on the coordinates (arrays of three) of valid ones; unchanged for std <= 0."""
+    if std <= 0:
+        return rows
+    noisy = lambda c, n: F.when(F.col("valid"), F.array(*(F.get(c, F.lit(k)) + F.randn(seed + 3 * n + k) * std for k in range(3)))).otherwise(F.col(c))
+    return rows.withColumns({c: noisy(c, n).cast(rows.schema[c].dataType) for n, c in enumerate(columns)})
+
+
 def sequences(rows: DataFrame) -> DataFrame:
     """sid, seq: a letter for each residue in order, X where there is no state."""
     from foldline.functions.quantize import letter

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import os
+import sys
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,8 @@ def evaluate(spark: SparkSession, model_dir: str, pdb_dir: str, pairfile: str, o
     if n and (n - made) / n > max_failure_rate:
         raise RuntimeError(f"{n - made} of {n} structures could not be encoded, more than {max_failure_rate:.2%}")
     writers.sequences(encoded, f"{out}/sequences.txt")
+    for r in missing_sequences(rows, encoded).collect():
+        print(f"no sequence for {r['sid1']} or {r['sid2']}; the alignment is left out", file=sys.stderr)
     report = score(spark, rows, encoded, model.config["letters"], f"{out}/submat.txt")
     writers.json_file(report, f"{out}/evaluation_report.json")
     return report

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +117,8 @@ def build(spark: SparkSession, settings: Settings, force: bool = False) -> dict:
         rows = readers.pairfile(spark, p).select(F.lit(split).alias("split"), F.lit(p).alias("file"), hierarchy.alignment_id(stem, F.col("source_row"), F.col("sid1"), F.col("sid2")).alias("alignment_id"), "source_row", "sid1", "sid2", "cigar")
         both = rows if both is None else both.union(rows)
     wanted = both.select(F.col("sid1").alias("sid")).union(both.select("sid2")).distinct()
+    for r in readers.further_parts(files.join(wanted, "sid", "left_semi")).orderBy("sid").limit(10).collect():
+        warnings.warn(f"{r['sid']}: {r['n_models']} models, {r['n_chains']} chains; only the first of each is read", stacklevel=2)
     writers.table(readers.structure_qc(wanted, files).orderBy("sid"), f"{out}/structures")
     qc = spark.read.parquet(f"{out}/structures")
     if settings.preprocessing.validate_cigars:

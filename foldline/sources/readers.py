@@ -230,6 +230,14 @@ def structure_qc(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return found.withColumn("sha256", F.sha2("content", 256)).mapInPandas(run, QC)
 
 
+def further_parts(files: DataFrame) -> DataFrame:
+    """sid, n_models, n_chains of files with more than one model or chain, of which only the first is read."""
+    text = F.col("content").cast("string")
+    chain = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^(?:ATOM  |HETATM).{15}(.)"), F.lit(1)), lambda c: c))
+    found = files.select("sid", F.size(F.regexp_extract_all(text, F.lit(r"(?m)^(MODEL )"), F.lit(1))).alias("n_models"), F.size(chain).alias("n_chains"))
+    return found.where("n_models > 1 or n_chains > 1")
+
+
 def arrays(spark: SparkSession, path: str) -> DataFrame:
     """name, row, values of .npy and .npz files at path, first axis as rows."""
 
