@@ -37,7 +37,7 @@ from foldline.llm.shared import components, cut
 #: Odd constants of the hash of words and n-grams.
 _STEP, _MIX, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: N-grams of one block of a candidate group, which bounds a task's memory.
-BLOCK = 500_000
+BLOCK = 1_000_000
 #: Sets of a batch that make an n-gram common, and the places that a common n-gram's sets are dealt to.
 COMMON, SHARES = 16, 64
 
@@ -313,10 +313,12 @@ def similarity_classes(docs: DataFrame, folder: str, n: int = 5, percent: int =
         grams = grams.join(enough, "rep", "left_semi")
     groups = components(grams.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), f"{folder}/groups")
 
-    # Groups by classes of set size, which are dealt to blocks of bounded size; sets of classes further apart than one cannot link.
+    # A group is one block, or if it is large, classes of set size, each dealt to blocks of bounded size; sets of classes further apart than one cannot link.
     size_class = F.floor(F.log("size") / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("size").cast("int")
-    members = groups.withColumnRenamed("node", "rep").join(sets.select("rep", "size").dropDuplicates(["rep"]), "rep").withColumn("class", size_class)
+    members = groups.withColumnRenamed("node", "rep").join(sets.select("rep", "size").dropDuplicates(["rep"]), "rep")
     members = cut(members, f"{folder}/members")
+    large = members.groupBy("component").agg(F.sum("size").alias("grams")).where(F.col("grams") > BLOCK).select("component", F.lit(True).alias("large"))
+    members = members.join(large, "component", "left").withColumn("class", F.when(F.col("large"), size_class).otherwise(-1)).drop("large")
     blocks = members.groupBy("component", "class").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
     members = cut(members.join(blocks, ["component", "class"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("block", F.struct("class", "block")).drop("blocks", "class"), f"{folder}/dealt")
     spans = blocks.select("component", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("n")).select("component", F.struct("class", F.col("n").alias("block")).alias("block"))
