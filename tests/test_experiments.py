@@ -19,7 +19,7 @@ def test_cigar_pairs_in_sql(spark):
     assert [tuple(r) for r in rows] == [("1P1D2P", 0, 0, 0), ("1P1D2P", 1, 2, 1), ("1P1D2P", 2, 3, 2)]
 
 
-def test_runs_side_by_side(spark, inputs):  # noqa: F811
+def test_runs_side_by_side(spark, inputs, monkeypatch):  # noqa: F811
     folder, given = inputs
     own = StructuralAlphabet(spark)
     with warnings.catch_warnings(record=True) as heard:
@@ -28,21 +28,25 @@ def test_runs_side_by_side(spark, inputs):  # noqa: F811
         own.build_features(given)
     assert any("d1bbbb_: 2 models" in str(w.message) for w in heard)
     out = given["outputs"]["out_dir"]
-    base = settings.resolve(settings.TRAIN, {"model": {"n_states": 4, "z_dim": 2, "hidden_dim": 8, "l2_normalize": False}, "train": {"batch_size": 16, "max_epochs": 1, "clip_grad_norm": 0.5}, "data": {"processed_dir": out}, "outputs": {"out_dir": str(folder / "m")}})
+    base = settings.resolve(settings.TRAIN, {"model": {"n_states": 4, "z_dim": 2, "hidden_dim": 8, "l2_normalize": False}, "train": {"batch_size": 16, "max_epochs": 1, "clip_grad_norm": 0.5, "kmeans_init": False}, "data": {"processed_dir": out}, "outputs": {"out_dir": str(folder / "m")}})
     pairfile = given["dataset"]["val_pairfile"]
-    found = experiments.compare_quantizers(spark, base, given["dataset"]["pdb_dir"], pairfile, str(folder / "both"), levels=(2, 2))
-    assert set(found) == {"vq", "fsq"} and all(v["val_loss"] is not None for v in found.values())
+    found = experiments.compare_quantizers(spark, base, given["dataset"]["pdb_dir"], pairfile, str(folder / "both"), ("vq",))
+    assert set(found) == {"vq"} and all(v["val_loss"] is not None for v in found.values())
     model = Model.load(str(folder / "both/vq"))
     assert model.encoder.weights[0].shape == (10, 8) and not model.config["l2_normalize"]
     assert {r.sid for r in own.encode(given["dataset"]["pdb_dir"], model).collect()} == {"d1aaaa_", "d1bbbb_"}
-    grid = experiments.size_grid(spark, base, given["dataset"]["pdb_dir"], pairfile, str(folder / "grid"), range(2, 4)).collect()
-    assert [r.n_states for r in grid] == [2, 3]
-    best = experiments.best_of_seeds(spark, base, [5, 6], str(folder / "seeds"), lambda m: (m.config["n_states"], 0.1, 0.1))
-    assert best == 5
-    data = settings.resolve(settings.DATA, given)
-    (folder / "all.out").write_text("d1aaaa_ d1aaaa_ 24P\nd1bbbb_ d1bbbb_ 24P\nd1aaaa_ d1bbbb_ 24P\n")
-    folds = experiments.cross_validate(spark, data, base, str(folder / "all.out"), [["d1aaaa_"], ["d1bbbb_"]], str(folder / "cv")).collect()
-    assert [r.fold_id for r in folds] == [1, 2] and (folder / "cv/fold1/val_pairs.out").read_text() == "d1aaaa_ d1aaaa_ 24P\n"
+    # The loops over runs, without the runs.
+    made = []
+    monkeypatch.setattr(experiments, "run", lambda spark, run, *_: made.append(run) or {"mi": run.model.n_states / 10, "mi_tot": 0.5})
+    monkeypatch.setattr(experiments.dataset, "build", lambda spark, data: made.append(data))
+    monkeypatch.setattr(experiments.alphabet, "train", lambda spark, run: made.append(run) or run)
+    grid = experiments.size_grid(spark, base, "", pairfile, str(folder / "grid"), range(2, 4)).collect()
+    assert [tuple(r) for r in grid] == [(2, 0.2, 0.5), (3, 0.3, 0.5)] and made[1].outputs.out_dir.endswith("grid/k3")
+    assert experiments.best_of_seeds(spark, base, [5, 6], "", lambda run: (run.train.seed / 10, 0.1, 0.1)) == 6
+    (folder / "all.out").write_text("d1bbbb_ d1bbbb_ 24P\nd1aaaa_ d1aaaa_ 24P\nd1aaaa_ d1bbbb_ 24P\n")
+    folds = experiments.cross_validate(spark, settings.resolve(settings.DATA, given), base, str(folder / "all.out"), [["d1aaaa_"], ["d1bbbb_"]], str(folder / "cv")).collect()
+    assert [r.fold_id for r in folds] == [1, 2] and made[-1].data.processed_dir.endswith("cv/fold2/data")
+    assert [(folder / f"cv/fold{k}/{side}_pairs.out").read_text().split()[0] for k in (1, 2) for side in ("train", "val")] == ["d1bbbb_", "d1aaaa_", "d1aaaa_", "d1bbbb_"]
 
 
 def test_settings_reach_the_quantizer():
@@ -62,7 +66,7 @@ def test_bare_encoder_and_noise(spark):
     centroids = np.array([[0.0, 0], [1, 1], [-1, 2]])
     want = ((net.forward(x)[:, None] - centroids) ** 2).sum(2).argmin(1)
     assert network.discretize(net, x, centroids).tolist() == want.tolist()
-    rows = spark.createDataFrame([(k, k % 2 == 0, [0.0, 0, 0]) for k in range(400)], "k int, valid boolean, ca array<double>")
+    rows = spark.createDataFrame([(k, k % 2 == 0, [0.0, 0.0, 0.0]) for k in range(400)], "k int, valid boolean, ca array<double>")
     assert network.jittered(rows, ["ca"], 0, 1) is rows
     got = network.jittered(rows, ["ca"], 2.0, 1).agg(F.stddev(F.when(F.col("valid"), F.col("ca")[1])).alias("s"), F.max(F.when(~F.col("valid"), F.abs(F.col("ca")[1]))).alias("z")).first()
     assert 1.6 < got.s < 2.4 and got.z == 0
