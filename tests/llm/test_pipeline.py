@@ -105,9 +105,15 @@ def test_all_stages_against_brute_force(spark, tmp_path):
     """run() over whole tables and some near copies: sets, loops over all pairs, and the library's encoding."""
     public_tokenizers = pytest.importorskip("public_tokenizers")
     sf, own = str(tmp_path), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    long = sorted((r for r in own.collect() if r.text and 200 < len(r.text.split()) < 2000), key=lambda r: r.doc_id)[:8]
-    copies = [(10_000 + r.doc_id, re.sub(r"((?:\S+\s+){30})(\S+)", lambda m: m.group(1) + "zzzzz" + m.group(2), r.text), r.lang, r.source, r.n_chars) for r in long]
-    own.union(spark.createDataFrame(copies, own.schema)).write.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(6)
+    near_copies = []
+    for k in range(6):
+        lines = [[f"{rng.choice(EN)}{rng.randint(0, 9999)}" for _ in range(80)] for _ in range(3)]
+        for copy in range(2):
+            near_copies.append((10_000 + 2 * k + copy, "\n".join(" ".join(w) for w in lines), "en", "s", 0))
+            for w in lines:  # one word of each line, by more than the edits of a repeated line
+                w[rng.randrange(80)] = "anotherword"
+    own.union(spark.createDataFrame(near_copies, own.schema)).write.parquet(f"{sf}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -147,4 +153,5 @@ def test_all_stages_against_brute_force(spark, tmp_path):
         decoded = library.decode(ids_of, skip_special_tokens=False)
         want.add((d, len(ids_of), hashlib.sha256(",".join(map(str, ids_of)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     got = {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()}
-    assert got == want and len(want) > 100 and len(gone) > 20 and alike
+    assert len(want) > 100 and len(gone) > 20 and len(alike) >= 6
+    assert got == want
