@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.shared import components, cut, fresh_name
+from foldline.llm.shared import components, cut, drop, fresh_name
 
 EDITS = 2
 #: Lines of fewer characters are compared without edits: short lines are within few edits of each other by chance.
@@ -133,6 +133,8 @@ def line_classes(docs: DataFrame, folder: str, edits: int = EDITS, min_chars: in
     shared = held.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     shared = cut(shared, f"{folder}/keys")
     met = cut(held.join(few(shared), "key").select("key", "id", "indexed").distinct(), f"{folder}/met")
+    for read in ("segments", "keys"):
+        drop(docs.sparkSession, f"{folder}/{read}")
     # Candidates' texts, from one place of each.
     spots = places.join(few(met.select("id").distinct().withColumnRenamed("id", "of")), F.col("digest.id") == F.col("of")).groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     spots = few(cut(spots.select("digest", "at.doc_id", "at.line_no"), f"{folder}/spots"))

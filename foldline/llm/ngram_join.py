@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldline.llm.shared import components, cut
+from foldline.llm.shared import components, cut, drop
 
 #: Odd constants of the hash of words and n-grams.
 _STEP, _MIX, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -309,10 +309,14 @@ def similarity_classes(docs: DataFrame, folder: str, n: int = 5, percent: int =
         place = Window.partitionBy("gram", "share")
         grams = grams.withColumns({"sharing": F.count("*").over(place), "leader": F.min("rep").over(place)}).where("sharing > 1 or share > 0 or bridge").drop("sharing")
         grams = cut(grams, f"{folder}/shared-{k}")
+        if k == 2:
+            drop(docs.sparkSession, f"{folder}/shared-1")
         enough = grams.where("not bridge").groupBy("rep").agg(F.count("*").alias("found"), F.first("least").alias("least")).where("found >= least").select("rep")
         grams = grams.join(enough, "rep", "left_semi")
     groups = components(grams.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), f"{folder}/groups")
 
+    drop(docs.sparkSession, f"{folder}/shared-2")
+
     # A group is one block, or if it is large, classes of set size, each dealt to blocks of bounded size; sets of classes further apart than one cannot link.
     size_class = F.floor(F.log("size") / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("size").cast("int")
     members = groups.withColumnRenamed("node", "rep").join(sets.select("rep", "size").dropDuplicates(["rep"]), "rep")
