@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,17 +13,7 @@ from foldline.plans import alphabet, catalog, dataset, inputs
 from foldline.plans.catalog import DESCRIPTORS, EVENT_PAIRS, LEVELS, oracle
 from foldline.plans.inputs import ALIGNMENTS, CHAINS, CLASSES, SEQUENCES, table
 from foldline.sources import readers, writers
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that the driver and the executors share; on one machine, a temporary one if none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="foldline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/foldline-{name}-{uuid.uuid4().hex}"
+from foldline.sources.scratch import shared_folder
 
 
 def _s(c: str | Column) -> Column:
@@ -35,7 +22,7 @@ def _s(c: str | Column) -> Column:
 
 def _customer_lines(spark: SparkSession, sf: str, value: Column) -> str:
     """One file with a line for each customer in order of c_custkey; a file's lines are numbered, so it's one file."""
-    path = scratch(spark, "lines")
+    path = shared_folder(spark, "lines")
     table(spark, sf, "customer").orderBy("c_custkey").select(value.alias("value")).coalesce(1).write.text(path)
     return path
 
@@ -89,7 +76,7 @@ def id_list_read(spark: SparkSession, sf: str) -> DataFrame:
 @oracle(f"WITH {SEQUENCES} SELECT sid, seq FROM sequences")
 def sequences_read(spark: SparkSession, sf: str) -> DataFrame:
     """A file of sequences, written and read."""
-    path = scratch(spark, "sequences")
+    path = shared_folder(spark, "sequences")
     inputs.sequences(spark, sf).select(F.concat_ws(" ", "sid", "seq").alias("value")).write.text(path)
     return readers.sequences(spark, path)
 
@@ -101,7 +88,7 @@ SELECT x.c AS a, y.c AS b, coalesce(CAST(round_even(2 * log2(p / (pa * pb)), 0)
 @oracle(f"WITH {SCORES}")
 def matrix_read(spark: SparkSession, sf: str) -> DataFrame:
     """The substitution matrix with a row and column for the invalid letter, as text with cells of four characters, read back."""
-    path = scratch(spark, "matrix")
+    path = shared_folder(spark, "matrix")
     lines = submat.matrix_lines(writers.with_invalid_letter(catalog.substitution_matrix(spark, sf)))
     lines.orderBy("line_no").select("value").coalesce(1).write.text(path)
     return readers.matrix(spark, path)
@@ -110,7 +97,7 @@ def matrix_read(spark: SparkSession, sf: str) -> DataFrame:
 @oracle(f"WITH {SEQUENCES} SELECT count(*) AS n_records, 2 * count(*) AS n_lines, CAST(sum(length(seq)) AS BIGINT) AS n_letters FROM sequences")
 def fasta_read(spark: SparkSession, sf: str) -> DataFrame:
     """Sequence records dealt over files, none of them cut: the line after a record's name is its whole sequence."""
-    path = scratch(spark, "fasta")
+    path = shared_folder(spark, "fasta")
     writers.fasta(inputs.sequences(spark, sf), path)
     lines = readers.numbered_lines(spark, path)
     return lines.agg(F.count_if(F.col("value").startswith(">")).alias("n_records"), F.count("*").alias("n_lines"), F.sum(F.when(~F.col("value").startswith(">"), F.length("value")).otherwise(0)).alias("n_letters"))
@@ -119,7 +106,7 @@ def fasta_read(spark: SparkSession, sf: str) -> DataFrame:
 @oracle("""WITH g AS (SELECT 'd' || c_custkey AS sid, 'g' || c_nationkey AS group_id FROM customer), o AS (SELECT group_id, row_number() OVER (ORDER BY sha256('42:' || group_id)) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM g))
 SELECT sid AS structure_id, group_id, CASE WHEN place <= floor(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM g JOIN o USING (group_id)""")
 def split_manifests_read(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "manifests")
+    path = shared_folder(spark, "manifests")
     writers.split_manifests(catalog.group_split_hash(spark, sf), path)
     return spark.read.option("header", True).schema("structure_id string, group_id string, split string").csv([f"{path}/train_manifest", f"{path}/val_manifest"])
 
@@ -127,7 +114,7 @@ def split_manifests_read(spark: SparkSession, sf: str) -> DataFrame:
 @oracle("SELECT 'd' || c_custkey AS sid, CASE WHEN fold_id = 1 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, CAST(ntile(4) OVER (ORDER BY sha256('7:' || n_name)) AS INTEGER) AS fold_id FROM nation) JOIN customer ON c_nationkey = n_nationkey")
 def fold_lists_read(spark: SparkSession, sf: str) -> DataFrame:
     """Files of ids of each side of an experiment, with a header each, put together without the headers."""
-    path = scratch(spark, "folds")
+    path = shared_folder(spark, "folds")
     folds = catalog.fold_complements(spark, sf).where("experiment = 1").select("fold", "split")
     nations = table(spark, sf, "nation").select(F.col("n_name").alias("fold"), F.col("n_nationkey").alias("c_nationkey"))
     rows = table(spark, sf, "customer").join(F.broadcast(folds.join(nations, "fold")), "c_nationkey").select(F.concat(F.lit("d"), "c_custkey").alias("NAME"), "split")
@@ -141,7 +128,7 @@ SELECT x.fold AS fold_source, y.sf AS superfamily_target, count(*) AS n, CAST(su
 FROM pairs LEFT JOIN lv x ON sid1 = x.sid LEFT JOIN lv y ON sid2 = y.sid GROUP BY 1, 2""")
 def pair_metadata_read(spark: SparkSession, sf: str) -> DataFrame:
     """The pair table, written as Parquet and read back by three of its columns."""
-    path = f"{scratch(spark, 'metadata')}/pair_metadata"
+    path = f"{shared_folder(spark, 'metadata')}/pair_metadata"
     writers.table(catalog.pair_metadata_join(spark, sf), path)
     rows = spark.read.parquet(path).groupBy("fold_source", "superfamily_target")
     return rows.agg(F.count("*").alias("n"), F.sum("idx_source").alias("idx_sum"), F.sum("ca_dist_superposed").cast("long").alias("dist_sum"))
@@ -159,7 +146,7 @@ def _errors(spark: SparkSession, sf: str) -> DataFrame:
 @oracle(f"WITH {ERRORS} SELECT alignment_id, sid1, sid2, cigar, 'FileNotFoundError' AS error_type, error FROM errors WHERE error IS NOT NULL")
 def skipped_read(spark: SparkSession, sf: str) -> DataFrame:
     """Alignments that lack a structure, written as a table of tabs and read back."""
-    path = scratch(spark, "skipped")
+    path = shared_folder(spark, "skipped")
     names = ["alignment_id", "sid1", "sid2", "cigar", "error_type", "error"]
     _errors(spark, sf).where("error is not null").select(*names).write.option("sep", "\t").option("header", True).csv(path)
     return spark.read.option("sep", "\t").option("header", True).schema(", ".join(f"{c} string" for c in names)).csv(path)

@@ -8,7 +8,7 @@ from foldline.facade import StructuralAlphabet, register
 from foldline.operators import network, search
 from foldline.operators.network import Mlp, Model
 from foldline.plans import alphabet, dataset, experiments, files, settings
-from foldline.sources import readers, writers
+from foldline.sources import readers, scratch, writers
 from tests.test_dataset import inputs, pdb  # noqa: F401
 
 
@@ -98,7 +98,7 @@ def test_curves_files_and_lists(spark, tmp_path):
     (tmp_path / "src/d1.pdb").write_text("x" * 10)
     assert writers.archive_manifest(readers.discovered(spark, str(tmp_path / "src")), str(tmp_path))["total_structure_bytes"] == 10
     assert (tmp_path / "manifest.tsv").read_text().startswith("sid\tpath\tsize_bytes\tsha256\nd1\t")
-    assert files.scratch(spark, "x") != files.scratch(spark, "x")
+    assert scratch.shared_folder(spark, "x") != scratch.shared_folder(spark, "x")
     run = settings.resolve(settings.TRAIN, {"train": {"seed": 4}})
     assert experiments.changed(run, train__seed=9).train.seed == 9 and run.train.seed == 4
     assert dataset.fails({"alignments": 100, "errored": 2}, False, 0.01) and not dataset.fails({"alignments": 100, "errored": 1}, False, 0.01)
