@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldline.llm import decontaminate, substring_dedup
+from foldline.llm import conversation_trie, decontaminate, host_rules, substring_dedup
 from foldline.llm.shared import table, work_dir
 
 
@@ -70,5 +70,19 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_quality, op4_ann_search, op5_language_id, op6_substring_dedup, op7_html_text, op8_token_store, op9_line_dedup, op10_bpe_codec)}
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), work_dir(spark, "trie"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), work_dir(spark, "whitening")).selectExpr("* except (deviation)", "try_cast(deviation AS bigint) AS deviation")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_verdicts(table(spark, sf_dir, "documents"), work_dir(spark, "rules"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_quality, op4_ann_search, op5_language_id, op6_substring_dedup, op7_html_text, op8_token_store, op9_line_dedup, op10_bpe_codec, op11_conversation_trie, op12_whitening, op13_quality_rules)}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op11_conversation_trie": conversation_trie.ORACLE, "op13_quality_rules": host_rules.ORACLE}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,38 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldline.sources.scratch import cut, drop, shared_folder
 
 #: Folders that work_dir() has given in this process, for those who clear up.
 MADE: list[str] = []
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run, below the cluster's shared checkpoint folder.
-
-    Only in local mode, where there is one machine, a temporary folder serves if none is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="foldline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    MADE.append(f"{root.rstrip('/')}/foldline-{name}-{uuid.uuid4().hex}")
+    """A fresh shared folder for one run, noted in MADE."""
+    MADE.append(shared_folder(spark, name))
     return MADE[-1]
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that the caller has written, whatever the file system."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def cut(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
-    """Writes df below a shared folder and reads it back, so that its lineage starts there."""
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a batch that goes to Python, at most: texts may be long.
 BATCH_ROWS = 1000
 
