@@ -8,8 +8,8 @@ the first |x| - ceil(t |x|) + k n-grams of each. Only these prefixes are shuffle
 n-gram that no other prefix has links nothing and goes; a set with fewer than k others' n-grams left
 in its prefix has no partner and goes. This repeats on what is left. Sets that share prefix n-grams
 form candidate groups, found as connected components with one edge per set and n-gram, so that no
-pairs are made within an n-gram's sets; the sets of a common n-gram are dealt to several places that a few
-sets join.
+pairs are made within an n-gram's sets; the sets of a common n-gram are dealt to several places, whose
+first sets are joined.
 
 Tree. The whole sets of a group meet in one task (a large group is cut into bounded blocks, and each
 two blocks whose sizes allow a link meet). N-grams are ordered by how many of the block's sets have
@@ -264,10 +264,10 @@ GRAM = "rep long, least int, gram long, share int, bridge boolean"
 
 
 def dealt(batches: Iterator[pa.RecordBatch], common: int, shares: int) -> Iterator[pa.RecordBatch]:
-    """GRAM rows of (rep, least, prefix) rows: one per n-gram, and more that join the shares of a common n-gram.
+    """GRAM rows of (rep, least, prefix) rows: one per n-gram, and a mark (bridge) for each common one.
 
     An n-gram that many sets of a batch have is dealt to several places by rep, so that none holds them all; where it is not
-    as common it has the place 0. The first set of the batch at each share stands at place 0 as well, which joins the shares.
+    as common it has the place 0. A mark at place 0 says that there are other places; it stands for no set.
     """
     for batch in batches:
         lists = batch.column(2)
@@ -280,7 +280,7 @@ def dealt(batches: Iterator[pa.RecordBatch], common: int, shares: int) -> Iterat
         own = (_mix(rep.view(np.uint64)) % np.uint64(shares)).astype(np.int32) + 1
         share = np.where(counts[where] > common, own, 0).astype(np.int32)
         hot = np.flatnonzero(share)
-        _, first = np.unique(where[hot] * (shares + 1) + share[hot], return_index=True)
+        _, first = np.unique(where[hot], return_index=True)
         more = hot[first]
         columns = [np.concatenate([c, c[more]]) for c in (rep, least, gram)]
         share, bridge = np.concatenate([share, np.zeros(len(more), np.int32)]), np.arange(len(gram) + len(more)) >= len(gram)
@@ -307,13 +307,18 @@ def similarity_classes(docs: DataFrame, folder: str, n: int = 5, percent: int =
     grams = reps.select("rep", least, "prefix").mapInArrow(partial(dealt, common=COMMON, shares=SHARES), GRAM)
     for k in (1, 2):
         place = Window.partitionBy("gram", "share")
-        grams = grams.withColumns({"sharing": F.count("*").over(place), "leader": F.min("rep").over(place)}).where("sharing > 1 or share > 0 or bridge").drop("sharing")
-        grams = cut(grams, f"{folder}/shared-{k}")
+        grams = grams.withColumns({"sharing": F.count("*").over(place), "leader": F.min(F.when(~F.col("bridge"), F.col("rep"))).over(place), "dealt": (F.col("share") > 0) | F.max("bridge").over(place)})
+        grams = cut(grams.where("sharing > 1 or dealt").drop("sharing"), f"{folder}/shared-{k}")
         if k == 2:
             drop(docs.sparkSession, f"{folder}/shared-1")
         enough = grams.where("not bridge").groupBy("rep").agg(F.count("*").alias("found"), F.first("least").alias("least")).where("found >= least").select("rep")
-        grams = grams.join(enough, "rep", "left_semi")
-    groups = components(grams.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), f"{folder}/groups")
+        grams = grams.where("not bridge").join(enough, "rep", "left_semi").unionByName(grams.where("bridge"))
+    # A set is joined to the leader of its place, and the places' leaders, of sets that are left, to the least of their n-gram.
+    held = grams.where("not bridge")
+    places = held.where("dealt").groupBy("gram", "share").agg(F.min("leader").alias("leader"))
+    least_leader = places.groupBy("gram").agg(F.min("leader").alias("a"))
+    edges = held.select(F.col("leader").alias("a"), F.col("rep").alias("b")).union(places.join(least_leader, "gram").select("a", F.col("leader").alias("b")))
+    groups = components(edges.distinct(), f"{folder}/groups")
 
     drop(docs.sparkSession, f"{folder}/shared-2")
 

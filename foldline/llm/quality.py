@@ -2,7 +2,7 @@
 
 Weights are learned by follow-the-regularised-leader updates, one document at a time, and a score is
 a sparse dot product. A word counts as itself and as its form (letter case, digits and punctuation,
-runs shortened); pairs of neighbouring words count as a pair of forms and by whether the
+runs shortened); neighbouring words count as a pair of words, as a pair of forms, and by whether the
 two are the same word, which is how pairs of words that were never seen are told apart.
 """
 
@@ -105,11 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
     found = texts.select("doc_id", "text", "label").mapInArrow(take, "doc_id long, label int, ids binary, vals binary").toArrow()
     ids, vals, marks = found["ids"], found["vals"], found["label"].to_pylist()
-    keys = np.array(found["doc_id"].to_pylist(), dtype=np.uint64)
-    order = np.argsort(keys * np.uint64(0x9E3779B97F4A7C15), kind="stable")  # the same order however rows arrive
+    keys = (np.array(found["doc_id"].to_pylist(), dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+    # The same order however rows arrive: by a hash of the id, and rows of one id by what they hold.
+    order = sorted(range(len(marks)), key=lambda k: (keys[k], ids[k].as_py(), vals[k].as_py()))
     leader = Leader()
     for _ in range(PASSES):
-        for k in order.tolist():
+        for k in order:
             leader.learn(np.frombuffer(ids[k].as_buffer(), np.int32), np.frombuffer(vals[k].as_buffer(), np.float32), marks[k])
     return leader.weights()
 
@@ -123,7 +124,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs: doc_id, text; labels: doc_id, quality (0 or 1; null labels are skipped, repeated ones
     averaged). Returns a row per input row: doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD). A null,
     empty or blank text has the score of the bias alone; without labels every score is 0.5. Repeated rows
-    give repeated rows; a null doc_id is scored and not held out.
+    give repeated rows, and each row of a labelled id is learned from; a null doc_id is scored and not held out. Texts of any
+    length are read whole; equal texts have equal scores, and one of THRESHOLD counts as good. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # SIZE weights, whatever the corpus
 

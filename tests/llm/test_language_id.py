@@ -1,6 +1,10 @@
+import math
 import zlib
+from itertools import combinations
 
-from foldline.llm.language_id import identify, with_language
+import pytest
+
+from foldline.llm.language_id import PENALTY, fit, grams, identify, with_language
 
 EN = "the quick brown fox and the other one that was here with them "
 DE = "der schnelle fuchs und die andere welche nicht hier bei ihnen war "
@@ -32,3 +36,28 @@ def test_mixtures_and_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {100, 101, 102}
     assert {r.lang_pred for r in identify(docs.where("lang is null")).collect()} == {"und"}
     assert identify(docs.where("doc_id > 1000")).count() == 0
+
+
+def test_mixture_against_all_subsets(spark):
+    """Expectation-maximisation in plain loops for every set of languages, the best by penalised likelihood."""
+    fr = "le renard brun et les autres qui sont avec elle dans la maison "
+    rows = [(k, text * 3, lang) for k, (text, lang) in enumerate([(EN, "en"), (DE, "de"), (fr, "fr")] * 12)]
+    mixture = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for text in (EN * 4, EN * 30 + DE * 30, fr * 40 + EN * 20 + DE * 30, fr):
+        ids = grams(text).tolist()
+        best = None
+        for size in (1, 2, 3):
+            for chosen in combinations(range(3), size):
+                p = [[math.exp(float(mixture.log_p[i, c])) for c in chosen] for i in ids]
+                pi = [1 / size] * size
+                for _ in range(60):
+                    totals = [0.0] * size
+                    for row in p:
+                        joint = [a * b for a, b in zip(row, pi)]
+                        for c, x in enumerate(joint):
+                            totals[c] += x / sum(joint)
+                    pi = [t / len(p) for t in totals]
+                value = sum(math.log(sum(a * b for a, b in zip(row, pi))) for row in p) - (size - 1) * PENALTY * math.log(len(ids)) / 2
+                if best is None or value > best[0]:
+                    best = (value, dict(zip(chosen, pi)))
+        assert mixture.proportions(text).tolist() == pytest.approx([best[1].get(c, 0.0) for c in range(3)], abs=0.02)

@@ -115,6 +115,18 @@ def test_common_ngrams_are_dealt(spark, monkeypatch):
     assert got == brute(texts, 4, 85) and len({c for _, c in got.values()}) > 5
 
 
+def test_common_ngrams_of_sets_that_go(spark):
+    """A paragraph stands alone in a few documents and inside many long ones, which take no part: the few are still one class."""
+    rng = random.Random(12)
+    paragraph = " ".join(f"p{k}" for k in range(40))
+    texts = {k: " ".join(f"r{rng.randrange(10**9)}" for _ in range(1000)) + " " + paragraph for k in range(300)}
+    texts |= {1000 + k: f"{paragraph} own{k} more{k}" for k in range(6)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for n, percent, parts in ((4, 85, 1), (5, 80, 1), (4, 85, 7)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_classes(frame.repartition(parts), work_dir(spark, "t"), n, percent).collect()}
+        assert got == brute(texts, n, percent) and got[1005][1] == 1000
+
+
 def test_components_with_a_hot_node(spark, monkeypatch):
     monkeypatch.setattr(shared, "HOT", 5)
     edges = [(0, k) for k in range(1, 200)] + [(500 + k, 501 + k) for k in range(40)] + [(900, 899), (7, 7), (None, 3)]

@@ -1,6 +1,10 @@
+import math
+import random
 import zlib
 
-from foldline.llm.quality import score_quality
+import pytest
+
+from foldline.llm.quality import ALPHA, BETA, L1, L2, PASSES, features, score_quality
 
 
 def test_held_out_accuracy(spark):
@@ -24,3 +28,38 @@ def test_odd_rows(spark):
     assert len(got) == 6 and len({r.score for r in got if r.doc_id == 5}) == 1
     none = score_quality(docs, labels.where("doc_id > 1000")).collect()
     assert {r.score for r in none} == {0.5} and score_quality(docs.where("doc_id > 1000"), labels).count() == 0
+
+
+def test_against_plain_loops(spark):
+    """The published update rule over dicts, one document at a time, in the stated order; ids may be negative or repeated."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["good", "fine", "clean"] if k % 2 else ["bad", "spam", "junk"]) + rng.choice("abc") for _ in range(rng.randint(1, 30)))) for k in range(-40, 40)]
+    rows += [(-3, "another text of one id"), (5, "and one more"), (5, "and one more")]
+    marks = [(k, k % 2) for k in range(-40, 40)] + [(7, 0)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    label = {k: int(k % 2 if k != 7 else 0.5 >= 0.5) for k in range(-40, 40)}
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    learned = [(k * 0x9E3779B97F4A7C15 % 2**64, *(a.tobytes() for a in features(t)), features(t), label[k]) for k, t in rows if not held(k)]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= L1:
+            return 0.0
+        return -(z[i] - math.copysign(L1, z[i])) / ((BETA + math.sqrt(n[i])) / ALPHA + L2)
+
+    def score(f):
+        return 1 / (1 + math.exp(-sum(weight(i) * float(v) for i, v in zip(f[0].tolist(), f[1].tolist()))))
+
+    for _ in range(PASSES):
+        for *_, f, y in sorted(learned, key=lambda x: x[:3]):
+            p = score(f)
+            for i, v, w in [(i, v, weight(i)) for i, v in zip(f[0].tolist(), f[1].tolist())]:
+                g = (p - y) * v
+                more = math.sqrt(n.get(i, 0.0) + g * g)
+                z[i] = z.get(i, 0.0) + g - (more - math.sqrt(n.get(i, 0.0))) / ALPHA * w
+                n[i] = n.get(i, 0.0) + g * g
+    want = sorted((k, held(k), score(features(t))) for k, t in rows)
+    for parts in (1, 5):
+        got = sorted((r.doc_id, r.held_out, r.score) for r in score_quality(docs.repartition(parts), labels).collect())
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-5)
