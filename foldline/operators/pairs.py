@@ -1,7 +1,7 @@
 """From alignments and residues to training pairs: join, superpose, cap, mirror.
 
-The expansion and the joins are one declarative plan. Only the superposition needs a kernel: it sees one
-alignment at a time (hundreds of pairs), in an Arrow batch per group.
+The expansion and the joins are one declarative plan, and so is the superposition: an alignment's rotation comes from
+its sums of products, in columns.
 """
 
 from __future__ import annotations
@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldline.functions import cigar, hierarchy
+from foldline.functions import cigar, hierarchy, rotation
 from foldline.functions.geometry import distance, vector
+from foldline.sources.scratch import cut, shared_folder
 
-TOO_FEW, NOT_FINITE, RANK, FAILED = "too_few_pairs", "nonfinite_coordinates", "rank_deficient_coordinates", "svd_failed"
+#: Why an alignment has no superposition.
+TOO_FEW, NOT_FINITE, RANK = "too_few_pairs", "nonfinite_coordinates", "rank_deficient_coordinates"
+#: Spread beside a line, as the root of a sum of squares, below which points have no rotation of their own.
+RANK_LIMIT = 1e-6
 
 
 def expand(alignments: DataFrame) -> DataFrame:
@@ -36,37 +40,28 @@ def with_residues(pairs: DataFrame, residues: DataFrame) -> DataFrame:
     return pairs.join(side("x", "sid1", "i"), ["sid1", "i"]).join(side("y", "sid2", "j"), ["sid2", "j"])
 
 
-def superpose(fixed: np.ndarray, moving: np.ndarray) -> tuple[str | None, np.ndarray]:
-    """A status (None if all is well) and the pairs' distances after the best proper rotation of moving onto fixed."""
-    n = len(fixed)
-    nothing = np.full(n, np.nan, np.float32)
-    if n < 3:
-        return TOO_FEW, nothing
-    if not (np.isfinite(fixed).all() and np.isfinite(moving).all()):
-        return NOT_FINITE, nothing
-    a, b = fixed - fixed.mean(0), moving - moving.mean(0)
-    if min(np.linalg.svd(m, compute_uv=False)[1] for m in (a, b)) < 1e-6:
-        return RANK, nothing
-    try:
-        u, _, vt = np.linalg.svd(b.T @ a)
-    except np.linalg.LinAlgError:
-        return FAILED, nothing
-    turn = u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0]) @ vt
-    return None, np.sqrt((((b @ turn) - a) ** 2).sum(1)).astype(np.float32)
-
-
-def superposed(pairs: DataFrame, key: str = "alignment_id") -> DataFrame:
-    """pairs (key, k, x_ca, y_ca and more) with ca_dist (float, null where there is no superposition) and status."""
-    columns = pairs.columns
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k", kind="stable")
-        status, found = superpose(*(np.array([list(v) for v in group[c]], dtype=np.float64).reshape(-1, 3) for c in ("x_ca", "y_ca")))
-        return group.assign(ca_dist=pd.Series(found, index=group.index).astype("float32"), status=status)
+def superposed(pairs: DataFrame, key: str = "alignment_id", folder: str | None = None) -> DataFrame:
+    """pairs (key, x_ca, y_ca and more) with ca_dist (float, null where there is no superposition) and status (null if all is well).
 
-    schema = T.StructType([*pairs.schema.fields, T.StructField("ca_dist", T.FloatType()), T.StructField("status", T.StringType())])
-    out = pairs.groupBy(key).applyInPandas(kernel, schema)
-    return out.select(*columns, F.nanvl("ca_dist", F.lit(None).cast("float")).alias("ca_dist"), "status")
+    ca_dist is the distance of a pair after the best proper rotation of the alignment's y_ca onto its x_ca. The pairs
+    are written once below folder, by default a new shared one; alignments meet their own sums by joins, which Spark can split.
+    """
+    columns = pairs.columns
+    finite = F.lit(True)
+    for c in ("x_ca", "y_ca"):
+        for v in vector(c):
+            finite &= v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    parts = {f"_{p}{k}": v.cast("double") for p in "xy" for k, v in enumerate(vector(f"{p}_ca"))}
+    rows = cut(pairs.withColumns({**parts, "_finite": F.coalesce(finite, F.lit(False)), "_key": F.col(key)}), f"{folder or shared_folder(pairs.sparkSession, 'superposed')}/pairs")
+    turns = rotation.turns(rows.groupBy("_key").agg(F.count("*").alias("_n"), F.every("_finite").alias("_all_finite"), *rotation.moments()))
+    held = rows.join(turns, rows["_key"].eqNullSafe(turns["_key"])).drop(turns["_key"])
+    # A set of points on one line is found by what is left of it beside the line, not by differences of large sums.
+    beside = held.groupBy("_key").agg(F.sum(rotation.beside("x")).alias("_beside_x"), F.sum(rotation.beside("y")).alias("_beside_y"))
+    held = held.join(beside, held["_key"].eqNullSafe(beside["_key"])).drop(beside["_key"])
+    flat = F.least(*(F.sqrt(F.coalesce(f"_beside_{p}", F.lit(0.0))) for p in "xy")) < RANK_LIMIT
+    status = F.when(F.col("_n") < 3, TOO_FEW).when(~F.col("_all_finite"), NOT_FINITE).when(flat, RANK)
+    out = held.withColumn("status", status).withColumn("ca_dist", F.when(F.col("status").isNull(), rotation.distance().cast("float")))
+    return out.select(*columns, "ca_dist", "status")
 
 
 def within(pairs: DataFrame, limit: float | None) -> DataFrame:

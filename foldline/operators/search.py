@@ -69,37 +69,103 @@ def smith_waterman_many(a: np.ndarray, many: list[np.ndarray], matrix: np.ndarra
     return best.max(axis=0)
 
 
-def all_against_all(sequences: DataFrame, letters: str, matrix: np.ndarray, least: int = LEAST_SCORE) -> DataFrame:
-    """query, target, score of all pairs from a least score: blocks of queries against blocks of targets.
+def count_bounds(a: np.ndarray, b: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """For each pair of rows of letters' counts, a score that no local alignment of such sequences exceeds.
+
+    Every aligned pair of letters is paid for by the first letter, by the second, or half by each, at the best score that
+    it has with a letter that the other sequence holds; gaps only cost.
+    """
+    gain = np.maximum(matrix, 0)
+    best = lambda there, cells: np.stack([np.where(there, cells[k], 0).max(1, initial=0) for k in range(len(cells))], axis=1)
+    half = np.maximum(gain.max(1, initial=0), gain.max(0, initial=0)) / 2
+    return np.minimum(np.minimum(a @ best(b > 0, gain).T, best(a > 0, gain.T) @ b.T), (a @ half)[:, None] + (b @ half)[None, :])
 
-    sequences: sid, seq. Every query meets every target, which is what this search is; neither side is
-    collected, and a task holds one block of each.
+
+def diagonal_bounds(a: np.ndarray, many: list[np.ndarray], matrix: np.ndarray, gap_open: int = GAP_OPEN) -> np.ndarray:
+    """For a and each of many, a score that no local alignment with gaps of at least gap_open exceeds.
+
+    An alignment is stretches of diagonals with gaps between them, so it scores at most gap_open more than what all
+    diagonals give together if each stretch pays for a gap; a row of all of many at a time, as in smith_waterman_many.
     """
-    n = max(1, -(-sequences.count() // BLOCK))
-    block = F.pmod(F.xxhash64("sid"), F.lit(n))
-    numbers = F.sequence(F.lit(0), F.lit(n - 1))
-    queries = sequences.select(F.col("sid").alias("q"), F.col("seq").alias("qs"), block.alias("x"), F.explode(numbers).alias("y"))
-    targets = sequences.select(F.col("sid").alias("t"), F.col("seq").alias("ts"), F.explode(numbers).alias("x"), block.alias("y"))
+    m, n = len(many), max(map(len, many), default=0)
+    if not len(a) or not n:
+        return np.zeros(m, np.int64)
+    b = np.full((n, m), len(matrix))
+    for k, one in enumerate(many):
+        b[: len(one), k] = one
+    scores = np.concatenate([matrix, np.full((len(matrix), 1), -(10**6))], axis=1)
+    # On the diagonal that ends at each place of b: the best inside a stretch, and the best outside of one.
+    inside, outside, total = np.full((n, m), -(10**9)), np.zeros((n, m), np.int64), np.zeros(m, np.int64)
+    for letter in a:
+        stretch, out = np.maximum(inside, outside - gap_open), np.maximum(inside, outside)
+        total += out[-1]  # this diagonal has left b
+        inside[1:], outside[1:] = stretch[:-1], out[:-1]
+        inside[0], outside[0] = -gap_open, 0
+        inside += scores[letter][b]
+    return total + np.maximum(inside, outside).sum(0) + gap_open
+
+
+def _met(sequences: DataFrame, letters: str, matrix: np.ndarray, least: int, queries: DataFrame | None) -> DataFrame:
+    """query, target and score of pairs from a least score; rows without a target count a block's pairs: pairs, counted, aligned."""
+    queries = sequences if queries is None else queries
     code = {c: k for k, c in enumerate(letters)}
+    matrix = np.asarray(matrix)
+
+    def able(rows: DataFrame, gain: np.ndarray) -> Column:
+        """A sequence's letters, each at its best score, reach the least one."""
+        length = lambda c: F.char_length("seq") - F.char_length(F.replace("seq", F.lit(c)))
+        return sum((length(c) * int(gain[k]) for c, k in code.items()), F.lit(0)) >= least
+
+    gain = np.maximum(matrix, 0)
+    asked, held = (rows.select("sid", "seq", able(rows, g).alias("able")) for rows, g in ((queries, gain.max(1)), (sequences, gain.max(0))))
+    nx, ny = (max(1, -(-rows.count() // BLOCK)) for rows in (queries, sequences))
+    at = lambda n: F.pmod(F.xxhash64("sid"), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.select(F.col("sid").alias("q"), F.when(F.col("able"), F.col("seq")).alias("qs"), at(nx).alias("x"), every(ny).alias("y"))
+    right = held.select(F.col("sid").alias("t"), F.when(F.col("able"), F.col("seq")).alias("ts"), every(nx).alias("x"), at(ny).alias("y"))
 
     def kernel(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         read = lambda s: np.array([code[c] for c in s if c in code], dtype=np.int64)
-        held = sorted(((t, read(s)) for t, s in zip(two["t"], two["ts"])), key=lambda x: len(x[1])) if len(two) else []
-        groups = [[]]
-        for t, b in held:
-            if groups[-1] and (len(groups[-1]) + 1) * len(b) > CELLS:
-                groups.append([])
-            groups[-1].append((t, b))
-        out = []
-        for q, s in zip(one["q"], map(read, one["qs"])) if len(one) else ():
-            for group in groups:
-                found = smith_waterman_many(s, [b for _, b in group], matrix)
-                out += [(q, group[k][0], int(found[k])) for k in np.flatnonzero(found >= least)]
-        return pd.DataFrame(out, columns=["query", "target", "score"])
+        held = sorted(((t, read(s)) for t, s in zip(two["t"], two["ts"]) if s is not None), key=lambda x: len(x[1])) if len(two) else []
+        counted = lambda rows: np.array([np.bincount(b, minlength=len(code)) for b in rows], np.int64).reshape(len(rows), len(code))
+        of_targets, out = counted([b for _, b in held]), []
+        for q, s in zip(one["q"], one["qs"]) if len(one) else ():
+            left, aligned = [], 0
+            if s is not None and held:
+                s = read(s)
+                left = np.flatnonzero(count_bounds(counted([s]), of_targets, matrix)[0] >= least).tolist()
+            groups: list[list[int]] = [[]]
+            for k in left:
+                if groups[-1] and (len(groups[-1]) + 1) * len(held[k][1]) > CELLS:
+                    groups.append([])
+                groups[-1].append(k)
+            for group in filter(None, groups):
+                group = [k for k, bound in zip(group, diagonal_bounds(s, [held[k][1] for k in group], matrix)) if bound >= least]
+                aligned += len(group)
+                found = smith_waterman_many(s, [held[k][1] for k in group], matrix)
+                out += [(q, held[k][0], int(score), None, None, None) for k, score in zip(group, found) if score >= least]
+            out.append((q, None, None, len(two), len(left), aligned))
+        return pd.DataFrame(out, columns=["query", "target", "score", "pairs", "counted", "aligned"]).astype({c: "Int64" for c in ("score", "pairs", "counted", "aligned")})
 
     # The rows are few and the work is not: a stated number of partitions is not merged into one.
-    dealt = lambda df: df.withColumns({c: F.col(c).cast("long") for c in "xy"}).repartition(min(n * n, PARTITIONS), "x", "y").groupBy("x", "y")
-    return dealt(queries).cogroup(dealt(targets)).applyInPandas(kernel, "query string, target string, score long")
+    dealt = lambda df: df.repartition(min(nx * ny, PARTITIONS), "x", "y").groupBy("x", "y")
+    return dealt(left.toDF(*left.columns)).cogroup(dealt(right.toDF(*right.columns))).applyInPandas(kernel, "query string, target string, score long, pairs long, counted long, aligned long")
+
+
+def all_against_all(sequences: DataFrame, letters: str, matrix: np.ndarray, least: int = LEAST_SCORE, queries: DataFrame | None = None) -> DataFrame:
+    """query, target, score of all pairs from a least score: blocks of queries against blocks of targets.
+
+    sequences and queries (by default all sequences): sid, seq. Every query meets every target, which is what this search is; neither
+    side is collected, and a task holds one block of each. Only pairs that neither of two bounds, from the letters' counts and
+    from the diagonals, keeps below the least score are aligned; sequences that can reach it with nothing travel without their letters.
+    """
+    return _met(sequences, letters, matrix, least, queries).where("target is not null").select("query", "target", "score")
+
+
+def screening(sequences: DataFrame, letters: str, matrix: np.ndarray, least: int = LEAST_SCORE, queries: DataFrame | None = None) -> DataFrame:
+    """query, pairs (with all targets), counted (those that the letters' counts leave) and aligned (those that both bounds leave) of all_against_all()."""
+    rows = _met(sequences, letters, matrix, least, queries).where("target is null")
+    return rows.groupBy("query").agg(*(F.sum(c).alias(c) for c in ("pairs", "counted", "aligned")))
 
 
 def class_sizes(lookup: DataFrame) -> DataFrame:

@@ -299,12 +299,30 @@ def raw_ca_distance(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.raw_distance(_chain_pairs(spark, sf)).select("chain1", "k", F.round("ca_dist_raw", 6).alias("ca_dist_raw"))
 
 
-@oracle()
+def _rotated(where: str) -> str:
+    """The pairs of _chain_pairs() with their superposed distances: the quaternion comes from the 48th square of the shifted 4 by 4 matrix."""
+    k = [
+        ["s00 + s11 + s22", "s12 - s21", "s20 - s02", "s01 - s10"], ["s12 - s21", "s00 - s11 - s22", "s01 + s10", "s20 + s02"],
+        ["s20 - s02", "s01 + s10", "s11 - s00 - s22", "s12 + s21"], ["s01 - s10", "s20 + s02", "s12 + s21", "s22 - s00 - s11"],
+    ]
+    square = "list_transform(range(16), lambda t: list_sum(list_transform(range(4), lambda c: a[4 * (t // 4) + c + 1] * a[4 * c + t % 4 + 1])))"
+    turn = [["w*w + x*x - y*y - z*z", "2*(x*y - w*z)", "2*(x*z + w*y)"], ["2*(x*y + w*z)", "w*w - x*x + y*y - z*z", "2*(y*z - w*x)"], ["2*(x*z - w*y)", "2*(y*z + w*x)", "w*w - x*x - y*y + z*z"]]
+    return f"""cp AS (SELECT a.chain AS chain1, a.idx AS k, {", ".join(f"a.ca_{d} AS x{i}, b.ca_{d} AS y{i}" for i, d in enumerate("xyz"))} FROM chains a JOIN chains b ON b.chain = a.chain + 1 AND a.idx = b.idx WHERE a.valid AND b.valid AND {where}),
+mo AS (SELECT chain1, count(*) AS n, {", ".join(f"avg({p}{i}) AS m{p}{i}" for p in "xy" for i in range(3))}, {", ".join(f"covar_pop(y{i}, x{j}) AS s{i}{j}" for i in range(3) for j in range(3))}, ({" + ".join(f"var_pop({p}{i})" for p in "xy" for i in range(3))}) / 2 AS g FROM cp GROUP BY chain1),
+km AS (SELECT *, [{", ".join(f"({k[i][j]}) / nullif(g, 0) + {int(i == j)}" for i in range(4) for j in range(4))}] AS m FROM mo),
+pw AS (SELECT *, list_reduce(list_transform(range(49), lambda i: m), lambda a, b: list_transform([{square}], lambda s: list_transform(s, lambda v: v / (s[1] + s[6] + s[11] + s[16])))[1]) AS p FROM km),
+qu AS (SELECT *, list_transform(range(4), lambda r: p[4 * r + c] / sqrt(p[5 * c - 4])) AS q FROM (SELECT *, CAST(list_position([p[1], p[6], p[11], p[16]], greatest(p[1], p[6], p[11], p[16])) AS BIGINT) AS c FROM pw)),
+ro AS (SELECT *, {", ".join(f"{turn[i][j]} AS r{i}{j}" for i in range(3) for j in range(3))} FROM (SELECT *, q[1] AS w, q[2] AS x, q[3] AS y, q[4] AS z FROM qu)),
+apart AS (SELECT cp.chain1, k, n, {", ".join(" + ".join(f"r{i}{j} * (y{j} - my{j})" for j in range(3)) + f" - (x{i} - mx{i}) AS d{i}" for i in range(3))} FROM cp JOIN ro USING (chain1)),
+turned AS (SELECT chain1, k, CASE WHEN n >= 3 THEN CAST(sqrt(d0 * d0 + d1 * d1 + d2 * d2) AS FLOAT) END AS ca_dist, CASE WHEN n < 3 THEN '{pairs.TOO_FEW}' END AS status FROM apart)"""
+
+
+@oracle(f"WITH {CHAINS}, {_rotated('true')} SELECT chain1, k, round(CAST(ca_dist AS DOUBLE), 4) AS ca_dist, status FROM turned")
 def superposed_ca_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.superposed(_chain_pairs(spark, sf)).select("chain1", "k", "ca_dist", "status")
+    return pairs.superposed(_chain_pairs(spark, sf)).select("chain1", "k", F.round(F.col("ca_dist").cast("double"), 4).alias("ca_dist"), "status")
 
 
-@oracle()
+@oracle(f"WITH {CHAINS}, {_rotated('(a.idx < a.chain OR a.chain > 4)')} SELECT chain1, any_value(status) AS status, count(*) AS n_pairs, count(*) FILTER (ca_dist <= 5) AS within_5 FROM turned GROUP BY 1")
 def kabsch_status(spark: SparkSession, sf: str) -> DataFrame:
     rows = pairs.superposed(_chain_pairs(spark, sf).where("k < chain1 or chain1 > 4"))
     return rows.groupBy("chain1").agg(F.first("status").alias("status"), F.count("*").alias("n_pairs"), F.count_if(F.col("ca_dist") <= 5).alias("within_5"))
@@ -519,13 +537,51 @@ def cap_seed(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- models
 
-@oracle()
-def sw_scores(spark: SparkSession, sf: str) -> DataFrame:
+def _sw_matrix(spark: SparkSession, sf: str):
     import numpy as np
 
     rows = {(r["a"], r["b"]): r["score"] for r in substitution_matrix(spark, sf).collect()}  # alphabet squared
-    matrix = np.array([[rows[a, b] + (4 if a == b else 0) for b in STATES] for a in STATES])
-    return search.all_against_all(inputs.sequences(spark, sf), "".join(STATES), matrix, least=20)
+    return np.array([[rows[a, b] + (4 if a == b else 0) for b in STATES] for a in STATES])
+
+
+LEAST = 20
+_OPEN, _EXTEND = search.GAP_OPEN, search.GAP_EXTEND
+#: Queries (users divisible by 100) and targets as numbered letters, and matrix rows as lists.
+SW = f"""WITH {EVENT_PAIRS}, l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c), p AS (SELECT a, b, n::DOUBLE / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY a)::DOUBLE / sum(n) OVER () AS pa, sum(n) OVER (PARTITION BY b)::DOUBLE / sum(n) OVER () AS pb FROM counts),
+mx AS (SELECT list(v ORDER BY a) AS m FROM (SELECT a, list(score ORDER BY b) AS v FROM (SELECT x.c AS a, y.c AS b, CAST(coalesce(CAST(round_even(2 * log2(p / (pa * pb)), 0) AS INTEGER), 0) + CASE WHEN x.c = y.c THEN 4 ELSE 0 END AS BIGINT) AS score FROM l x CROSS JOIN l y LEFT JOIN p ON p.a = x.c AND p.b = y.c) GROUP BY a)),
+users AS (SELECT user_id, 'd' || user_id AS sid, list_transform(string_split(string_agg(letter, '' ORDER BY ts, event_id), ''), lambda c: CAST(ascii(c) - 64 AS BIGINT)) AS s FROM events JOIN types USING (event_type) WHERE user_id IS NOT NULL GROUP BY user_id),
+met AS (SELECT q.sid AS query, t.sid AS target, q.s AS a, t.s AS b, m FROM users q JOIN users t ON q.user_id % 100 = 0 CROSS JOIN mx)"""
+#: A row of the matrix from the one above: h with a 0 before it, d where a gap goes down, best so far.
+_row = f"list_transform(range(1, len(b) + 1), lambda j: greatest(0::BIGINT, acc.h[j] + m[x.c][b[j]], greatest(acc.d[j] - {_EXTEND}, acc.h[j + 1] - {_OPEN})))"
+_along = f"list_transform(row, lambda v, j: greatest(v, coalesce(list_max(list_transform(row[1 : j - 1], lambda u, k: u - {_OPEN} - {_EXTEND} * (j - k - 1))), 0::BIGINT)))"
+_next = f"list_transform([{_row}], lambda row: {_along})[1]"
+_step = f"list_transform([{_next}], lambda h: {{'c': x.c, 'h': list_concat([0::BIGINT], h), 'd': list_transform(range(1, len(b) + 1), lambda j: greatest(acc.d[j] - {_EXTEND}, acc.h[j + 1] - {_OPEN})), 'best': greatest(acc.best, list_max(h))}})[1]"
+_start = "{'c': 0::BIGINT, 'h': list_transform(range(len(b) + 1), lambda j: 0::BIGINT), 'd': list_transform(b, lambda j: (-1000000)::BIGINT), 'best': 0::BIGINT}"
+SW_SCORES = f"""{SW}, scored AS (SELECT query, target, list_reduce(list_transform(a, lambda c: {{'c': c, 'h': [0::BIGINT], 'd': [0::BIGINT], 'best': 0::BIGINT}}), lambda acc, x: {_step}, {_start}).best AS score FROM met)
+SELECT query, target, CAST(score AS BIGINT) AS score FROM scored WHERE score >= {LEAST}"""
+
+
+@oracle(SW_SCORES)
+def sw_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Users whose id is divisible by 100 against all users."""
+    sequences = inputs.sequences(spark, sf)
+    return search.all_against_all(sequences, "".join(STATES), _sw_matrix(spark, sf), LEAST, sequences.where("cast(substring(sid, 2) as bigint) % 100 = 0"))
+
+
+_times = lambda s: "[" + ", ".join(f"len(list_filter({s}, lambda c: c = {k}))" for k in range(1, 6)) + "]"
+_most = lambda own, other, cell: f"list_sum(list_transform(range(1, 6), lambda k: {own}[k] * list_max(list_transform(range(1, 6), lambda o: CASE WHEN {other}[o] > 0 THEN greatest(0, {cell}) ELSE 0 END))))"
+_half = "list_sum(list_transform(range(1, 6), lambda k: (ca[k] + cb[k]) * list_max(list_transform(range(1, 6), lambda o: greatest(0, m[k][o]))) / 2))"
+_diagonal = f"list_reduce(list_transform(range(greatest(1, 1 - o), least(len(a), len(b) - o) + 1), lambda i: {{'i': CAST(m[a[i]][b[i + o]] AS BIGINT), 'o': 0::BIGINT}}), lambda s, x: {{'i': greatest(s.i, s.o - {_OPEN}) + x.i, 'o': greatest(s.o, s.i)}}, {{'i': (-1000000)::BIGINT, 'o': 0::BIGINT}})"
+
+
+@oracle(f"""{SW}, counted AS (SELECT *, {_times('a')} AS ca, {_times('b')} AS cb FROM met),
+bounded AS (SELECT *, least({_most('ca', 'cb', 'm[k][o]')}, {_most('cb', 'ca', 'm[o][k]')}, {_half}) >= {LEAST} AS by_counts FROM counted),
+seeded AS (SELECT query, by_counts, by_counts AND {_OPEN} + list_sum(list_transform(range(1 - len(a), len(b)), lambda o: list_transform([{_diagonal}], lambda s: greatest(s.i, s.o))[1])) >= {LEAST} AS by_diagonals FROM bounded)
+SELECT query, count(*) AS pairs, count(*) FILTER (by_counts) AS counted, count(*) FILTER (by_diagonals) AS aligned FROM seeded GROUP BY query""")
+def sw_screening(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of sw_scores are left by the bounds from counts and from diagonals, and so aligned."""
+    sequences = inputs.sequences(spark, sf)
+    return search.screening(sequences, "".join(STATES), _sw_matrix(spark, sf), LEAST, sequences.where("cast(substring(sid, 2) as bigint) % 100 = 0"))
 
 
 @oracle()

@@ -30,23 +30,49 @@ def test_descriptor_mask(spark):
 TURN = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
 
 
-def test_superpose():
-    a = np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]])
-    b = a @ TURN.T + [10, -5, 2]
-    status, d = pairs.superpose(a, b)
-    assert status is None and d.dtype == np.float32 and d.max() < 1e-4
-    b[2] += [5, 0, 0]
-    assert pairs.superpose(a, b)[1][2] > 1
-    line = np.array([[0.0, 0, 0], [1, 0, 0], [2, 0, 0]])
-    assert pairs.superpose(line, a[:3])[0] == pairs.superpose(np.ones((3, 3)), a[:3])[0] == pairs.RANK
-    assert pairs.superpose(a[:2], a[:2])[0] == pairs.TOO_FEW
-    assert pairs.superpose(a, np.full((4, 3), np.nan))[0] == pairs.NOT_FINITE
+def by_svd(fixed, moving):
+    """The status and distances of one alignment by a singular value decomposition."""
+    if len(fixed) < 3:
+        return pairs.TOO_FEW, None
+    if not (np.isfinite(fixed).all() and np.isfinite(moving).all()):
+        return pairs.NOT_FINITE, None
+    a, b = fixed - fixed.mean(0), moving - moving.mean(0)
+    if min(np.linalg.svd(m, compute_uv=False)[1] for m in (a, b)) < 1e-6:
+        return pairs.RANK, None
+    u, _, vt = np.linalg.svd(b.T @ a)
+    turn = u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt))]) @ vt
+    return None, np.sqrt((((b @ turn) - a) ** 2).sum(1))
+
+
+def test_superposed(spark):
     rng = np.random.default_rng(123)
-    p, q = rng.standard_normal((8, 3)), rng.standard_normal((8, 3))
-    pc, qc = p - p.mean(0), q - q.mean(0)
-    u, _, vt = np.linalg.svd(qc.T @ pc)
-    s = np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))])
-    assert pairs.superpose(p, q)[1] == pytest.approx(np.linalg.norm(pc - qc @ (vt.T @ s @ u.T).T, axis=1), abs=1e-5)
+    a = np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]])
+    line = np.outer(np.arange(6), [0.3, -1.7, 2.9]) + 40
+    flat = rng.standard_normal((9, 3)) * [5, 5, 0]
+    far = rng.standard_normal((300, 3)) * 20 + 500
+    sets = {
+        "moved": (a, a @ TURN.T + [10, -5, 2]), "mirror": (a, a * [-1, 1, 1]), "line": (line, a[[0, 1, 2, 3, 0, 1]]), "line2": (far[:6], line), "place": (np.ones((3, 3)), a[:3]), "two": (a[:2], a[:2]), "nan": (a, np.full((4, 3), np.nan)),
+        "inf": (np.where(a > 0, np.inf, a), a), "flat": (flat, flat[:, ::-1] + 0.01 * rng.standard_normal((9, 3))), "far": (far, far @ TURN.T + 0.5 * rng.standard_normal((300, 3))), "turned": (far, -far), "same": (far, far),
+    }
+    for k in range(30):
+        n = int(rng.integers(3, 40))
+        sets[f"r{k}"] = (rng.standard_normal((n, 3)) * 10, rng.standard_normal((n, 3)) * 10)
+    rows = [(name, k, [float(v) for v in x[k]], [float(v) for v in y[k]], "kept") for name, (x, y) in sets.items() for k in range(len(x))]
+    rows += [("null", k, [1.0, None, 2.0] if k else None, [0.0, 1.0, 2.0], "kept") for k in range(4)] + [(None, k, [float(v) for v in a[k]], [float(v) for v in a[k]], "kept") for k in range(4)]
+    frame = spark.createDataFrame(rows, "alignment_id string, k int, x_ca array<double>, y_ca array<double>, status2 string").repartition(4)
+    got = {}
+    found = pairs.superposed(frame)
+    assert found.columns == [*frame.columns, "ca_dist", "status"] and dict(found.dtypes)["ca_dist"] == "float"
+    for r in found.collect():
+        got.setdefault(r.alignment_id, {})[r.k] = (r.status, r.ca_dist)
+    for name, (x, y) in sets.items():
+        status, d = by_svd(x, y)
+        assert {s for s, _ in got[name].values()} == {status}, name
+        if d is None:
+            assert {v for _, v in got[name].values()} == {None}
+        else:
+            assert [got[name][k][1] for k in range(len(d))] == pytest.approx(d, rel=1e-5, abs=2e-5), name
+    assert got["null"][0] == (pairs.NOT_FINITE, None) and len(got[None]) == 4 and got[None][1][0] is None
 
 
 def test_cap_and_mirror(spark):
@@ -104,6 +130,40 @@ def test_smith_waterman():
         assert search.smith_waterman(a, b, m) == plain(a, b, m, 8, 2)
 
 
+def test_bounds_hold():
+    rng = np.random.default_rng(5)
+    left_by_both = 0
+    for _ in range(150):
+        m = rng.integers(-7, 6, (5, 5)) + np.eye(5, dtype=int) * 3
+        a, many = rng.integers(0, 5, rng.integers(1, 25)), [rng.integers(0, 5, rng.integers(0, 25)) for _ in range(6)]
+        count = lambda s: np.bincount(s, minlength=5)
+        exact = search.smith_waterman_many(a, many, m)
+        counts, diagonals = search.count_bounds(np.array([count(a)]), np.array([count(b) for b in many]), m)[0], search.diagonal_bounds(a, many, m)
+        assert (counts >= exact).all() and (diagonals >= exact).all()
+        left_by_both += int(((counts >= 12) & (diagonals >= 12) & (exact < 12)).sum())
+    assert left_by_both < 450  # of 900
+
+
+def test_pairs_below_the_least_score_are_not_aligned(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    text = lambda letters, n: "".join(rng.choice(list(letters), n))
+    seqs = [(f"p{k}", text("AB", 40)) for k in range(6)] + [(f"r{k}", text("CD", 40)) for k in range(6)] + [(f"s{k}", text("ABCDE", 6)) for k in range(6)] + [("none", ""), ("odd", "xyz?"), ("mixed", text("AB", 20) + text("CD", 20))]
+    m = np.where(np.eye(5, dtype=bool), 5, -4)
+    code = {c: k for k, c in enumerate("ABCDE")}
+    read = lambda s: np.array([code[c] for c in s if c in code], dtype=int)
+    want = {(q, t): x for q, a in seqs for t, b in seqs if (x := search.smith_waterman(read(a), read(b), m)) >= 40}
+    rows = spark.createDataFrame(seqs, "sid string, seq string")
+    for block in (4, 256):
+        monkeypatch.setattr(search, "BLOCK", block)
+        assert {(r.query, r.target): r.score for r in search.all_against_all(rows, "ABCDE", m, 40).collect()} == want
+    some = rows.where("sid like 'p%'")
+    assert {(r.query, r.target): r.score for r in search.all_against_all(rows, "ABCDE", m, 40, some).collect()} == {k: v for k, v in want.items() if k[0][0] == "p"}
+    seen = {r.query: r for r in search.screening(rows, "ABCDE", m, 40).collect()}
+    assert len(seen) == len(seqs) and {r.pairs for r in seen.values()} == {len(seqs)}
+    assert seen["s1"].counted == seen["none"].counted == seen["odd"].counted == 0 and seen["p1"].counted <= 7 and all(r.aligned <= r.counted for r in seen.values())
+    assert sum(r.aligned for r in seen.values()) >= len(want)
+
+
 def test_all_against_all(spark):
     rows = spark.createDataFrame([(f"s{k}", "AABBC" * (k % 3 + 1)) for k in range(7)], "sid string, seq string")
     m = np.array([[5, -2, -2], [-2, 5, -2], [-2, -2, 5]])
