@@ -217,18 +217,54 @@ def checked(x: np.ndarray, y: np.ndarray, mean: np.ndarray, std: np.ndarray) ->
 
 
 def batches_by_alignment(alignments: np.ndarray, size: int, least: int, seed: int, epoch: int) -> Iterator[np.ndarray]:
-    """Batches of rows that each span at least `least` alignments, if there are so many, in an order by seed and epoch."""
+    """len // size full batches of rows, in an order by seed and epoch, that span as many alignments as they can.
+
+    Rows stand by alignment, both shuffled, and are dealt to the batches in turn. least: a batch that spans fewer, where there are so
+    many alignments, is an error, as one alignment then has more rows than a batch of this size can avoid.
+    """
     rng = np.random.default_rng([seed, epoch])
     rows = rng.permutation(len(alignments))
-    # Deal rows round robin over alignments: a row's turn is its place within its alignment.
-    by = rows[np.argsort(alignments[rows], kind="stable")]
-    starts = np.flatnonzero(np.concatenate(([True], alignments[by][1:] != alignments[by][:-1])))
-    turn = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
-    order = by[np.lexsort((rng.random(len(by)), turn))]
-    for at in range(0, len(order) - size + 1, size):
-        batch = order[at : at + size]
-        if len(np.unique(alignments[batch])) >= min(least, len(starts)):
-            yield batch
+    names, where = np.unique(alignments, return_inverse=True)
+    by = rows[np.argsort(rng.permutation(len(names))[where[rows]], kind="stable")]
+    batches = len(by) // size
+    for k in range(batches):
+        batch = by[k : batches * size : batches]
+        if len(np.unique(where[batch])) < min(least, len(names)):
+            raise ValueError(f"a batch of {size} rows spans fewer than {least} alignments")
+        yield rng.permutation(batch)
+
+
+def slopes(model: Model, x: np.ndarray, y: np.ndarray, loss: str, gradient: str, commitment: float) -> tuple[float, np.ndarray, list[list[np.ndarray]]]:
+    """A batch's mean loss, its latents, and the gradients of the encoder's and decoder's weights."""
+    z, learned = model.encoder.forward(x), model.codes is not None
+    _, q = model.quantize(z)
+    value, slope = loss_and_slope(model.decoder.forward(q), y, loss)
+    dq, g_dec = model.decoder.backward(slope)
+    dz = rotation_gradient(z, q, dq) if gradient == "rotation" and learned else dq
+    dz = dz + commitment * 2 * (z - q) / z.size if learned else dz * (1 - np.tanh(z) ** 2)
+    _, g_enc = model.encoder.backward(dz)
+    return value, z, [g_enc, g_dec]
+
+
+class Adam:
+    """AdamW with clipped gradients over the weights of nets."""
+
+    def __init__(self, nets: tuple[Mlp, ...], decay: float, clip_norm: float):
+        self.nets, self.decay, self.clip_norm, self.steps = nets, decay, clip_norm, 0
+        self.moments = [[(np.zeros_like(w), np.zeros_like(w)) for w in net.weights] for net in nets]
+
+    def step(self, grads: list[list[np.ndarray]], rate: float) -> None:
+        size = np.sqrt(sum(float((g * g).sum()) for part in grads for g in part))
+        clip, self.steps = min(1.0, self.clip_norm / (size + 1e-6)), self.steps + 1
+        for net, part, moment in zip(self.nets, grads, self.moments):
+            for k, g in enumerate(part):
+                m, v = moment[k]
+                m += 0.1 * (g * clip - m)
+                v += 0.001 * ((g * clip) ** 2 - v)
+                w = net.weights[k]
+                if w.ndim > 1:
+                    w *= 1 - rate * self.decay
+                w -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
 
 
 def train(model: Model, train_xy: tuple[np.ndarray, np.ndarray], val_xy: tuple[np.ndarray, np.ndarray], *, epochs: int = 50, batch: int = 512, lr: float = 1e-3, decay: float = 0.01, loss: str = "smooth_l1", scheduler: str = "none", patience: int = 5, commitment: float = 0.25, gradient: str = "ste", seed: int = 0, clip_norm: float = 1.0, ema_decay: float = 0.99, min_count: float = 1.0, warm_up: int = 500) -> list[dict]:
@@ -239,41 +275,21 @@ def train(model: Model, train_xy: tuple[np.ndarray, np.ndarray], val_xy: tuple[n
     if len(x) < batch:
         raise ValueError(f"{len(x)} rows do not fill a batch of {batch}")
     nets = (model.encoder, model.decoder)
-    moments = [[(np.zeros_like(w), np.zeros_like(w)) for w in net.weights] for net in nets]
+    adam = Adam(nets, decay, clip_norm)
     ema = MovingAverage(model.codes, decay=ema_decay, warm_up=warm_up, dead=min_count, seed=seed, normalize=model.config.get("l2_normalize", True)) if model.codes is not None else None
-    log, best, best_weights, waited, step = [], np.inf, None, 0, 0
+    log, best, best_weights, waited = [], np.inf, None, 0
     for epoch in range(epochs):
         rate = lr * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) if scheduler == "cosine" else 1.0)
         order, losses = np.random.default_rng([seed, epoch]).permutation(len(x)), []
         for at in range(0, len(order) - batch + 1, batch):
             rows = order[at : at + batch]
-            z = model.encoder.forward(x[rows])
             if ema is not None:
                 model.codes = ema.codes
-            _, q = model.quantize(z)
-            value, slope = loss_and_slope(model.decoder.forward(q), y[rows], loss)
-            dq, g_dec = model.decoder.backward(slope)
-            dz = rotation_gradient(z, q, dq) if gradient == "rotation" and ema is not None else dq
-            if ema is not None:
-                dz = dz + commitment * 2 * (z - q) / z.size
-            else:
-                dz = dz * (1 - np.tanh(z) ** 2)
-            _, g_enc = model.encoder.backward(dz)
+            value, z, grads = slopes(model, x[rows], y[rows], loss, gradient, commitment)
             if ema is not None:
                 ema.update(z)
                 model.codes = ema.codes
-            grads = [g_enc, g_dec]
-            size = np.sqrt(sum(float((g * g).sum()) for part in grads for g in part))
-            clip, step = min(1.0, clip_norm / (size + 1e-6)), step + 1
-            for net, part, moment in zip(nets, grads, moments):
-                for k, g in enumerate(part):
-                    m, v = moment[k]
-                    m += 0.1 * (g * clip - m)
-                    v += 0.001 * ((g * clip) ** 2 - v)
-                    w = net.weights[k]
-                    if w.ndim > 1:
-                        w *= 1 - rate * decay
-                    w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            adam.step(grads, rate)
             losses.append(value)
         row = {"epoch": epoch, "train_loss": float(np.mean(losses))} | evaluate(model, vx, vy, batch, loss)
         log.append(row)

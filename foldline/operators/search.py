@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldline.functions import hierarchy
+from foldline.operators.ranks import numbered
+from foldline.sources.scratch import shared_folder
 
 GAP_OPEN, GAP_EXTEND, LEAST_SCORE = 8, 2, 50
 #: What the seeds' sensitivities (family, superfamily, fold) are divided by.
@@ -169,10 +171,16 @@ def screening(sequences: DataFrame, letters: str, matrix: np.ndarray, least: int
 
 
 def class_sizes(lookup: DataFrame) -> DataFrame:
-    """sid, fam, sfam, fold and the number of ids in each."""
+    """sid, fam, sfam, fold and the number of ids in each; ids without a class count together.
+
+    One rollup, combined before its shuffle, gives the sizes of all levels; there is a row of them for each class, and ids meet theirs by a join.
+    """
     rows = lookup.select("sid", F.col("class").alias("fam"), hierarchy.parent("class").alias("sfam")).withColumn("fold", hierarchy.parent("sfam"))
-    size = lambda c: F.count("*").over(Window.partitionBy(c))
-    return rows.withColumns({"fam_count": size("fam"), "sfam_count": size("sfam"), "fold_count": size("fold")})
+    sizes = rows.rollup("fold", "sfam", "fam").agg(F.count("*").alias("n"), F.grouping_id().alias("without"))
+    at = lambda name, without: sizes.where(F.col("without") == without).select(F.col(name).alias(f"_{name}"), F.col("n").alias(f"{name}_count"))
+    fams = sizes.where("without = 0").select(F.col("fam").alias("_of"), F.col("sfam").alias("_in"), F.col("fold").alias("_within"), F.col("n").alias("fam_count"))
+    fams = fams.join(at("sfam", 1), F.col("_in").eqNullSafe(F.col("_sfam"))).join(at("fold", 3), F.col("_within").eqNullSafe(F.col("_fold")))
+    return rows.join(fams, F.col("fam").eqNullSafe(F.col("_of"))).select("sid", "fam", "sfam", "fold", "fam_count", "sfam_count", "fold_count")
 
 
 def first_fp_hits(hits: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -279,11 +287,11 @@ def best_seed(runs: DataFrame) -> DataFrame:
     return runs.withColumn("score", seed_score(F.col("fam"), F.col("sfam"), F.col("fold"))).orderBy(F.desc("score"), "seed").limit(1)
 
 
-def curve(rows: DataFrame, column: str, key: str = "query") -> DataFrame:
-    """Points of the empirical curve: share of queries (x) with at least so much (y, at most 1)."""
-    ranked = rows.select(F.row_number().over(Window.orderBy(F.desc(column), key)).alias("rank"), F.col(column).alias("v"))
-    n = rows.agg(F.count("*").alias("n"))
-    return ranked.crossJoin(F.broadcast(n)).select("rank", (F.col("rank") / F.col("n")).alias("x"), F.least("v", F.lit(1.0)).alias("y"))
+def curve(rows: DataFrame, column: str, key: str = "query", folder: str | None = None) -> DataFrame:
+    """Points of the empirical curve: share of queries (x) with at least so much (y, at most 1). Ranks come from ranges, by any number of tasks."""
+    ranked = numbered(rows.select(key, F.col(column).alias("v")), [F.desc("v"), F.col(key)], folder or shared_folder(rows.sparkSession, "curve"), "place")
+    rank = (F.col("place") + 1).cast("int")
+    return ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n")))).select(rank.alias("rank"), (rank / F.col("n")).alias("x"), F.least("v", F.lit(1.0)).alias("y"))
 
 
 def fold_curves(points: DataFrame, weights: DataFrame, steps: int = 100) -> DataFrame:

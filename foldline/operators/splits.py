@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldline.functions import hierarchy
+from foldline.operators.ranks import numbered
+from foldline.sources.scratch import shared_folder
 
 LEVELS = ("fold", "superfamily", "family", "pdb")
 
@@ -27,12 +29,12 @@ def hash_order(group: str | Column, seed: int) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), group), 256)
 
 
-def split_by_hash(rows: DataFrame, share: float, seed: int) -> DataFrame:
-    """rows (sid, group_id) with split: the first int(n * share) groups in hash order are val."""
-    distinct = rows.select("group_id").distinct()
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    ranked = distinct.withColumns({"place": F.row_number().over(Window.orderBy(hash_order("group_id", seed))), "n": n})
-    named = ranked.select("group_id", F.when(F.col("place") <= F.floor(F.col("n") * share), "val").otherwise("train").alias("split"))
+def split_by_hash(rows: DataFrame, share: float, seed: int, folder: str | None = None) -> DataFrame:
+    """rows (sid, group_id) with split: the first int(n * share) groups in hash order are val. Groups are placed in ranges, by any number of tasks."""
+    order = [hash_order("group_id", seed), F.col("group_id")]
+    ranked = numbered(rows.select("group_id").distinct(), order, folder or shared_folder(rows.sparkSession, "groups"), "place")
+    val = int(ranked.count() * share)
+    named = ranked.select("group_id", F.when(F.col("place") < val, "val").otherwise("train").alias("split"))
     return rows.join(named, "group_id").select("sid", "group_id", "split")
 
 
@@ -45,9 +47,13 @@ def split_by_shuffle(rows: DataFrame, share: float, seed: int) -> DataFrame:
     return rows.join(named, "group_id").select("sid", "group_id", "split")
 
 
-def fold_chunks(folds: DataFrame, k: int, order: Column) -> DataFrame:
-    """fold, fold_id (from 1): k runs of folds in the given order, the first ones longer by the remainder."""
-    return folds.select("fold", F.ntile(k).over(Window.orderBy(order)).alias("fold_id"))
+def fold_chunks(folds: DataFrame, k: int, order: Column, folder: str | None = None) -> DataFrame:
+    """fold, fold_id (from 1): k runs of folds in the given order, the first ones longer by the remainder; ties in it go by fold."""
+    placed = numbered(folds.select("fold"), [order, F.col("fold")], folder or shared_folder(folds.sparkSession, "chunks"), "place")
+    size, rest = divmod(placed.count(), k)
+    longer = rest * (size + 1)
+    chunk = F.when(F.col("place") < longer, F.floor(F.col("place") / (size + 1))).otherwise(rest + F.floor((F.col("place") - longer) / max(size, 1)))
+    return placed.select("fold", (chunk + 1).cast("int").alias("fold_id"))
 
 
 def shuffled_chunks(folds: list[str], k: int, seed: int) -> list[list[str]]:

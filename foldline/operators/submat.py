@@ -19,16 +19,17 @@ def aligned_letters(alignments: DataFrame, sequences: DataFrame) -> DataFrame:
     rows = alignments.select("alignment_id", "sid1", "sid2", cigar.runs("cigar").alias("runs")).where("size(runs) > 0").join(s1, "sid1").join(s2, "sid2").where("seq1 <> '' and seq2 <> ''")
     runs = rows.select("alignment_id", "seq1", "seq2", "runs", F.posexplode("runs").alias("at", "r"))
     before = F.when(F.col("at") > 0, F.get("runs", F.col("at") - 1))
-    runs = runs.select("alignment_id", "seq1", "seq2", "r.k", "r.i", "r.j", "r.n", *((before[c] + before["n"] - 1).alias(f"{c}_before") for c in "ij"))
+    # Of each sequence only the run's letters go on, after the one before them (a blank where there is none).
+    part = lambda s, k: F.expr(f"concat(if(r.{k} > 0 and r.{k} <= char_length({s}), substring({s}, cast(r.{k} as int), 1), ' '), substring({s}, cast(r.{k} + 1 as int), cast(r.n as int)))")
+    runs = runs.select("alignment_id", part("seq1", "i").alias("part1"), part("seq2", "j").alias("part2"), "r.k", "r.i", "r.j", "r.n", *((before[c] + before["n"] - 1).alias(f"{c}_before") for c in "ij"))
     pairs = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("t"))
     at = lambda c: F.col(c) + F.col("t")
     previous = lambda c: F.when(F.col("t") > 0, at(c) - 1).otherwise(F.col(f"{c}_before"))
-    pairs = pairs.select("alignment_id", "seq1", "seq2", at("k").alias("k"), at("i").alias("i"), at("j").alias("j"), previous("i").alias("i_prev"), previous("j").alias("j_prev"))
-    letter = lambda s, k: F.when((F.col(k) >= 0) & (F.col(k) < F.char_length(s)), F.substring(s, (F.col(k) + 1).cast("int"), F.lit(1)))
+    pairs = pairs.select("alignment_id", "part1", "part2", "t", at("k").alias("k"), at("i").alias("i"), at("j").alias("j"), previous("i").alias("i_prev"), previous("j").alias("j_prev"))
+    letter = lambda s, less: F.nullif(F.substring(s, (F.col("t") + 2 - less).cast("int"), F.lit(1)), F.lit(""))
     return pairs.select(
-        "alignment_id", "k", "i", "j", "i_prev", "j_prev", letter("seq1", "i").alias("a"), letter("seq2", "j").alias("b"),
-        F.when(F.col("i_prev") == F.col("i") - 1, F.expr("substring(seq1, cast(i as int), 1)")).alias("a_prev"),
-        F.when(F.col("j_prev") == F.col("j") - 1, F.expr("substring(seq2, cast(j as int), 1)")).alias("b_prev"),
+        "alignment_id", "k", "i", "j", "i_prev", "j_prev", letter("part1", 0).alias("a"), letter("part2", 0).alias("b"),
+        F.when(F.col("i_prev") == F.col("i") - 1, letter("part1", 1)).alias("a_prev"), F.when(F.col("j_prev") == F.col("j") - 1, letter("part2", 1)).alias("b_prev"),
     )
 
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldline import facade
 from foldline.functions import cigar, geometry, hierarchy, quantize
-from foldline.operators import neighbors, pairs, search, splits, stats, submat
+from foldline.operators import batches, neighbors, pairs, search, splits, stats, submat
 from foldline.plans import inputs
 from foldline.plans.inputs import ALIGNMENTS, CHAINS, CLASSES, EVENT_PAIRS, SEQUENCES, STATES, USER_ALIGNMENTS, table
+from foldline.sources import writers
+from foldline.sources.scratch import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +70,13 @@ def scop_levels(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.classes(spark, sf).select("sid", "class", hierarchy.fold("class").alias("fold"), hierarchy.superfamily("class").alias("superfamily"), hierarchy.family("class").alias("family"), hierarchy.parent("class").alias("parent"))
 
 
+@oracle(ORACLES["scop_levels"])
+def scop_levels_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """scop_levels from SQL text, by the functions that facade.register() defines."""
+    facade.register(spark)
+    return spark.sql("SELECT sid, class, class_fold(class) AS fold, class_superfamily(class) AS superfamily, class_family(class) AS family, class_parent(class) AS parent FROM {classes}", classes=inputs.classes(spark, sf))
+
+
 @oracle(f"""WITH {CLASSES}, p AS (SELECT string_split(class, '.') AS s FROM classes)
 SELECT coalesce(CASE WHEN len(s) >= 3 THEN array_to_string(s[1:3], '.') END, 'UNKNOWN') AS level, count(*) AS n FROM p GROUP BY 1""")
 def class_level_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,6 +277,20 @@ def approx_cb(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("chain", "idx", *(r6(c).alias(f"cb_{d}") for c, d in zip(v, "xyz")))
 
 
+@oracle(f"""WITH {CHAINS}, o AS (SELECT chain, idx, ca_x, ca_y, ca_z, cb_x, cb_y, cb_z, {", ".join(f"cb_{d} - ca_{d} AS v_{d}, n_{d} - ca_{d} AS m_{d}" for d in "xyz")} FROM chains),
+x AS (SELECT *, {", ".join(f"{e} AS k_{d}" for d, e in _cross("v", "m").items())} FROM o)
+SELECT chain, idx, round(sqrt({_dot("v", "v")}), 6) AS cb_length, round({_dot("v", "m")}, 6) + 0.0 AS cb_n, round(sqrt({_dot("k", "k")}), 6) AS area, round(v_x / nullif(sqrt({_dot("v", "v")}), 0), 6) + 0.0 AS unit_x, round(sign(v_y) * ln(abs(v_y) + 1), 6) + 0.0 AS log_y FROM x""")
+def vector_functions_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Vector functions from SQL text; they are expanded into the plan."""
+    facade.register(spark)
+    return spark.sql(
+        """WITH o AS (SELECT chain, idx, vector_sub(cb, ca) AS v, vector_sub(n, ca) AS m, vector_distance(cb, ca) AS d FROM {chains})
+        SELECT chain, idx, round(d, 6) AS cb_length, round(vector_dot(v, m), 6) + 0.0D AS cb_n, round(vector_norm(vector_cross(v, m)), 6) AS area,
+          round(vector_unit(v)[0], 6) + 0.0D AS unit_x, round(signed_log(v[1]), 6) + 0.0D AS log_y FROM o""",
+        chains=inputs.chains(spark, sf),
+    )
+
+
 VIRTUAL = (270.0, 30.0, 2.0)
 
 
@@ -535,6 +559,16 @@ def cap_seed(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.alignments(spark, sf).select("alignment_id", pairs.cap_seed(F.col("sid1"), F.col("sid2"), F.col("cigar"), 42).alias("cap_seed"))
 
 
+BATCH = 64
+
+
+@oracle(f"""WITH {ALIGNMENTS}, o AS (SELECT alignment_id, row_number() OVER (ORDER BY sha256('11:2:' || alignment_id), alignment_id, sha256(concat_ws(':', 11, 2, alignment_id, k)), k) - 1 AS place, count(*) OVER () // {BATCH} AS batches FROM pairs)
+SELECT place % batches AS batch, count(*) AS rows, count(DISTINCT alignment_id) AS alignments FROM o WHERE place < batches * {BATCH} GROUP BY 1""")
+def batch_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every batch of an epoch over all residue pairs, with the alignments that it spans."""
+    return batches.spans(batches.batch_plan(pairs.expand(inputs.alignments(spark, sf)).select("alignment_id", "k"), BATCH, seed=11, epoch=2))
+
+
 # ---- models
 
 def _sw_matrix(spark: SparkSession, sf: str):
@@ -568,6 +602,16 @@ def sw_scores(spark: SparkSession, sf: str) -> DataFrame:
     return search.all_against_all(sequences, "".join(STATES), _sw_matrix(spark, sf), LEAST, sequences.where("cast(substring(sid, 2) as bigint) % 100 = 0"))
 
 
+@oracle(f"""{SW_SCORES.rsplit("SELECT query", 1)[0].rstrip()}, hits AS (SELECT query, target, score FROM scored WHERE score >= {LEAST}), {CLASSES}, lookup AS (SELECT sid, class FROM classes),
+{HITS.split("WHERE q.vec_id % 100 = 0),", 1)[1].split("sens AS", 1)[0].rstrip().rstrip(",")}
+SELECT * FROM found""")
+def hits_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits up to the first false positive, from a hits table that a search has written, best first: the alignment scores, under the parts' classes."""
+    path = shared_folder(spark, "hits")
+    writers.table(sw_scores(spark, sf).repartitionByRange("query", F.desc("score"), "target").sortWithinPartitions("query", F.desc("score"), "target"), path)
+    return search.first_fp_hits(spark.read.parquet(path), inputs.classes(spark, sf))
+
+
 _times = lambda s: "[" + ", ".join(f"len(list_filter({s}, lambda c: c = {k}))" for k in range(1, 6)) + "]"
 _most = lambda own, other, cell: f"list_sum(list_transform(range(1, 6), lambda k: {own}[k] * list_max(list_transform(range(1, 6), lambda o: CASE WHEN {other}[o] > 0 THEN greatest(0, {cell}) ELSE 0 END))))"
 _half = "list_sum(list_transform(range(1, 6), lambda k: (ca[k] + cb[k]) * list_max(list_transform(range(1, 6), lambda o: greatest(0, m[k][o]))) / 2))"

@@ -311,3 +311,14 @@ def superposition_status(spark: SparkSession, sf: str) -> DataFrame:
     """Which alignments can be superposed: of too few pairs, none."""
     rows = pairs.superposed(catalog._chain_pairs(spark, sf).where("k < chain1 or chain1 > 4"))
     return rows.groupBy("chain1").agg(F.first("status").alias("status"), F.count("*").alias("n_pairs"))
+
+
+@oracle("""SELECT 'all' AS run, o_orderstatus AS fold, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY 2
+UNION ALL SELECT 'open', o_orderstatus, count(*), CAST(sum(o_custkey) AS BIGINT) FROM orders WHERE o_orderstatus = 'O' GROUP BY 2""")
+def append_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log that runs append their figures to: a run that is repeated replaces its own rows, so that one copy is left."""
+    path, orders = shared_folder(spark, "log"), table(spark, sf, "orders")
+    figures = lambda rows: rows.groupBy(F.col("o_orderstatus").alias("fold")).agg(F.count("*").alias("n"), F.sum("o_custkey").cast("long").alias("total"))
+    for run, rows in (("all", orders.where("o_custkey % 2 = 0")), ("open", orders.where("o_orderstatus = 'O'")), ("all", orders), ("all", orders)):
+        writers.append_run(figures(rows), run, path)
+    return spark.read.schema("fold string, n long, total long, run string").parquet(path).select("run", "fold", "n", "total")

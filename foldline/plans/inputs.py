@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldline.operators.ranks import numbered
+from foldline.sources.scratch import shared_folder
+
 STATES = ["A", "B", "C", "D", "E"]
 
 
@@ -76,10 +79,8 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aligned_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alignments with sid1 and sid2 dealt onto all users: the order's and the part's number modulo the users, in order of user_id."""
     users = table(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").cast("long").alias("user_id")).distinct()
-    # Places by a sort in ranges and a count of each range, so that no task sees all users.
-    places = users.orderBy("user_id").rdd.map(lambda r: r[0]).zipWithIndex()
-    places = spark.createDataFrame(places, "user_id long, place long").select(F.concat(F.lit("d"), "user_id").alias("sid"), "place")
-    n = users.agg(F.count("*").alias("n"))
+    places = numbered(users, [F.col("user_id")], shared_folder(spark, "users"), "place").select(F.concat(F.lit("d"), "user_id").alias("sid"), "place")
+    n = places.agg(F.count("*").alias("n"))
     key = F.split("alignment_id", ":")
     rows = alignments(spark, sf_dir).select("alignment_id", "cigar", F.get(key, F.lit(1)).cast("long").alias("order"), F.get(key, F.lit(3)).cast("long").alias("part"))
     rows = rows.crossJoin(F.broadcast(n)).where("n > 0").withColumns({"p1": F.col("order") % F.col("n"), "p2": F.col("part") % F.col("n")})

@@ -41,6 +41,12 @@ def tsv(rows: DataFrame, path: str) -> None:
         out.writerows(rows.toLocalIterator())
 
 
+def append_run(rows: DataFrame, run: str, path: str) -> None:
+    """Adds rows to the log at path under the name of their run; a run that is there already is replaced, others stay."""
+    named = rows.withColumn("run", F.lit(run))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("run").parquet(path)
+
+
 def json_file(value: dict, path: str) -> None:
     """Strict JSON: NaN is an error."""
     with open(path, "w") as f:
