@@ -12,7 +12,7 @@ from foldline.operators.network import Mlp, Model, encode_states
 from foldline.plans import alphabet, catalog, dataset, inputs
 from foldline.plans.catalog import DESCRIPTORS, EVENT_PAIRS, LEVELS, oracle
 from foldline.plans.inputs import ALIGNMENTS, CHAINS, CLASSES, SEQUENCES, table
-from foldline.sources import readers, writers
+from foldline.sources import archives, arrayfiles, readers, writers
 from foldline.sources.scratch import shared_folder
 
 
@@ -322,3 +322,28 @@ def append_log(spark: SparkSession, sf: str) -> DataFrame:
     for run, rows in (("all", orders.where("o_custkey % 2 = 0")), ("open", orders.where("o_orderstatus = 'O'")), ("all", orders), ("all", orders)):
         writers.append_run(figures(rows), run, path)
     return spark.read.schema("fold string, n long, total long, run string").parquet(path).select("run", "fold", "n", "total")
+
+
+# ---- arrays and archives
+
+@oracle(f"""SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row, {", ".join(f"embedding[{k + 1}]::DOUBLE + 0.0 AS x{k}" for k in range(catalog.WIDTH))}, embedding[{catalog.WIDTH}]::DOUBLE + 0.0 AS y0 FROM embeddings WHERE embedding IS NOT NULL""")
+def array_files_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors in order of their ids as the rows of one array file, and turned round as those of another, read together."""
+    rows, folder = table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", "embedding"), shared_folder(spark, "arrays")
+    writers.made_folder(folder)
+    order = [F.col("vec_id"), F.col("embedding")]
+    arrayfiles.write_array(rows, "embedding", order, f"{folder}/x.npy")
+    arrayfiles.write_array(rows.withColumn("turned", F.reverse("embedding")), "turned", order, f"{folder}/y.npy")
+    found = arrayfiles.array_rows(spark, {c: f"{folder}/{c}.npy" for c in "xy"})
+    return found.select("row", *((F.get("x", F.lit(k)) + 0.0).alias(f"x{k}") for k in range(catalog.WIDTH)), (F.get("y", F.lit(0)) + 0.0).alias("y0"))
+
+
+@oracle("""SELECT concat(coalesce(lang, 'none'), '/', coalesce(doc_id::VARCHAR, 'none'), '.txt') AS member, octet_length(encode(coalesce(text, ''))) AS size, sha256(coalesce(text, '')) AS sha256 FROM documents""")
+def archive_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as members of archives, plain ones and compressed ones, read back by their members."""
+    folder = shared_folder(spark, "archives")
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.coalesce(_s("doc_id"), F.lit("none")), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
+    squeezed = F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False))
+    archives.write_archives(rows.where(~squeezed), f"{folder}/plain")
+    archives.write_archives(rows.where(squeezed), f"{folder}/squeezed", compressed=True)
+    return archives.members(spark, f"{folder}/*").select("member", "size", F.sha2("content", 256).alias("sha256"))

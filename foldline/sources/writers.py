@@ -12,6 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldline.sources.arrayfiles import write_array
+from foldline.sources.opened import place
+
 ARTEFACTS = ("descriptors", "examples", "pair_metadata", "structures", "skipped_alignments.tsv", "report.json", "report.md", "manifest.json", "DATACARD.md", "scaler.json")
 
 
@@ -41,6 +44,12 @@ def tsv(rows: DataFrame, path: str) -> None:
         out.writerows(rows.toLocalIterator())
 
 
+def made_folder(folder: str) -> None:
+    """Makes a folder, given by a path or a URI, and those above it."""
+    system, at = place(folder)
+    system.create_dir(at, recursive=True)
+
+
 def append_run(rows: DataFrame, run: str, path: str) -> None:
     """Adds rows to the log at path under the name of their run; a run that is there already is replaced, others stay."""
     named = rows.withColumn("run", F.lit(run))
@@ -101,12 +110,11 @@ def fold_files(folds: list[list[str]], folder: str) -> None:
 
 
 def arrays(examples: DataFrame, folder: str) -> None:
-    """{split}_{x,y}_raw.npy on the driver from examples (split, alignment_id, dir, k, x, y), forward rows of an alignment before mirrored ones."""
+    """{split}_{x,y}_raw.npy from examples (split, alignment_id, dir, k, x, y), forward rows of an alignment before mirrored ones; written by the tasks."""
+    keys = ("alignment_id", "dir", "k")
     for split in ("train", "val"):
-        found = examples.where(F.col("split") == split).orderBy("alignment_id", "dir", "k").select("x", "y").toArrow()
         for name in ("x", "y"):
-            column = found[name].combine_chunks()
-            np.save(f"{folder}/{split}_{name}_raw.npy", column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1))
+            write_array(examples.where(F.col("split") == split).select(*keys, name), name, [F.col(c) for c in keys], f"{folder}/{split}_{name}_raw.npy")
 
 
 def file_hash(path: str) -> str:
