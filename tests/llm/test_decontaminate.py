@@ -5,14 +5,23 @@ from foldline.llm.decontaminate import candidates, contained_items, without_item
 
 
 def brute(docs, items, n, percent):
-    def shingles(text):
-        w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
-        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    def tokens(text):
+        return [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+
+    def runs(text, m):
+        w = tokens(text)
+        return {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
+
+    def whole_or_runs(text):
+        return runs(text, min(n, len(tokens(text)))) if tokens(text) else set()
 
     d = {}
     for k, t in docs:
-        d.setdefault(k, set()).update(shingles(t))
-    b = {k: shingles(t) for k, t in items}
+        for m in range(1, n + 1):
+            d.setdefault(k, set()).update(runs(t, m))
+    b = {}
+    for k, t in items:
+        b.setdefault(k, set()).update(whole_or_runs(t))
     return {(x, y, len(d[x] & b[y]), len(b[y])) for x in d if x is not None for y in b if b[y] and 100 * len(d[x] & b[y]) >= percent * len(b[y])}
 
 
@@ -58,3 +67,23 @@ def test_null_ids_and_long_texts(spark):
     b = spark.createDataFrame([(9, item), (None, item)], "item_id long, text string")
     assert [tuple(r) for r in contained_items(d, b).collect()] == [(1, 9, 3, 3)]
     assert {r.doc_id for r in without_items(d, b).collect()} == {None, 2, 3}
+
+
+def test_items_of_few_words(spark):
+    """Items below five words are found where their words stand in a row, and nowhere else; an id's short and long texts count together."""
+    items = [(1, "Zeta"), (2, "one two"), (3, "p q r s"), (4, "one two three four five"), (5, "..."), (6, "u v"), (6, "k1 k2 k3 k4 k5 k6 k7 k8"), (-7, "neg id")]
+    docs = [(10, "a zeta b"), (11, "two one"), (12, "x one, two three"), (13, "p q r"), (14, "P q R s"), (15, "zetas"), (16, "one two three four five"), (17, "u v"), (18, "u v - k1 k2 k3 k4 k5 k6 k7 k8"), (-19, "neg id"), (20, "s"), (20, "zeta")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items, 5, 80)
+    assert {tuple(r) for r in contained_items(d, b).collect()} == want
+    assert {(x, y) for x, y, _, _ in want} == {(10, 1), (12, 2), (14, 3), (16, 2), (16, 4), (18, 6), (-19, -7), (20, 1)}
+
+
+def test_a_document_that_holds_many_items(spark):
+    """A long document meets its items' shingles, not each item with all its shingles."""
+    rng = random.Random(5)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(300)]
+    docs = [(1, " ".join(t for _, t in items)), (2, " ".join(rng.choice(items)[1][:40] for _ in range(50))), (3, items[7][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in contained_items(d, b).collect()} == brute(docs, items, 5, 80)
