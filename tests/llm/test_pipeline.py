@@ -53,7 +53,7 @@ def test_stages(spark, tmp_path):
 def test_tables(spark):
     sf = "/root/testdata/sf0.001"
     assert corpus_pipeline.run(spark, sf).count() > 100
-    assert {f"op{k}" for k in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{k}" for k in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
 
 
 def test_clashing_names_nulls_and_repeats(spark, tmp_path):
