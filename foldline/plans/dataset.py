@@ -132,7 +132,7 @@ def build(spark: SparkSession, settings: Settings, force: bool = False) -> dict:
     writers.table(rows, f"{out}/examples", partition="split")
     rows = spark.read.parquet(f"{out}/examples")
     per = per.cache()
-    writers.tsv(per.where("error is not null").select("split", "source_row", "sid1", "sid2", "cigar", "error_type", "error").orderBy("split", "sid1", "sid2", "cigar", "source_row"), f"{out}/skipped_alignments.tsv")
+    writers.tsv(per.where("error is not null").select("split", "source_row", "sid1", "sid2", "cigar", "error_type", "error"), [F.col(c) for c in ("split", "sid1", "sid2", "cigar", "source_row")], f"{out}/skipped_alignments.tsv")
     meta = pairs.pair_metadata(rows.select("split", "alignment_id", "sid1", "sid2", "i", "j", "ca_dist_raw", "ca_dist"), lookup)
     writers.table(meta.join(both.select("alignment_id", "split"), "alignment_id"), f"{out}/pair_metadata", partition="split")
     meta = spark.read.parquet(f"{out}/pair_metadata")

@@ -16,6 +16,7 @@ from foldline.operators import search
 from foldline.plans import alphabet, dataset, reporting
 from foldline.plans.settings import Settings
 from foldline.sources import readers
+from foldline.sources.textfiles import write_lines
 
 
 def changed(base: Settings, **values) -> Settings:
@@ -66,9 +67,8 @@ def cross_validate(spark: SparkSession, data: Settings, train: Settings, pairfil
         os.makedirs(folder, exist_ok=True)
         for side, listed in (("train", F.col("fold_id") != k), ("val", F.col("fold_id") == k)):
             files[side] = f"{folder}/{side}_pairs.out"
-            kept = readers.both_listed(rows, known.where(listed)).orderBy("sid1", "sid2", "cigar", "source_row")
-            with open(files[side], "w") as f:
-                f.writelines(f"{r['sid1']} {r['sid2']} {r['cigar']}\n" for r in kept.toLocalIterator())
+            kept = readers.both_listed(rows, known.where(listed))
+            write_lines(kept, F.concat_ws(" ", "sid1", "sid2", "cigar"), [F.col(c) for c in ("sid1", "sid2", "cigar", "source_row")], files[side])
         dataset.build(spark, changed(data, dataset__train_pairfile=files["train"], dataset__val_pairfile=files["val"], outputs__out_dir=f"{folder}/data"))
         report = run(spark, changed(train, data__processed_dir=f"{folder}/data", outputs__out_dir=f"{folder}/model"), data.dataset.pdb_dir, files["val"])
         found.append((k, report["mi"], report["mi_tot"]))

@@ -14,6 +14,7 @@ from foldline.plans.catalog import DESCRIPTORS, EVENT_PAIRS, LEVELS, oracle
 from foldline.plans.inputs import ALIGNMENTS, CHAINS, CLASSES, SEQUENCES, table
 from foldline.sources import archives, arrayfiles, readers, writers
 from foldline.sources.scratch import shared_folder
+from foldline.sources.textfiles import write_lines
 
 
 def _s(c: str | Column) -> Column:
@@ -22,8 +23,8 @@ def _s(c: str | Column) -> Column:
 
 def _customer_lines(spark: SparkSession, sf: str, value: Column) -> str:
     """One file with a line for each customer in order of c_custkey; a file's lines are numbered, so it's one file."""
-    path = shared_folder(spark, "lines")
-    table(spark, sf, "customer").orderBy("c_custkey").select(value.alias("value")).coalesce(1).write.text(path)
+    path = f"{shared_folder(spark, 'lines')}/lines.txt"
+    write_lines(table(spark, sf, "customer").select("c_custkey", value.alias("value")), F.col("value"), [F.col("c_custkey")], path)
     return path
 
 
@@ -76,8 +77,8 @@ def id_list_read(spark: SparkSession, sf: str) -> DataFrame:
 @oracle(f"WITH {SEQUENCES} SELECT sid, seq FROM sequences")
 def sequences_read(spark: SparkSession, sf: str) -> DataFrame:
     """A file of sequences, written and read."""
-    path = shared_folder(spark, "sequences")
-    inputs.sequences(spark, sf).select(F.concat_ws(" ", "sid", "seq").alias("value")).write.text(path)
+    path = f"{shared_folder(spark, 'sequences')}/sequences.txt"
+    writers.sequences(inputs.sequences(spark, sf), path)
     return readers.sequences(spark, path)
 
 
@@ -88,9 +89,8 @@ SELECT x.c AS a, y.c AS b, coalesce(CAST(round_even(2 * log2(p / (pa * pb)), 0)
 @oracle(f"WITH {SCORES}")
 def matrix_read(spark: SparkSession, sf: str) -> DataFrame:
     """The substitution matrix with a row and column for the invalid letter, as text with cells of four characters, read back."""
-    path = shared_folder(spark, "matrix")
-    lines = submat.matrix_lines(writers.with_invalid_letter(catalog.substitution_matrix(spark, sf)))
-    lines.orderBy("line_no").select("value").coalesce(1).write.text(path)
+    path = f"{shared_folder(spark, 'matrix')}/matrix.txt"
+    writers.matrix(writers.with_invalid_letter(catalog.substitution_matrix(spark, sf)), path)
     return readers.matrix(spark, path)
 
 
@@ -103,6 +103,14 @@ def fasta_read(spark: SparkSession, sf: str) -> DataFrame:
     return lines.agg(F.count_if(F.col("value").startswith(">")).alias("n_records"), F.count("*").alias("n_lines"), F.sum(F.when(~F.col("value").startswith(">"), F.length("value")).otherwise(0)).alias("n_letters"))
 
 
+@oracle(f"WITH {SEQUENCES} SELECT sid, seq FROM sequences")
+def fasta_records_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequence records dealt over files and read back whole."""
+    path = shared_folder(spark, "fasta")
+    writers.fasta(inputs.sequences(spark, sf), path)
+    return readers.fasta(spark, path)
+
+
 @oracle("""WITH g AS (SELECT 'd' || c_custkey AS sid, 'g' || c_nationkey AS group_id FROM customer), o AS (SELECT group_id, row_number() OVER (ORDER BY sha256('42:' || group_id)) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM g))
 SELECT sid AS structure_id, group_id, CASE WHEN place <= floor(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM g JOIN o USING (group_id)""")
 def split_manifests_read(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,9 +154,9 @@ def _errors(spark: SparkSession, sf: str) -> DataFrame:
 @oracle(f"WITH {ERRORS} SELECT alignment_id, sid1, sid2, cigar, 'FileNotFoundError' AS error_type, error FROM errors WHERE error IS NOT NULL")
 def skipped_read(spark: SparkSession, sf: str) -> DataFrame:
     """Alignments that lack a structure, written as a table of tabs and read back."""
-    path = shared_folder(spark, "skipped")
+    path = f"{shared_folder(spark, 'skipped')}/skipped.tsv"
     names = ["alignment_id", "sid1", "sid2", "cigar", "error_type", "error"]
-    _errors(spark, sf).where("error is not null").select(*names).write.option("sep", "\t").option("header", True).csv(path)
+    writers.tsv(_errors(spark, sf).where("error is not null").select(*names), [F.col(c) for c in ("sid1", "sid2", "cigar", "alignment_id")], path)
     return spark.read.option("sep", "\t").option("header", True).schema(", ".join(f"{c} string" for c in names)).csv(path)
 
 

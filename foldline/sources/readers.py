@@ -66,6 +66,13 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.element_at("t", 1).alias("sid")).agg(F.max_by(F.element_at("t", 2), "source_row").alias("seq"))
 
 
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """sid, seq of every record of one or more files: the name line's first word, and the lines below it as one; a file is read in its splits."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("value <> ''")
+    name, body = F.regexp_extract("value", r"^[^\n]*", 0), F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1)
+    return records.select(F.element_at(line_tokens(name), 1).alias("sid"), F.regexp_replace(body, r"\s+", "").alias("seq"))
+
+
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """a, b, score of a matrix in text: a line of letters, then a letter and its scores; # lines are left out. Letters keep their case."""
     rows = numbered_lines(spark, path).where(r"value rlike '\\S' and not value rlike '^#'").select("source_row", line_tokens("value").alias("t"))

@@ -1,19 +1,19 @@
-"""Writers: tables, reports, manifests, sequences, matrices, splits. Small text goes to the driver's disk; tables stay distributed."""
+"""Writers: tables, reports, manifests, sequences, matrices, splits. Reports go to the driver's disk; tables and text of any length are written by many tasks."""
 
 from __future__ import annotations
 
-import csv
 import hashlib
 import json
 import os
 import subprocess
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldline.sources.arrayfiles import write_array
 from foldline.sources.opened import place
+from foldline.sources.textfiles import write_lines
 
 ARTEFACTS = ("descriptors", "examples", "pair_metadata", "structures", "skipped_alignments.tsv", "report.json", "report.md", "manifest.json", "DATACARD.md", "scaler.json")
 
@@ -36,12 +36,10 @@ def table(rows: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def tsv(rows: DataFrame, path: str) -> None:
-    """One file with a header, written row by row; with no rows, the header alone."""
-    with open(path, "w", newline="") as f:
-        out = csv.writer(f, delimiter="\t", lineterminator="\n")
-        out.writerow(rows.columns)
-        out.writerows(rows.toLocalIterator())
+def tsv(rows: DataFrame, order: list[Column], path: str) -> None:
+    """One file of tabs with a header, in the order given; with no rows, the header alone. Nulls are empty; fields with tabs, quotes or line ends are quoted."""
+    options = {"sep": "\t", "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    write_lines(rows, F.to_csv(F.struct(*rows.columns), options), order, path, "\t".join(rows.columns))
 
 
 def made_folder(folder: str) -> None:
@@ -63,16 +61,9 @@ def json_file(value: dict, path: str) -> None:
         f.write("\n")
 
 
-def text_lines(rows: DataFrame, column: str, path: str) -> None:
-    """Lines of a frame that is in order already, streamed to one file."""
-    with open(path, "w") as f:
-        for r in rows.select(column).toLocalIterator():
-            f.write(r[0] + "\n")
-
-
 def sequences(rows: DataFrame, path: str) -> None:
     """sid and seq, sorted by sid."""
-    text_lines(rows.orderBy("sid").select(F.concat_ws(" ", "sid", "seq").alias("v")), "v", path)
+    write_lines(rows, F.concat_ws(" ", "sid", "seq"), [F.col("sid")], path)
 
 
 def fasta(rows: DataFrame, path: str, parts: int = 30) -> None:
@@ -83,7 +74,7 @@ def fasta(rows: DataFrame, path: str, parts: int = 30) -> None:
 def matrix(scores: DataFrame, path: str) -> None:
     from foldline.operators.submat import matrix_lines
 
-    text_lines(matrix_lines(scores).orderBy("line_no"), "value", path)
+    write_lines(matrix_lines(scores), F.col("value"), [F.col("line_no")], path)
 
 
 def with_invalid_letter(scores: DataFrame, letter: str = "X") -> DataFrame:
