@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldline.functions import hierarchy, quantize
-from foldline.operators import pairs, search, splits, stats, submat
+from foldline.operators import pairs, search, splits, stats
 from foldline.operators.network import Mlp, Model, encode_states
 from foldline.plans import alphabet, catalog, dataset, inputs
 from foldline.plans.catalog import DESCRIPTORS, EVENT_PAIRS, LEVELS, oracle
