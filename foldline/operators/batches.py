@@ -17,13 +17,24 @@ def batch_plan(examples: DataFrame, batch_size: int, seed: int, epoch: int = 0,
     to the batches in turn. An alignment of s rows has at most ceil(s / batches) of them in a batch, so a batch spans as many alignments as
     it can; what is left over after the last turn waits for another epoch. Fewer rows than batch_size give no batch.
     """
-    shuffled = lambda *key: hash_order(F.concat_ws(":", F.lit(epoch), *key), seed)
-    order = [shuffled("alignment_id"), F.col("alignment_id"), shuffled("alignment_id", "k"), F.col("k")]
-    placed = numbered(examples, order, folder or shared_folder(examples.sparkSession, "batches"), "_place")
+    shuffled = lambda *key: F.unhex(hash_order(F.concat_ws(":", F.lit(epoch), *key), seed))
+    keys = {"_alignment": shuffled("alignment_id"), "_row": shuffled("alignment_id", "k")}
+    order = ["_alignment", F.col("alignment_id"), "_row", F.col("k")]
+    placed = numbered(examples, order, folder or shared_folder(examples.sparkSession, "batches"), "_place", keys)
     batches = placed.count() // batch_size
     return placed.where(F.col("_place") < batches * batch_size).withColumn("batch", F.pmod("_place", F.lit(max(batches, 1)))).drop("_place")
 
 
 def spans(plan: DataFrame) -> DataFrame:
-    """batch, rows, alignments: how many rows a batch has and how many alignments it spans."""
-    return plan.groupBy("batch").agg(F.count("*").alias("rows"), F.countDistinct("alignment_id").alias("alignments"))
+    """batch, rows, alignments: how many rows a batch of batch_plan() has and how many alignments it spans.
+
+    Rows are dealt in turn, so only an alignment of more rows than there are batches is in one more than once; only such
+    alignments' rows are told apart.
+    """
+    batches = plan.agg((F.max("batch") + 1).alias("batches"))
+    sizes = plan.groupBy("alignment_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(batches))
+    large = sizes.where("n > batches").select("alignment_id")
+    again = plan.join(F.broadcast(large), "alignment_id").groupBy("batch", "alignment_id").agg((F.count("*") - 1).alias("more"))
+    again = again.groupBy("batch").agg(F.sum("more").alias("more"))
+    counts = plan.groupBy("batch").agg(F.count("*").alias("rows"))
+    return counts.join(again, "batch", "left").select("batch", "rows", (F.col("rows") - F.coalesce("more", F.lit(0))).alias("alignments"))

@@ -24,13 +24,16 @@ _ROW_BITS = 33
 _CARRY = {"sum": lambda before, own: before + own, "bit_xor": lambda before, own: before.bitwiseXOR(own)}
 
 
-def numbered(rows: DataFrame, order: Sequence[Column], folder: str, name: str = "number") -> DataFrame:
+def numbered(rows: DataFrame, order: Sequence[Column | str], folder: str, name: str = "number", keys: dict[str, Column] | None = None) -> DataFrame:
     """rows with the place of each, from 0, in the order given; the sorted rows are written to folder.
 
     Equal rows of the order get places in no certain order, and stay in one partition: an order that
-    many rows tie in needs a further column. The driver sees one number for each partition.
+    many rows tie in needs a further column. The driver sees one number for each partition. keys: what the order
+    calls by a name, for keys that take long; they are made once for a sort, not for each comparison, and are neither shuffled nor kept.
     """
-    split = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    keys = keys or {}
+    split = rows.repartitionByRange(*(keys[o] if isinstance(o, str) else o for o in order))
+    split = split.withColumns(keys).sortWithinPartitions(*order).drop(*keys).withColumn("_at", F.monotonically_increasing_id())
     kept = cut(split, folder).withColumn("_part", F.shiftright("_at", _ROW_BITS))
     sizes = sorted((r["_part"], r["n"]) for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
