@@ -80,9 +80,10 @@ def capped(pairs: DataFrame, most: int | None, seed: int, key: str = "alignment_
     """At most most // 2 pairs of each alignment, before mirroring, in the order of a hash of seed, alignment and k."""
     if most is None:
         return pairs
-    order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key), F.col("k")), 256)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order, "k"))
-    return pairs.withColumn("_place", place).where(F.col("_place") <= most // 2).drop("_place")
+    order = F.unhex(F.sha2(F.concat_ws(":", F.lit(seed), F.col(key), F.col("k")), 256))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_order", "k"))
+    # The hash is made behind the shuffle: before it, it would travel with every pair.
+    return pairs.repartition(key).withColumn("_order", order).withColumn("_place", place).where(F.col("_place") <= most // 2).drop("_order", "_place")
 
 
 def capped_exactly(pairs: DataFrame, most: int, key: str = "alignment_id") -> DataFrame:
@@ -116,7 +117,9 @@ def raw_distance(pairs: DataFrame) -> DataFrame:
 
 def with_levels(rows: DataFrame, lookup: DataFrame) -> DataFrame:
     """rows (sid1, sid2, and more) with each side's fold and superfamily; unknown ids have nulls. lookup: sid, class."""
-    levels = lookup.select("sid", hierarchy.fold("class").alias("fold"), hierarchy.superfamily("class").alias("superfamily"))
+    # Ids are few beside rows: the lookup is cut down to those that occur, so that it can be sent to the rows where it is small.
+    seen = rows.select(F.explode(F.array("sid1", "sid2")).alias("sid")).distinct()
+    levels = lookup.join(seen, "sid", "left_semi").select("sid", hierarchy.fold("class").alias("fold"), hierarchy.superfamily("class").alias("superfamily"))
     side = lambda sid, name: levels.select(F.col("sid").alias(sid), F.col("fold").alias(f"fold_{name}"), F.col("superfamily").alias(f"superfamily_{name}"))
     return rows.join(side("sid1", "source"), "sid1", "left").join(side("sid2", "target"), "sid2", "left")
 
