@@ -11,36 +11,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"([0-9]*)([A-Za-z])"
+#: A letter that is no operation.
+OTHER = "[A-CE-HJ-LNOQ-Za-z]"
 STRICT = r"^(?:[0-9]*[IDMP])+$"
 
 
 def tokens(cigar: str | Column) -> Column:
     """array<struct<n: long, op: string>>; what is neither digit nor letter is ignored."""
     s = F.col(cigar) if isinstance(cigar, str) else cigar
-    counts = F.regexp_extract_all(s, F.lit(TOKEN), F.lit(1))
-    ops = F.regexp_extract_all(s, F.lit(TOKEN), F.lit(2))
-    return F.zip_with(counts, ops, lambda n, op: F.struct(F.when(n == "", F.lit(1).cast("long")).otherwise(n.try_cast("long")).alias("n"), op.alias("op")))
+    count = lambda t: F.when(F.length(t) == 1, F.lit(1).cast("long")).otherwise(F.substring(t, F.lit(1), F.length(t) - 1).try_cast("long"))
+    return F.transform(F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(count(t).alias("n"), F.substring(t, -1, 1).alias("op")))
 
 
 def runs(cigar: str | Column) -> Column:
     """array<struct<k, i, j, n>>: each run of pairs by its first pair number and residues; one fold over the tokens.
 
-    Letters other than I, D, M and P raise an error.
+    Letters other than I, D, M and P raise an error, which is looked for once in the string.
     """
+    text = F.col(cigar) if isinstance(cigar, str) else cigar
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("k"), zero.alias("i"), zero.alias("j"), F.array().cast("array<struct<k:bigint,i:bigint,j:bigint,n:bigint>>").alias("out"))
 
     def step(s: Column, t: Column) -> Column:
-        pairs = F.when(t.op == "P", t.n).otherwise(zero)
-        known = F.when(t.op.isin("D", "I", "M", "P"), True).otherwise(F.raise_error(F.concat(F.lit("operation not supported: "), t.op)).cast("boolean"))
+        paired = t.op == "P"
         return F.struct(
-            (s.k + pairs).alias("k"),
-            (s.i + F.when(known & t.op.isin("D", "M", "P"), t.n).otherwise(zero)).alias("i"),
-            (s.j + F.when(t.op.isin("I", "M", "P"), t.n).otherwise(zero)).alias("j"),
-            F.when(pairs > 0, F.concat(s.out, F.array(F.struct(s.k.alias("k"), s.i.alias("i"), s.j.alias("j"), t.n.alias("n"))))).otherwise(s.out).alias("out"),
+            F.when(paired, s.k + t.n).otherwise(s.k).alias("k"),
+            F.when(t.op == "I", s.i).otherwise(s.i + t.n).alias("i"),
+            F.when(t.op == "D", s.j).otherwise(s.j + t.n).alias("j"),
+            F.when(paired & (t.n > 0), F.concat(s.out, F.array(F.struct(s.k.alias("k"), s.i.alias("i"), s.j.alias("j"), t.n.alias("n"))))).otherwise(s.out).alias("out"),
         )
 
-    return F.aggregate(tokens(cigar), start, step, lambda s: s.out)
+    found = F.aggregate(tokens(text), start, step, lambda s: s.out)
+    return F.when(text.rlike(OTHER), F.raise_error(F.concat(F.lit("operation not supported: "), F.regexp_extract(text, OTHER, 0)))).otherwise(found)
 
 
 def pairs(cigar: str | Column) -> Column:
