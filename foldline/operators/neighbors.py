@@ -20,6 +20,8 @@ from foldline.sources.scratch import cut, shared_folder
 
 #: Residues of a cell, on average, at the finest level; levels at most.
 CELL, DEEPEST = 8, 20
+#: Residues of a task, on average, where residues meet: few, as each makes up to some hundred pairs there.
+TASK = 8192
 _BOX = ["_low0", "_low1", "_low2", "_size", "_level"]
 _AT = ["_p0", "_p1", "_p2"]
 
@@ -72,13 +74,16 @@ def _proven(residues: DataFrame, xyz: list[str], most: int, digits: int | None,
     d2 = g.distance2(tuple(F.col(f"a{k}") for k in range(3)), tuple(F.col(f"b{k}") for k in range(3)))
     exact = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     waiting, done = points, []
+    # Tables are small beside the pairs they make, so Spark would merge partitions by the wrong size; a stated number stays.
+    dealt = lambda rows: rows.repartition(max(1, -(-count // TASK)), "chain", "c0", "c1", "c2")
+    count = points.count()
     for up in range(DEEPEST + 1):
         asked = _asking(waiting, up)
         probes = asked.select("chain", F.col("idx").alias("i"), *(F.col(c).alias(f"a{k}") for k, c in enumerate(_AT)), "side", "c0", "c1", "c2", around)
         probes = probes.select("chain", "i", "a0", "a1", "a2", "side", *((F.col(f"c{k}") + F.col(f"o.o{k}")).alias(f"c{k}") for k in range(3)))
         probes = probes.where(" and ".join(f"c{k} >= 0 and c{k} < side" for k in range(3))).drop("side")
         met = others.select("chain", F.col("idx").alias("j"), *(F.col(c).alias(f"b{k}") for k, c in enumerate(_AT)), *(c.alias(f"c{k}") for k, c in enumerate(_cells(up))))
-        near = probes.join(met, ["chain", "c0", "c1", "c2"]).where("i <> j").select("chain", "i", "j", exact(d2).alias("d2"))
+        near = dealt(probes).join(dealt(met), ["chain", "c0", "c1", "c2"]).where("i <> j").select("chain", "i", "j", exact(d2).alias("d2"))
         found = asked.select("chain", "idx", "bound2").join(reduced(near).withColumnRenamed("i", "idx"), ["chain", "idx"], "left")
         found = cut(found.withColumn("proven", F.col("bound2").isNull() | F.coalesce(reach < exact(F.col("bound2")), F.lit(False))), f"{folder}/round-{up}")
         done.append(found.where("proven").drop("proven", "bound2"))
