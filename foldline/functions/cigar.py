@@ -55,6 +55,14 @@ def pair_count(cigar: str | Column) -> Column:
     return F.aggregate(tokens(cigar), F.lit(0).cast("long"), lambda s, t: s + F.when(t.op == "P", t.n).otherwise(0))
 
 
+def run_total(cigar: str | Column) -> Column:
+    """The sum of n over runs(), from the counts of P alone, and its error for other letters."""
+    text = F.col(cigar) if isinstance(cigar, str) else cigar
+    one = lambda t: F.when(t == "", F.lit(1).cast("long")).otherwise(F.coalesce(t.try_cast("long"), F.lit(0).cast("long")))
+    found = F.aggregate(F.regexp_extract_all(text, F.lit("([0-9]*)P"), F.lit(1)), F.lit(0).cast("long"), lambda n, t: n + one(t))
+    return F.when(text.rlike(OTHER), F.raise_error(F.concat(F.lit("operation not supported: "), F.regexp_extract(text, OTHER, 0)))).otherwise(found)
+
+
 def spans(cigar: str | Column) -> Column:
     """struct<ref, query>: residues that the alignment advances over."""
     add = lambda ops: F.aggregate(tokens(cigar), F.lit(0).cast("long"), lambda s, t: s + F.when(t.op.isin(*ops), t.n).otherwise(0))

@@ -31,6 +31,11 @@ def expand(alignments: DataFrame) -> DataFrame:
     return runs.select(*keep, "r", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("r.n") - 1)).alias("t")).select(*keep, *((F.col(f"r.{c}") + F.col("t")).cast("int").alias(c) for c in "kij"))
 
 
+def sizes(alignments: DataFrame) -> DataFrame:
+    """alignment_id and n: how many rows expand() has for each, null without a cigar."""
+    return alignments.select("alignment_id", cigar.run_total("cigar").alias("n"))
+
+
 def with_residues(pairs: DataFrame, residues: DataFrame) -> DataFrame:
     """pairs with both residues' columns, x_ and y_ before their names; pairs without one of the two are dropped.
 
